@@ -1,8 +1,7 @@
 """URL columns.
 
-``canonical_urls`` is a chain of projections rather than one nested Column: each
-step names what the next ones use, so nothing is evaluated twice.  The other
-helpers take canonical URLs and are plain Column expressions.
+``canonical`` resolves and canonicalises one link; the other helpers take canonical
+URLs and are plain Column expressions.
 """
 
 from __future__ import annotations
@@ -87,148 +86,177 @@ def _clean_query(query: Column) -> Column:
     return F.array_join(F.transform(kept, encode), "&")
 
 
-def canonical_urls(
-    df: DataFrame,
-    href: str,
-    base: str | None = None,
-    out: str = "url",
-    parts: bool = False,
-) -> DataFrame:
-    """Add ``out``: the canonical form of ``href``, resolved against the absolute ``base``.
+def _bound(env: dict[str, Column], steps: list, result) -> Column:
+    """Evaluate ``steps`` in turn, each naming its values once, then ``result``.
 
-    Fragment and tracking parameters are dropped, the host is lower-cased, the
-    query is re-serialised and one trailing slash is removed.  Null when the
-    result is not an http(s) URL.  ``parts`` also adds ``{out}_origin`` and
-    ``{out}_path``.
+    Names are lambda variables over one-element arrays, so later steps use them
+    freely without the expression, or a filter pushed into it, growing.
     """
+    if not steps:
+        return result(env)
+    named = steps[0](env)
+    row = F.struct(*[value.alias(name) for name, value in named.items()])
+    return F.get(
+        F.transform(
+            F.array(row),
+            lambda s: _bound({**env, **{k: s[k] for k in named}}, steps[1:], result),
+        ),
+        F.lit(0),
+    )
 
-    def name(n: str) -> str:
-        return f"__{out}_{n}"
 
-    def c(n: str) -> Column:
-        return F.col(name(n))
+def _split_reference(e: dict) -> dict:
+    return {
+        "head": F.translate(F.substring_index(e["bare"], "?", 1), "\\", "/"),
+        "given_query": F.when(
+            F.instr(e["bare"], "?") > 0, _after(e["bare"], F.instr(e["bare"], "?"), 1)
+        ),
+    }
 
-    def step(frame: DataFrame, **cols: Column) -> DataFrame:
-        return frame.withColumns({name(k): v for k, v in cols.items()})
 
-    keep = df.columns
-    edges = r"^[\x00-\x20]+|[\x00-\x20]+$"
-    d = step(df, raw=F.regexp_replace(F.regexp_replace(F.col(href), edges, ""), r"[\t\n\r]", ""))
-    d = step(d, nofrag=F.substring_index(c("raw"), "#", 1))
-    d = step(
-        d,
-        head=F.translate(F.substring_index(c("nofrag"), "?", 1), "\\", "/"),
-        query=F.when(
-            F.instr(c("nofrag"), "?") > 0, _after(c("nofrag"), F.instr(c("nofrag"), "?"), 1)
-        ),
-    )
-    d = step(d, scheme=_scheme_of(c("head")))
-    d = step(
-        d,
-        rest=F.when(c("scheme") != "", _after(c("head"), F.length(c("scheme")), 2)).otherwise(
-            c("head")
-        ),
+def _split_head(e: dict) -> dict:
+    return {
+        "rest": F.when(
+            e["own_scheme"] != "", _after(e["head"], F.length(e["own_scheme"]), 2)
+        ).otherwise(e["head"])
+    }
+
+
+def _split_authority(e: dict) -> dict:
+    absolute = e["rest"].startswith("//")
+    return {
+        "absolute": absolute,
+        "own_auth": F.when(absolute, F.substring_index(F.substr(e["rest"], F.lit(3)), "/", 1)),
+    }
+
+
+def _own_path(e: dict) -> dict:
+    return {
+        "own_path": F.when(
+            e["absolute"], _after(e["rest"], F.length(e["own_auth"]), 3)
+        ).otherwise(e["rest"])
+    }
+
+
+def _resolve(e: dict) -> dict:
+    """Scheme, authority, path and query, taken from the base where the link has none."""
+    base = e["base"]
+    base_path = F.coalesce(
+        F.nullif(F.regexp_extract(base, r"^[^:]+://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/")
     )
-    d = step(d, has_auth=c("rest").startswith("//"))
-    d = step(
-        d,
-        auth=F.when(
-            c("has_auth"), F.substring_index(F.substr(c("rest"), F.lit(3)), "/", 1)
+    base_scheme = _scheme_of(base)
+    # "https:x" under an https base is relative, any other scheme without "//" is not
+    relative = ~e["absolute"] & e["own_scheme"].isin("", base_scheme)
+    empty = e["own_path"] == ""
+    return {
+        "scheme": F.when(e["own_scheme"] != "", e["own_scheme"]).otherwise(base_scheme),
+        "auth": F.when(e["absolute"], e["own_auth"]).when(
+            relative, F.regexp_extract(base, r"^[^:]+://([^/?#]*)", 1)
         ),
-    )
-    d = step(
-        d,
-        path=F.when(c("has_auth"), _after(c("rest"), F.length(c("auth")), 3)).otherwise(c("rest")),
-    )
-    if base is None:
-        d = step(d, path=F.when(c("path") == "", "/").otherwise(c("path")))
-    else:
-        b = F.col(base)
-        d = step(
-            d,
-            b_scheme=_scheme_of(b),
-            b_auth=F.regexp_extract(b, r"^[^:]+://([^/?#]*)", 1),
-            b_path=F.regexp_extract(b, r"^[^:]+://[^/?#]*([^?#]*)", 1),
-            b_query=F.nullif(F.regexp_extract(b, r"\?([^#]*)", 1), F.lit("")),
-            # "https:x" with the scheme of the base is relative, any other such form is not
-            relative=(c("scheme") == "") | (~c("has_auth") & (c("scheme") == _scheme_of(b))),
-        )
-        d = step(
-            d,
-            scheme=F.when(c("scheme") == "", c("b_scheme")).otherwise(c("scheme")),
-            auth=F.when(c("has_auth"), c("auth")).when(c("relative"), c("b_auth")),
-            query=F.when(
-                ~c("has_auth") & (c("path") == "") & c("query").isNull(), c("b_query")
-            ).otherwise(c("query")),
-            path=F.when(c("has_auth") & (c("path") == ""), "/")
-            .when(c("has_auth") | c("path").startswith("/"), c("path"))
-            .when(c("path") == "", F.when(c("b_path") == "", "/").otherwise(c("b_path")))
-            .otherwise(
-                F.concat(
-                    F.when(c("b_path") == "", "/").otherwise(
-                        F.regexp_extract(c("b_path"), r"^(.*/)", 1)
-                    ),
-                    c("path"),
-                )
-            ),
-        )
-    d = step(d, hostport=F.substring_index(c("auth"), "@", -1))
-    d = step(
-        d,
-        userinfo=F.substr(
-            c("auth"), F.lit(1), F.length(c("auth")) - F.length(c("hostport"))
-        ),
-        host=F.lower(F.regexp_extract(c("hostport"), r"^(\[[^\]]*\]|[^:]*)", 1)),
-        path=F.when(c("path").rlike(DOT_SEGMENT), _resolve_dots(c("path"))).otherwise(c("path")),
-    )
-    d = step(
-        d,
-        port=_after(c("hostport"), F.length(c("host")), 1),
-        path=F.when(c("path").rlike(PATH_UNSAFE), _encode_path(c("path"))).otherwise(c("path")),
-        query=F.when(c("query") != "", _clean_query(c("query"))),
-    )
-    d = step(
-        d,
-        port_no=F.substr(c("port"), F.lit(2)).try_cast("int"),
-        path=F.when(
-            (F.length(c("path")) > 1) & c("path").endswith("/"),
-            F.substr(c("path"), F.lit(1), F.length(c("path")) - 1),
-        ).otherwise(c("path")),
-    )
-    default_port = F.when(c("scheme") == "https", 443).otherwise(80)
-    valid = (
-        c("scheme").isin("http", "https")
-        & c("host").rlike(HOST_SHAPE)
-        & c("port").rlike(r"^(:\d*)?$")
-        & (F.coalesce(c("port_no"), F.lit(0)) <= 65535)
-    )
+        "query": F.when(
+            ~e["absolute"] & empty & e["given_query"].isNull(),
+            F.regexp_extract(base, r"\?([^#]*)", 1),
+        ).otherwise(e["given_query"]),
+        "full_path": F.when(e["absolute"] & empty, "/")
+        .when(e["absolute"] | e["own_path"].startswith("/"), e["own_path"])
+        .when(empty, base_path)
+        .otherwise(F.concat(F.regexp_extract(base_path, r"^(.*/)", 1), e["own_path"])),
+    }
+
+
+def _split_host(e: dict) -> dict:
+    hostport = F.substring_index(e["auth"], "@", -1)
+    host = F.lower(F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1))
+    return {
+        "userinfo": F.substr(e["auth"], F.lit(1), F.length(e["auth"]) - F.length(hostport)),
+        "host": host,
+        "port": _after(hostport, F.length(host), 1),
+        "flat_path": F.when(
+            e["full_path"].rlike(DOT_SEGMENT), _resolve_dots(e["full_path"])
+        ).otherwise(e["full_path"]),
+    }
+
+
+def _encode_parts(e: dict) -> dict:
+    return {
+        "port_no": F.substr(e["port"], F.lit(2)).try_cast("int"),
+        "safe_path": F.when(
+            e["flat_path"].rlike(PATH_UNSAFE), _encode_path(e["flat_path"])
+        ).otherwise(e["flat_path"]),
+        "clean_query": F.when(e["query"] != "", _clean_query(e["query"])),
+    }
+
+
+def _canonical(e: dict) -> Column:
+    default_port = F.when(e["scheme"] == "https", 443).otherwise(80)
     port = F.when(
-        c("port_no").isNotNull() & (c("port_no") != default_port),
-        F.concat(F.lit(":"), c("port_no").cast("string")),
+        e["port_no"].isNotNull() & (e["port_no"] != default_port),
+        F.concat(F.lit(":"), e["port_no"].cast("string")),
     ).otherwise("")
-    d = step(d, valid=valid, site=F.concat(c("host"), port))
-    d = d.withColumn(
-        out,
-        F.when(
-            c("valid"),
-            F.concat(
-                c("scheme"),
-                F.lit("://"),
-                c("userinfo"),
-                c("site"),
-                c("path"),
-                F.when(c("query") != "", F.concat(F.lit("?"), c("query"))).otherwise(""),
-            ),
+    path = F.when(
+        (F.length(e["safe_path"]) > 1) & e["safe_path"].endswith("/"),
+        F.substr(e["safe_path"], F.lit(1), F.length(e["safe_path"]) - 1),
+    ).otherwise(e["safe_path"])
+    valid = (
+        e["scheme"].isin("http", "https")
+        & e["host"].rlike(HOST_SHAPE)
+        & e["port"].rlike(r"^(:\d*)?$")
+        & (F.coalesce(e["port_no"], F.lit(0)) <= 65535)
+    )
+    query = F.when(e["clean_query"] != "", F.concat(F.lit("?"), e["clean_query"])).otherwise("")
+    prefix = F.concat(e["scheme"], F.lit("://"))
+    return F.when(
+        valid,
+        F.struct(
+            F.concat(prefix, e["userinfo"], e["host"], port, path, query).alias("url"),
+            F.concat(prefix, e["host"], port).alias("origin"),
+            path.alias("path"),
         ),
     )
-    added = [F.col(out)]
+
+
+def canonical(href: Column, base: Column | None = None) -> Column:
+    """Struct of canonical ``url``, ``origin`` and ``path``; null unless an http(s) URL.
+
+    ``href`` is resolved against the absolute ``base``; fragment and tracking
+    parameters are dropped, the host is lower-cased, the query is re-serialised
+    and one trailing slash is removed.
+    """
+    edges = r"^[\x00-\x20]+|[\x00-\x20]+$"
+    trimmed = F.regexp_replace(F.regexp_replace(href, edges, ""), r"[\t\n\r]", "")
+    steps = [
+        lambda e: {
+            "bare": F.substring_index(trimmed, "#", 1),
+            "base": F.lit("") if base is None else base,
+        },
+        _split_reference,
+        lambda e: {"own_scheme": _scheme_of(e["head"])},
+        _split_head,
+        _split_authority,
+        _own_path,
+        _resolve,
+        _split_host,
+        _encode_parts,
+    ]
+    return _bound({}, steps, _canonical)
+
+
+def canonical_urls(
+    df: DataFrame,
+    href: str,
+    base: str | None = None,
+    out: str = "url",
+    parts: bool = False,
+) -> DataFrame:
+    """Add ``out``, the canonical form of ``href``; ``parts`` also adds origin and path."""
+    made = canonical(F.col(href), None if base is None else F.col(base))
+    added = {out: "url"}
     if parts:
-        added += [
-            F.when(c("valid"), F.concat(c("scheme"), F.lit("://"), c("site"))).alias(f"{out}_origin"),
-            F.when(c("valid"), c("path")).alias(f"{out}_path"),
-        ]
-    replaced = {out, f"{out}_origin", f"{out}_path"} if parts else {out}
-    return d.select(*[F.col(k) for k in keep if k not in replaced], *added)
+        added |= {f"{out}_origin": "origin", f"{out}_path": "path"}
+    kept = [c for c in df.columns if c not in added]
+    return df.withColumn("__url", made).select(
+        *kept, *[F.col("__url")[field].alias(name) for name, field in added.items()]
+    )
 
 
 def origin_of(url: Column) -> Column:

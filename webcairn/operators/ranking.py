@@ -84,3 +84,14 @@ def positions(
         .withColumn(out, F.col("__idx") + F.col("__shift"))
         .select(*df.columns, out)
     )
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join onto a side with one row per key when ``big`` may hold one key very often.
+
+    The big side is salted and the small side repeated per salt, so no task gets a
+    whole hot key; a small enough right side is still broadcast by the optimizer.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("__salt", salt).join(copies, [*keys, "__salt"], how).drop("__salt")
