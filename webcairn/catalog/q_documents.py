@@ -35,7 +35,7 @@ UNION ALL
 SELECT site_id, 0, 'none', pos, url, NULL, true
 FROM {inventory} WHERE section = 'Optional' AND pos % 5 = 1
 UNION ALL
-SELECT site_id, 0, 'none', 100000 + pos, url, 'again', true
+SELECT site_id, 0, 'none', 100000 + section_rank * 100 + pos, url, 'again', true
 FROM {inventory} WHERE section <> 'Optional' AND pos % 4 = 1
 UNION ALL
 SELECT site_id, section_rank, section || '  guide', 0, url || '/unknown', 'unknown', false
@@ -404,7 +404,9 @@ def documents_chosen(spark: SparkSession, sf: str) -> DataFrame:
     heuristic = document.document_lines(rows, heads)
     summaries = plans.accepted_plans(plan_heads)
     refined_heads = heads.drop("summary").join(summaries, "site_id")
-    refined = document.document_lines(plans.apply_plan(rows, plan, plan_heads), refined_heads)
+    refined = materialize(
+        document.document_lines(plans.apply_plan(rows, plan, plan_heads), refined_heads)
+    )
     chosen = document.choose_documents(heuristic, refined, document.validate_lines(refined))
     return document.assemble(chosen, ("site_id", "generated_by"))
 

@@ -105,36 +105,15 @@ def _bound(env: dict[str, Column], steps: list, result) -> Column:
     )
 
 
-def _split_reference(e: dict) -> dict:
-    return {
-        "head": F.translate(F.substring_index(e["bare"], "?", 1), "\\", "/"),
-        "given_query": F.when(
-            F.instr(e["bare"], "?") > 0, _after(e["bare"], F.instr(e["bare"], "?"), 1)
-        ),
-    }
-
-
-def _split_head(e: dict) -> dict:
-    return {
-        "rest": F.when(
-            e["own_scheme"] != "", _after(e["head"], F.length(e["own_scheme"]), 2)
-        ).otherwise(e["head"])
-    }
-
-
-def _split_authority(e: dict) -> dict:
-    absolute = e["rest"].startswith("//")
+def _split_link(e: dict) -> dict:
+    head = e["head"]
+    scheme = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
+    absolute = head.rlike(scheme + "//")
     return {
+        "own_scheme": _scheme_of(head),
         "absolute": absolute,
-        "own_auth": F.when(absolute, F.substring_index(F.substr(e["rest"], F.lit(3)), "/", 1)),
-    }
-
-
-def _own_path(e: dict) -> dict:
-    return {
-        "own_path": F.when(
-            e["absolute"], _after(e["rest"], F.length(e["own_auth"]), 3)
-        ).otherwise(e["rest"])
+        "own_auth": F.when(absolute, F.regexp_extract(head, scheme + "//([^/]*)", 1)),
+        "own_path": F.regexp_replace(head, scheme + "(?://[^/]*)?", ""),
     }
 
 
@@ -155,7 +134,7 @@ def _resolve(e: dict) -> dict:
         ),
         "query": F.when(
             ~e["absolute"] & empty & e["given_query"].isNull(),
-            F.regexp_extract(base, r"\?([^#]*)", 1),
+            F.regexp_extract(base, r"(\?[^#]*)", 1),
         ).otherwise(e["given_query"]),
         "full_path": F.when(e["absolute"] & empty, "/")
         .when(e["absolute"] | e["own_path"].startswith("/"), e["own_path"])
@@ -183,7 +162,9 @@ def _encode_parts(e: dict) -> dict:
         "safe_path": F.when(
             e["flat_path"].rlike(PATH_UNSAFE), _encode_path(e["flat_path"])
         ).otherwise(e["flat_path"]),
-        "clean_query": F.when(e["query"] != "", _clean_query(e["query"])),
+        "clean_query": F.when(
+            F.length(e["query"]) > 1, _clean_query(F.substr(e["query"], F.lit(2)))
+        ),
     }
 
 
@@ -222,18 +203,15 @@ def canonical(href: Column, base: Column | None = None) -> Column:
     parameters are dropped, the host is lower-cased, the query is re-serialised
     and one trailing slash is removed.
     """
-    edges = r"^[\x00-\x20]+|[\x00-\x20]+$"
-    trimmed = F.regexp_replace(F.regexp_replace(href, edges, ""), r"[\t\n\r]", "")
+    edges = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
+    bare = F.substring_index(F.regexp_replace(href, edges, ""), "#", 1)
     steps = [
         lambda e: {
-            "bare": F.substring_index(trimmed, "#", 1),
+            "head": F.translate(F.substring_index(bare, "?", 1), "\\", "/"),
+            "given_query": F.nullif(F.regexp_extract(bare, r"(?s)(\?.*)$", 1), F.lit("")),
             "base": F.lit("") if base is None else base,
         },
-        _split_reference,
-        lambda e: {"own_scheme": _scheme_of(e["head"])},
-        _split_head,
-        _split_authority,
-        _own_path,
+        _split_link,
         _resolve,
         _split_host,
         _encode_parts,

@@ -149,10 +149,19 @@ def validate_lines(
         F.min(F.when(is_h2 & (name == L.OPTIONAL_SECTION), no)).alias("optional_no"),
         F.max(is_quote).alias("quoted"),
     )
-    marks = lines.where(is_h1 | is_h2 | is_quote)
+    is_link = line.startswith("- ")
+    is_deep = line.rlike(r"^#{3,}\s")
+    target = F.when(
+        is_link & line.rlike(L.LINK_LINE), F.regexp_extract(line, r"\((https?://[^)]+)\)", 1)
+    )
+    marks = lines.where(is_h1 | is_h2 | is_quote | is_deep | is_link).withColumn("target", target)
+    marks = canonical_urls(marks, "target", out="link", parts=True)
     marks = spread_join(marks, first, list(keys))
     late = is_h2 & (no > F.col("optional_no"))
-    order_errors = marks.select(
+    same = F.col("link_origin") == F.col("origin")
+    if prefix_origin:
+        same = same | F.startswith(F.col("target"), F.col("origin"))
+    line_errors = marks.select(
         *keys,
         "line_no",
         F.explode(
@@ -171,28 +180,17 @@ def validate_lines(
                         is_quote & (F.col("h1_no").isNull() | (no < F.col("h1_no"))),
                         "blockquote before H1",
                     ),
+                    F.when(is_deep, "H3+ headings not allowed at top level"),
+                    F.when(
+                        is_link,
+                        F.when(F.col("target").isNull(), "malformed link item")
+                        .when(F.col("link").isNull(), F.concat(F.lit("invalid URL "), "target"))
+                        .when(~same, F.concat(F.lit("cross-origin link "), "target")),
+                    ),
                 )
             )
         ).alias("error"),
     )
-    deep = lines.where(line.rlike(r"^#{3,}\s")).select(
-        *keys, "line_no", F.lit("H3+ headings not allowed at top level").alias("error")
-    )
-    links = lines.where(line.startswith("- ")).withColumn(
-        "target", F.when(line.rlike(L.LINK_LINE), F.regexp_extract(line, r"\((https?://[^)]+)\)", 1))
-    )
-    links = canonical_urls(links, "target", out="link", parts=True)
-    same = F.col("link_origin") == F.col("origin")
-    if prefix_origin:
-        same = same | F.startswith(F.col("target"), F.col("origin"))
-    link_errors = links.select(
-        *keys,
-        "line_no",
-        F.when(F.col("target").isNull(), "malformed link item")
-        .when(F.col("link").isNull(), F.concat(F.lit("invalid URL "), "target"))
-        .when(~same, F.concat(F.lit("cross-origin link "), "target"))
-        .alias("error"),
-    ).where(F.col("error").isNotNull())
     whole = first.select(
         *keys,
         F.lit(0).cast("bigint").alias("line_no"),
@@ -205,7 +203,7 @@ def validate_lines(
             )
         ).alias("error"),
     )
-    return order_errors.unionByName(deep).unionByName(link_errors).unionByName(whole)
+    return line_errors.unionByName(whole)
 
 
 def choose_documents(heuristic: DataFrame, refined: DataFrame, errors: DataFrame) -> DataFrame:

@@ -37,11 +37,11 @@ def site_heads(pages: DataFrame) -> DataFrame:
         F.struct("url", "title", "h1", "description", "snippet"),
     )
     heads = pages.groupBy("site_id", "origin").agg(F.min(home).alias("home"))
-    named = text.strip_title_suffix(text.blank_to_null(F.coalesce("home.title", "home.h1")))
+    heads = heads.withColumn("raw", text.blank_to_null(F.coalesce("home.title", "home.h1")))
     heads = heads.select(
         "site_id",
         "origin",
-        F.coalesce(named, urls.host_of(F.col("origin"))).alias("site_name"),
+        F.coalesce(text.strip_title_suffix(F.col("raw")), urls.host_of(F.col("origin"))).alias("site_name"),
         F.coalesce(
             text.blank_to_null(F.col("home.description")), text.blank_to_null(F.col("home.snippet"))
         ).alias("homepage_snippet"),

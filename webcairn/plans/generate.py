@@ -8,6 +8,7 @@ from webcairn.functions.urls import canonical_urls
 from webcairn.operators import document, inventory
 from webcairn.operators.extract import cap_body, extract_pages, ingest_pages
 from webcairn.operators.ranking import first_by
+from webcairn.session import materialize
 
 
 def pages_from_snapshots(snapshots: DataFrame, order: str = "page_id") -> DataFrame:
@@ -24,10 +25,10 @@ def generate_documents(pages: DataFrame) -> DataFrame:
     """
     heads = inventory.site_heads(pages)
     lines = document.document_lines(inventory.build_inventory(pages), heads)
-    parts = document.assemble(lines)
+    parts = materialize(document.assemble(lines, ("site_id", "origin")))
     errors = (
-        document.validate_lines(document.split_documents(parts.join(heads.select("site_id", "origin"), "site_id"), ["site_id", "origin"]))
+        document.validate_lines(document.split_documents(parts, ["site_id", "origin"]))
         .groupBy("site_id")
         .agg(F.count(F.lit(1)).alias("errors"))
     )
-    return parts.join(errors, "site_id", "left").fillna(0, ["errors"])
+    return parts.join(errors, "site_id", "left").fillna(0, ["errors"]).drop("origin")
