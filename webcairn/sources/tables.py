@@ -5,49 +5,45 @@ Landed tables are the inputs of every job: fetching is left to other tools.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webcairn import limits as L
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-SITES = _schema(
+SITES = (
     "site_id string, origin string, display_name string, monitoring boolean, "
     "check_interval_s bigint, next_check_at bigint, change_streak bigint, created_at bigint"
 )
-PAGES = _schema(
+PAGES = (
     "site_id string, url string, title string, description string, h1 string, snippet string, "
     "section_hint string, content_hash string, etag string, last_modified string, "
     "sitemap_lastmod string, out_links array<string>, status string, last_seen_at bigint, "
     "last_checked_at bigint, last_changed_at bigint, page_check_interval_s bigint, "
     "page_change_streak bigint"
 )
-CRAWL_RUNS = _schema(
+CRAWL_RUNS = (
     "run_id string, site_id string, trigger string, status string, pages_found bigint, "
     "pages_crawled bigint, pages_changed bigint, change_summary string, discovery_method string, "
     "cap_reason string, error string, started_at bigint, finished_at bigint"
 )
-FILE_VERSIONS = _schema(
+FILE_VERSIONS = (
     "site_id string, run_id string, version bigint, path string, change_summary string, "
     "generated_by string, created_at bigint"
 )
-PAGE_SNAPSHOTS = _schema(
+PAGE_SNAPSHOTS = (
     "site_id string, run_id string, url string, depth bigint, fetched_at bigint, status int, "
     "content_type string, content_length bigint, etag string, last_modified string, html string, "
     "rendered_html string"
 )
-SITE_DOCS = _schema(
+SITE_DOCS = (
     "site_id string, run_id string, doc_url string, kind string, status int, body string, "
     "declared_pos bigint"
 )
-CHECK_LOG = _schema(
+CHECK_LOG = (
     "site_id string, url string, checked_at bigint, status int, etag string, "
     "last_modified string, html_hash string"
 )
-CRAWL_EVENTS = _schema(
+CRAWL_EVENTS = (
     "site_id string, run_id string, ts timestamp, url string, event string, depth bigint"
 )
 
