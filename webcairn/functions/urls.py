@@ -252,7 +252,7 @@ def site_origins(df: DataFrame, text: str, out: str = "origin") -> DataFrame:
     """Add the canonical site origin of free text; null when invalid or on a blocked host."""
     d = canonical_urls(df, text, out="__site", parts=True)
     return d.withColumn(
-        out, F.when(~is_blocked_host(host_of(F.col("__site"))), F.col("__site_origin"))
+        out, F.when(public_host(F.col("__site_origin")).isNotNull(), F.col("__site_origin"))
     ).drop("__site", "__site_origin", "__site_path")
 
 
@@ -311,11 +311,25 @@ def dotted_quad(host: Column) -> Column:
 
 def is_blocked_host(host: Column) -> Column:
     """Loopback, private and link-local hosts, in any of their spellings."""
-    plain = F.lower(F.regexp_replace(host, r"^\[(.*)\]$", "$1"))
-    return (
-        (plain == "localhost")
-        | plain.endswith(".localhost")
-        | plain.isin("::1", "::")
-        | plain.rlike(r"^fe[89ab][0-9a-f]:|^f[cd][0-9a-f]{2}:")
-        | dotted_quad(plain).rlike(L.PRIVATE_IPV4)
+    steps = [
+        lambda e: {"plain": F.lower(F.regexp_replace(host, r"^\[(.*)\]$", "$1"))},
+        lambda e: {"quad": dotted_quad(e["plain"])},
+    ]
+    return _bound(
+        {},
+        steps,
+        lambda e: (e["plain"] == "localhost")
+        | e["plain"].endswith(".localhost")
+        | e["plain"].isin("::1", "::")
+        | e["plain"].rlike(r"^fe[89ab][0-9a-f]:|^f[cd][0-9a-f]{2}:")
+        | e["quad"].rlike(L.PRIVATE_IPV4),
+    )
+
+
+def public_host(origin: Column) -> Column:
+    """Host of a canonical origin, null where it is blocked."""
+    return _bound(
+        {},
+        [lambda e: {"host": host_of(origin)}],
+        lambda e: F.when(~is_blocked_host(e["host"]), e["host"]),
     )
