@@ -8,6 +8,7 @@ from webcairn import limits as L
 from webcairn.functions.freshness import next_page_interval, next_streak
 from webcairn.functions.sections import section_of
 from webcairn.functions.urls import path_of
+from webcairn.operators.ranking import positions
 
 KEYS = ["site_id", "url"]
 BODY_COLUMNS = (
@@ -69,12 +70,16 @@ def upsert_lastmods(stored: DataFrame, accepted: DataFrame, entries: DataFrame,
 
 
 def append_versions(new: DataFrame, versions: DataFrame) -> DataFrame:
-    """New version rows whose run has published nothing yet, numbered after their site's last."""
+    """New version rows whose run has published nothing yet, numbered after their site's last.
+
+    Several new runs of one site are numbered in the order of their run ids.
+    """
     fresh = new.join(versions.select("run_id"), "run_id", "left_anti")
     latest = versions.groupBy("site_id").agg(F.max("version").alias("last"))
-    return fresh.join(latest, "site_id", "left").withColumn(
-        "version", (F.coalesce("last", F.lit(0)) + 1).cast("bigint")
-    ).drop("last")
+    numbered = positions(fresh, ["site_id"], ["run_id"], "__n")
+    return numbered.join(latest, "site_id", "left").withColumn(
+        "version", (F.coalesce("last", F.lit(0)) + F.col("__n")).cast("bigint")
+    ).drop("last", "__n")
 
 
 def mark_removed(pages: DataFrame, removed: DataFrame) -> DataFrame:
