@@ -118,9 +118,9 @@ def walk_links(
 def cached_links(json: Column) -> Column:
     """Stored links usable for a replay: a JSON array of strings, else null."""
     shape = F.schema_of_variant(F.try_parse_json(json))
-    return F.when(
-        shape.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.from_json(json, "array<string>")
-    )
+    links = F.from_json(json, "array<string>")
+    usable = shape.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(links, lambda x: x.isNull())
+    return F.when(usable, links)
 
 
 def replay_links(pages: DataFrame, links: str = "links", stored: str = "out_links_json") -> DataFrame:

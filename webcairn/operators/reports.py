@@ -172,23 +172,30 @@ def url_fields(df: DataFrame, url: str) -> DataFrame:
     ).drop(url)
 
 
-def _redacted(value: Column, depth: int) -> Column:
-    """A variant with the values of sensitive keys replaced, at every level down to ``depth``."""
-    mask = F.parse_json(F.lit(f'"{L.REDACTED}"'))
-    shape = F.schema_of_variant(value)
-    pattern = "(?i)" + "|".join(L.SENSITIVE_KEYS)
+def _redacted_json(value: Column, depth: int) -> Column:
+    """JSON of a variant with the values of sensitive keys masked, down to ``depth`` levels."""
+    mask = F.lit(f'"{L.REDACTED}"')
+    scalar = F.to_json(value)
     if depth == 0:
-        return F.when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), mask).otherwise(value)
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    items = F.try_variant_get(value, "$", "array<variant>")
-    clean_fields = F.transform_values(
-        fields, lambda k, v: F.when(k.rlike(pattern), mask).otherwise(_redacted(v, depth - 1))
+        return F.regexp_replace(scalar, r"(?s)^[{\[].*$", f'"{L.REDACTED}"')
+    sensitive = "(?i)" + "|".join(L.SENSITIVE_KEYS)
+    fields = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    members = F.transform(
+        fields,
+        lambda f: F.concat(
+            F.to_json(f["key"].cast("variant")),
+            F.lit(":"),
+            F.when(f["key"].rlike(sensitive), mask).otherwise(_redacted_json(f["value"], depth - 1)),
+        ),
     )
-    clean_items = F.transform(items, lambda v: _redacted(v, depth - 1))
-    return (
-        F.when(shape.startswith("OBJECT"), F.parse_json(F.to_json(clean_fields)))
-        .when(shape.startswith("ARRAY"), F.parse_json(F.to_json(clean_items)))
-        .otherwise(value)
+    items = F.transform(
+        F.try_variant_get(value, "$", "array<variant>"), lambda v: _redacted_json(v, depth - 1)
+    )
+    # a value of another shape reads as null, which the text around it stays null with
+    return F.coalesce(
+        F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")),
+        F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")),
+        scalar,
     )
 
 
@@ -198,6 +205,5 @@ def redact_logs(logs: DataFrame, column: str = "record", depth: int = 4) -> Data
     Structures nested deeper than ``depth`` are masked whole; text that is no JSON
     is masked too.
     """
-    parsed = F.try_parse_json(F.col(column))
-    clean = F.to_json(_redacted(parsed, depth))
+    clean = _redacted_json(F.try_parse_json(F.col(column)), depth)
     return logs.withColumn(column, F.coalesce(clean, F.lit(f'"{L.REDACTED}"')))
