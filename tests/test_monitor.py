@@ -40,13 +40,13 @@ def histories():
     """Random keys, one hot key, and keys whose changes never saturate the interval."""
     rnd = random.Random(5)
     made = {f"k{i}": [rnd.random() < 0.4 for _ in range(rnd.randint(1, 30))] for i in range(12)}
-    made["hot"] = [rnd.random() < 0.5 for _ in range(400)]
-    made["flat"] = [i % 5 < 2 for i in range(60)]
+    made["hot"] = [rnd.random() < 0.5 for _ in range(60)]
+    made["flat"] = [i % 5 < 2 for i in range(25)]
     made["up"] = [False] * 25
     return made
 
 
-@pytest.mark.parametrize("chunk", [3, 7, 4096])
+@pytest.mark.parametrize("chunk", [8, 20, 4096])
 def test_fold_equals_brute_force(spark, chunk):
     made = histories()
     data = [(k, i, i, c) for k, v in made.items() for i, c in enumerate(v)]

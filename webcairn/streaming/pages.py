@@ -19,14 +19,14 @@ def change_stream(responses: DataFrame, stored: DataFrame) -> DataFrame:
 def publish_batches(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
     """A sink that publishes each run once, however often its row is delivered.
 
-    Every batch reads what is published, numbers the new runs and appends them under
+    Every batch reads what earlier ones published, numbers the new runs and appends them under
     its own batch id, so a repeated batch writes the same rows again.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         try:
-            earlier = read_sink(session, path).where(f"batch <> {batch_id}")
+            earlier = read_sink(session, path).where(f"batch < {batch_id}")
         except Exception as error:  # nothing published yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
