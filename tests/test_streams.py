@@ -49,7 +49,7 @@ def test_progress_ignores_redelivery(spark):
 
 def test_a_repeated_batch_publishes_nothing_new(spark):
     out = work_dir(spark, "publish")
-    publish = pages.publish_batches(spark, out)
+    publish = pages.publish_batches(out)
     batches = [spark.createDataFrame(x, "site_id string, run_id string") for x in ([("s", "r1"), ("s", "r1"), ("t", "r2")], [("s", "r1"), ("s", "r3")])]
     for i in (0, 1, 1, 0):
         publish(batches[i], i)

@@ -138,7 +138,7 @@ define("lines", ("inventory", "heads"), lines_sql("inventory", "heads"))
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """The stored page table: extraction is cut off here, as a written table would."""
-    return materialize(views.page_rows(spark, sf).drop("links", "etag", "last_modified", "lastmod"))
+    return materialize(views.page_rows(spark, sf).drop("etag", "last_modified", "lastmod"))
 
 
 def built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +147,7 @@ def built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def page_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return views.page_rows(spark, sf).drop("links")
+    return views.page_rows(spark, sf)
 
 
 QUERIES["page_rows"] = page_rows

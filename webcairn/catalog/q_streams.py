@@ -1,7 +1,9 @@
-"""Streams over the events, replayed as several files; each must equal its batch query."""
+"""Streams over tables that arrive in parts; each must equal its batch query."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webcairn import limits as L
@@ -18,25 +20,31 @@ ORACLE: dict[str, str] = {}
 PARTS = 3
 
 
-def replay(spark: SparkSession, rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Write a table as consecutive files in the order of ``by`` and read them as a stream."""
-    folder = work_dir(spark, name)
+def replay(
+    spark: SparkSession,
+    rows: DataFrame,
+    by: str,
+    transform: Callable[[DataFrame], DataFrame],
+    mode: str = "append",
+    each: Callable[[str], Callable[[DataFrame, int], None]] = append_to,
+) -> DataFrame:
+    """Let a table arrive in consecutive thirds; every arrival restarts the stream.
+
+    Each run resumes from the checkpoint of the one before it.  Returns the sink.
+    """
+    out = work_dir(spark, "stream")
     cuts = rows.agg(F.percentile_approx(by, [i / PARTS for i in range(1, PARTS)]).alias("c")).first()["c"]
-    edges = [None, *cuts, None]
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(by) > c))
     for i in range(PARTS):
-        low, high = edges[i], edges[i + 1]
-        part = rows
-        part = part.where(F.col(by) > low) if low is not None else part
-        part = part.where(F.col(by) <= high) if high is not None else part
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.where(part == i).write.mode("append").parquet(f"{out}/source")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/source")
+        run_available(transform(stream), each(f"{out}/rows"), f"{out}/state", mode)
+    return read_sink(spark, f"{out}/rows")
 
 
 def stream_cadence(spark: SparkSession, sf: str) -> DataFrame:
-    out = work_dir(spark, "cadence")
-    checks = replay(spark, views.checks(spark, sf), "event_id", "checks")
-    run_available(cadence.cadence_stream(checks), append_to(f"{out}/rows"), f"{out}/state", "update")
-    latest = cadence.latest_cadence(read_sink(spark, f"{out}/rows"))
+    sink = replay(spark, views.checks(spark, sf), "event_id", cadence.cadence_stream, "update")
+    latest = cadence.latest_cadence(sink)
     return latest.select("site_id", "checks", "interval_s", "streak", "last_changed_at")
 
 
@@ -45,10 +53,8 @@ ORACLE["stream_cadence"] = q_monitor.FOLD_ORACLE
 
 
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    out = work_dir(spark, "progress")
-    events = replay(spark, views.crawl_events(spark, sf), "event_id", "events")
-    run_available(progress.progress_stream(events), append_to(f"{out}/rows"), f"{out}/state", "update")
-    return progress.progress_from_sink(read_sink(spark, f"{out}/rows").drop("batch"))
+    sink = replay(spark, views.crawl_events(spark, sf), "event_id", progress.progress_stream, "update")
+    return progress.progress_from_sink(sink.drop("batch"))
 
 
 QUERIES["stream_progress"] = stream_progress
@@ -56,11 +62,11 @@ ORACLE["stream_progress"] = q_reports.ORACLE["run_progress"]
 
 
 def stream_foreign(spark: SparkSession, sf: str) -> DataFrame:
-    out = work_dir(spark, "foreign")
-    events = replay(spark, views.crawl_events(spark, sf), "event_id", "events")
     current = q_reports.runs(spark, sf).where("status <> 'done'")
-    run_available(progress.split_foreign(events, current), append_to(f"{out}/rows"), f"{out}/state")
-    return read_sink(spark, f"{out}/rows").groupBy("run_id", "foreign").agg(F.count(F.lit(1)).alias("events"))
+    sink = replay(
+        spark, views.crawl_events(spark, sf), "event_id", lambda s: progress.split_foreign(s, current)
+    )
+    return sink.groupBy("run_id", "foreign").agg(F.count(F.lit(1)).alias("events"))
 
 
 QUERIES["stream_foreign"] = stream_foreign
@@ -75,10 +81,10 @@ def timed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_stale(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions the watermark has closed; the last of a run may still be open."""
-    out = work_dir(spark, "stale")
-    events = replay(spark, timed_events(spark, sf), "event_id", "events")
-    run_available(progress.stale_run_stream(events, 6 * L.HOUR), append_to(f"{out}/rows"), f"{out}/state")
-    return read_sink(spark, f"{out}/rows").drop("batch")
+    sink = replay(
+        spark, timed_events(spark, sf), "event_id", lambda s: progress.stale_run_stream(s, 6 * L.HOUR)
+    )
+    return sink.drop("batch")
 
 
 QUERIES["stream_stale"] = stream_stale
@@ -94,11 +100,9 @@ HAVING bool_and(event <> 'finish') AND max(ts) + {6 * L.HOUR} <= (SELECT max(ts)
 
 
 def stream_admission(spark: SparkSession, sf: str) -> DataFrame:
-    out = work_dir(spark, "admission")
     rows = q_reports.requests(spark, sf).withColumn("ts", F.timestamp_seconds("ts_s"))
-    requests = replay(spark, rows, "request_id", "requests")
-    run_available(admission.admission_stream(requests, 86_400, 3), append_to(f"{out}/rows"), f"{out}/state")
-    return read_sink(spark, f"{out}/rows").drop("batch")
+    sink = replay(spark, rows, "request_id", lambda s: admission.admission_stream(s, 86_400, 3))
+    return sink.drop("batch")
 
 
 QUERIES["stream_admission"] = stream_admission
@@ -108,11 +112,11 @@ ORACLE["stream_admission"] = oracle(
 
 
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
-    out = work_dir(spark, "changes")
     s = q_monitor.snap(spark, sf)
-    responses = replay(spark, s["responses"], "page_id", "responses")
-    run_available(pages.change_stream(responses, s["stored"]), append_to(f"{out}/rows"), f"{out}/state")
-    return read_sink(spark, f"{out}/rows").drop("batch")
+    sink = replay(
+        spark, s["responses"], "page_id", lambda r: pages.change_stream(r, s["stored"])
+    )
+    return sink.drop("batch")
 
 
 QUERIES["stream_changes"] = stream_changes
@@ -121,15 +125,13 @@ ORACLE["stream_changes"] = q_monitor.ORACLE["check_resolved"]
 
 def stream_publish(spark: SparkSession, sf: str) -> DataFrame:
     """One run per document, delivered twice; a site gets at most one version a batch."""
-    out = work_dir(spark, "publish")
     docs = views.table(spark, sf, "documents").select(
         F.concat("source", F.lit("-"), "lang", F.lit("-"), (F.col("doc_id") % 7).cast("string")).alias("site_id"), "doc_id"
     )
     runs = first_by(docs, ["site_id"], ["doc_id"]).withColumn("run_id", F.concat(F.lit("run"), F.col("doc_id").cast("string")))
     twice = runs.select("site_id", "run_id", F.explode(F.array("doc_id", F.col("doc_id") + 1_000_000_000)).alias("seq"))
-    stream = replay(spark, twice, "seq", "runs").drop("seq")
-    run_available(stream, pages.publish_batches(spark, f"{out}/rows"), f"{out}/state")
-    return read_sink(spark, f"{out}/rows").select("site_id", "run_id", "version")
+    sink = replay(spark, twice, "seq", lambda s: s.drop("seq"), each=pages.publish_batches)
+    return sink.select("site_id", "run_id", "version")
 
 
 QUERIES["stream_publish"] = stream_publish
@@ -142,10 +144,8 @@ FROM documents GROUP BY 1"""
 
 def stream_due(spark: SparkSession, sf: str) -> DataFrame:
     """The due scan as the timer runs it: cadence state from the stream, then the batch filter."""
-    out = work_dir(spark, "due")
-    checks = replay(spark, views.checks(spark, sf), "event_id", "checks")
-    run_available(cadence.cadence_stream(checks), append_to(f"{out}/rows"), f"{out}/state", "update")
-    state = cadence.latest_cadence(read_sink(spark, f"{out}/rows")).withColumn("monitoring", F.lit(True))
+    sink = replay(spark, views.checks(spark, sf), "event_id", cadence.cadence_stream, "update")
+    state = cadence.latest_cadence(sink).withColumn("monitoring", F.lit(True))
     return due_sites(state, q_reports.NOW + 20 * L.DAY).select("site_id", "next_check_at")
 
 

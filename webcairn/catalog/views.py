@@ -98,7 +98,7 @@ def web(spark: SparkSession, sf: str) -> DataFrame:
 def page_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Extracted pages, one row per (site, URL): the least page id wins."""
     usable = ingest_pages(cap_body(landed(spark, sf))).where(F.col("ingest") == "html")
-    pages = canonical_urls(extract_pages(usable).drop("ingest"), "url")
+    pages = canonical_urls(extract_pages(usable).drop("ingest", "links"), "url")
     return first_by(pages.drop("status", "content_type", "content_length"), ["site_id", "url"], ["page_id"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from webcairn import limits as L
 from webcairn.functions import text
-from webcairn.operators.ranking import first_by, positions, top_k
+from webcairn.operators.ranking import first_by, positions, spread_join, top_k
 
 OPTIONAL_RANK = 1 << 40
 RECREATED_RANK = 1 << 30
@@ -91,7 +91,7 @@ def omitted_pages(placed: DataFrame) -> DataFrame:
 def apply_plan(inventory: DataFrame, plan: DataFrame, plan_heads: DataFrame) -> DataFrame:
     """Refined inventory of the sites with an accepted plan; no page is ever lost."""
     sites = accepted_plans(plan_heads).select("site_id")
-    known = inventory.join(sites, "site_id", "left_semi")
+    known = spread_join(inventory, sites, ["site_id"])
     placed = placed_pages(known, plan)
     moved = placed.where(F.col("out_rank").isNotNull()).withColumns(
         {"block": F.lit(0), "o1": F.lit(0).cast("bigint"), "o2": F.col("page_pos")}

@@ -54,7 +54,7 @@ def positions(
     """Dense 1-based position of every row per key, without one task per key.
 
     Rows are range-partitioned and sorted by (keys, order), so a hot key spans
-    many partitions.  Row ids of that layout are fixed by a checkpoint; a small
+    many partitions.  Row ids of that layout are fixed by writing them out; a small
     table of rows per (key, partition) then gives each partition its offset.
     ``order`` must be unique within a key.
     """

@@ -8,7 +8,7 @@ from webcairn import limits as L
 from webcairn.functions.freshness import next_page_interval, next_streak
 from webcairn.functions.sections import section_of
 from webcairn.functions.urls import path_of
-from webcairn.operators.ranking import positions
+from webcairn.operators.ranking import positions, spread_join
 
 KEYS = ["site_id", "url"]
 BODY_COLUMNS = (
@@ -94,6 +94,6 @@ def retire_missed(pages: DataFrame, runs: DataFrame) -> DataFrame:
     """Active pages last seen before their site's run began are removed; never seen is not missed."""
     starts = runs.select("site_id", "started_at")
     missed = (F.col("status") == "active") & (F.col("last_seen_at") < F.col("started_at"))
-    return pages.join(starts, "site_id", "left").withColumn(
+    return spread_join(pages, starts, ["site_id"], "left").withColumn(
         "status", F.when(missed, "removed").otherwise(F.col("status"))
     ).drop("started_at")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webcairn import limits as L
+from webcairn.operators.ranking import spread_join
 
 
 SITES = (
@@ -76,7 +77,8 @@ def load_active_pages(pages: DataFrame, runs: DataFrame) -> DataFrame:
     """Active pages seen since the start of their site's run (no start, no bound)."""
     bound = runs.select("site_id", "started_at")
     seen = F.col("started_at").isNull() | (F.col("last_seen_at") >= F.col("started_at"))
-    return pages.where(F.col("status") == "active").join(bound, "site_id").where(seen).drop("started_at")
+    active = pages.where(F.col("status") == "active")
+    return spread_join(active, bound, ["site_id"]).where(seen).drop("started_at")
 
 
 def page_inventory(pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from webcairn.operators.monitor import resolve_checks
 from webcairn.operators.upsert import append_versions
@@ -16,7 +16,7 @@ def change_stream(responses: DataFrame, stored: DataFrame) -> DataFrame:
     return resolve_checks(stored, responses)
 
 
-def publish_batches(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+def publish_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that publishes each run once, however often its row is delivered.
 
     Every batch reads what earlier ones published, numbers the new runs and appends them under
