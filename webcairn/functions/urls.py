@@ -6,6 +6,8 @@ URLs and are plain Column expressions.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webcairn import limits as L
@@ -219,6 +221,12 @@ def canonical(href: Column, base: Column | None = None) -> Column:
     return _bound({}, steps, _canonical)
 
 
+@lru_cache(maxsize=64)
+def _named_canonical(jvm: int, href: str, base: str | None) -> Column:
+    """The expression over named columns, built once per JVM: it has some hundred nodes."""
+    return canonical(F.col(href), None if base is None else F.col(base))
+
+
 def canonical_urls(
     df: DataFrame,
     href: str,
@@ -227,7 +235,7 @@ def canonical_urls(
     parts: bool = False,
 ) -> DataFrame:
     """Add ``out``, the canonical form of ``href``; ``parts`` also adds origin and path."""
-    made = canonical(F.col(href), None if base is None else F.col(base))
+    made = _named_canonical(id(df.sparkSession._jvm), href, base)
     added = {out: "url"}
     if parts:
         added |= {f"{out}_origin": "origin", f"{out}_path": "path"}
