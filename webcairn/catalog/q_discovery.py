@@ -662,3 +662,42 @@ FROM static_quality s LEFT JOIN rendered_quality r USING (page_id)""",
     "static_quality",
     "rendered_quality",
 )
+
+
+def by_kind(spark: SparkSession, sf: str, wanted) -> DataFrame:
+    parsed = sitemap.parse_sitemaps(sitemap_sources(spark, sf)[0])
+    return sitemap.sitemap_entries(parsed.where(wanted), ["site_id", "doc_url"])
+
+
+def sitemap_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return by_kind(spark, sf, F.col("is_feed"))
+
+
+QUERIES["sitemap_feed"] = sitemap_feed
+ORACLE["sitemap_feed"] = oracle("SELECT site_id, doc_url, pos, url, lastmod FROM parsed_entries WHERE is_feed", "parsed_entries")
+
+
+def sitemap_text(spark: SparkSession, sf: str) -> DataFrame:
+    return by_kind(spark, sf, F.col("kind") == "text")
+
+
+QUERIES["sitemap_text"] = sitemap_text
+ORACLE["sitemap_text"] = oracle("SELECT site_id, doc_url, pos, url, lastmod FROM parsed_entries WHERE kind = 'text'", "parsed_entries")
+
+
+def full_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose validators are withheld: links are wanted and none are stored."""
+    stored = views.landed(spark, sf).select(
+        "page_id",
+        (F.col("page_id") % 3 > 0).alias("follow"),
+        (F.col("page_id") % 5).alias("depth"),
+        F.when(F.col("page_id") % 4 == 0, '["/a"]').when(F.col("page_id") % 4 == 1, "{}").alias("out_links_json"),
+    )
+    needs = frontier.needs_full_fetch(F.col("follow"), F.col("depth"), F.col("out_links_json"))
+    return stored.select("page_id", needs.alias("full_fetch"))
+
+
+QUERIES["full_fetch"] = full_fetch
+ORACLE["full_fetch"] = oracle(
+    "SELECT page_id, page_id % 3 > 0 AND page_id % 5 < 3 AND page_id % 4 <> 0 AS full_fetch FROM pages"
+)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from webcairn import limits as L
 from webcairn.catalog import views
 from webcairn.catalog.ctes import collapse, define, lit, oracle, section, section_rank, segments, strip, truncate
-from webcairn.functions import urls
+from webcairn.functions import text, urls
 from webcairn.functions.sections import section_of
 from webcairn.operators import document, inventory as inv, plan as plans
 from webcairn.plans.generate import generate_documents
@@ -473,3 +473,51 @@ def crawled_path_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["pages_by_depth"] = crawled_path_depth
 ORACLE["pages_by_depth"] = oracle("SELECT site_id, url, depth FROM classified", "classified")
+
+
+def documents_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines, links and rule violations of every rendered document."""
+    rows, heads = built(spark, sf)
+    lines = materialize(document.document_lines(rows, heads))
+    errors = document.validate_lines(lines).groupBy("site_id").agg(F.count(F.lit(1)).alias("errors"))
+    sizes = lines.groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").startswith("- [")).alias("links")
+    )
+    return sizes.join(errors, "site_id", "left").fillna(0, ["errors"])
+
+
+QUERIES["documents_valid"] = documents_valid
+ORACLE["documents_valid"] = oracle(
+    """SELECT site_id, count(*) AS lines, count(*) FILTER (line LIKE '- [%') AS links, CAST(0 AS BIGINT) AS errors FROM lines GROUP BY ALL""",
+    "lines",
+)
+
+
+def line_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of a link line for every stored page."""
+    rows = inv.classify_pages(pages(spark, sf))
+    label = text.link_label(text.blank_to_null(F.col("title")), text.blank_to_null(F.col("h1")), F.col("url"))
+    rows = rows.withColumn("label", label)
+    return rows.select(
+        "site_id",
+        "url",
+        "rich",
+        "is_home",
+        text.strip_title_suffix(text.blank_to_null(F.col("title"))).alias("short_title"),
+        "label",
+        text.link_target(F.col("url")).alias("target"),
+        text.link_description(F.col("description"), F.col("section"), F.col("label")).alias("line_text"),
+        text.truncate(F.col("snippet"), 60).alias("cut"),
+    )
+
+
+QUERIES["line_parts"] = line_parts
+ORACLE["line_parts"] = oracle(
+    f"""
+SELECT site_id, url, CAST(rich AS BIGINT) AS rich, is_home, {strip("CASE WHEN instr(t, ' | ') > 1 THEN split_part(t, ' | ', 1) WHEN instr(t, ' — ') > 1 THEN split_part(t, ' — ', 1) WHEN instr(t, ' – ') > 1 THEN split_part(t, ' – ', 1) WHEN instr(t, ' - ') > 1 THEN split_part(t, ' - ', 1) ELSE t END")} AS short_title,
+  label, replace(replace(url, ')', '%29'), '(', '%28') AS target,
+  coalesce(nullif({collapse('description')}, ''), label || ' (' || section || ').') AS line_text, {truncate('snippet', 60)} AS cut
+FROM (SELECT *, nullif({strip('title')}, '') AS t,
+  coalesce(nullif(translate({collapse("coalesce(nullif(" + strip('title') + ", ''), nullif(" + strip('h1') + ", ''), url)")}, '[]', '()'), ''), url) AS label FROM classified)""",
+    "classified",
+)
