@@ -83,7 +83,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def timed(spark: SparkSession, sf: str) -> DataFrame:
     """Events with the event time as whole epoch seconds."""
     events = table(spark, sf, "events")
-    return events.withColumn("epoch_s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    # the stored time has no zone; it is read as UTC whatever the session's zone is
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz"))
+    return events.withColumn("epoch_s", F.unix_timestamp(local.cast("timestamp")))
 
 
 def landed(spark: SparkSession, sf: str) -> DataFrame:
