@@ -218,7 +218,7 @@ def canonical(href: Column, base: Column | None = None) -> Column:
         _split_host,
         _encode_parts,
     ]
-    return _bound({}, steps, _canonical)
+    return F.when(href.isNotNull(), _bound({}, steps, _canonical))
 
 
 @lru_cache(maxsize=64)
