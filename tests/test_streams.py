@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from webcairn.operators import cadence as batch
 from webcairn.operators.reports import redact_logs, run_progress

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webcairn import limits as L
 from webcairn.catalog import views
-from webcairn.catalog.ctes import attr, canon, collapse, define, lit, oracle, segments
-from webcairn.catalog.q_pages import DUCK_FORMS  # noqa: F401  (defines shared views)
-from webcairn.functions import urls
+from webcairn.catalog.ctes import attr, canon, collapse, define, oracle, segments
+from webcairn.catalog import q_pages  # noqa: F401  (defines views used here)
 from webcairn.operators import extract, frontier, quality, robots, sitemap
 from webcairn.session import materialize
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webcairn import limits as L
 from webcairn.catalog import views
-from webcairn.catalog.ctes import define, lit, oracle, section, segments
-from webcairn.catalog.q_documents import pages as stored_pages
+from webcairn.catalog.ctes import define, oracle, section, segments
 from webcairn.functions import freshness
 from webcairn.operators import cadence, monitor, upsert, versions
 from webcairn.operators.ranking import positions
