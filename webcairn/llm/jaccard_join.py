@@ -12,12 +12,14 @@ to each set's number of common shingles instead, which bounds what a pair's sum
 * sum plus the bound too small: discarded;
 * between: the two texts are compared.
 A set linked to another misses at most n - 0.85 n of its shingles there, so a pair can
-share common columns only if both sets have fewer uncommon shingles than that.  Such sets
-(large groups of near copies, boilerplate) are paired through the least set of each list
-of their lowest hashes first; members of one component need no more, pairs in different
-components are then compared too, so none is lost.
-
-Sets that are equal collapse before any of this, so copies cost one row each.
+share common columns only if both sets have no more uncommon shingles than that.  Such
+sets (large groups of near copies, boilerplate) are listed by their lowest hashes; each is
+compared with the least set of its lists, and sets that lists connect but links do not
+are multiplied row block by row block, over all their columns.  A product returns what it
+connects, a row per set and block, never its pairs.
+
+Sets that are equal collapse before any of this, so copies cost one row each.  A set is
+named by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ from webcairn.llm.graph import components
 SHINGLE = 4
 PERCENT = 85
 #: Sets that a column may have and still be multiplied.
-COMMON = 40
+COMMON = 12
 #: Sets of one buffer of a task that make a column common at once, before the shuffle.
-LOCAL_COMMON = 20
-BLOCK_ENTRIES = 2_000_000
+LOCAL_COMMON = 12
+BLOCK_ENTRIES = 6_000_000
+ROW_BLOCK = 256
 BUFFER_ENTRIES = 1_000_000
 _LENGTH_MIX = np.uint64(0xD6E8FEB86659FD93)
 _TOKEN_BITS = 40
+_OWNER_BITS = 24
 
 
 def shingle_sets(data, at, size):
@@ -66,31 +70,20 @@ def shingle_sets(data, at, size):
 
 
 def set_ids(value, at):
-    """16 bytes per row that stand for its set: two sums over the shingles, and their number."""
-    n = np.diff(at)
-    halves = []
-    for salt in (np.uint64(0x1B873593), np.uint64(0xCC9E2D51)):
-        sums = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum(tk.mix(value + salt), out=sums[1:])
-        halves.append(tk.mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64) * _LENGTH_MIX))
-    return np.stack(halves, axis=1)
-
-
-def _binary16(ids):
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids).tobytes())]).cast(
-        pa.binary()
-    )
+    """64 bits per row that stand for its set: a sum over the shingles, and their number."""
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(tk.mix(value + np.uint64(0x1B873593)), out=sums[1:])
+    return tk.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * _LENGTH_MIX)
 
 
-def _as_ids(column):
-    raw, _ = tk.buffer_of(column)
-    return np.frombuffer(raw.tobytes(), np.uint64).reshape(-1, 2)
+def _signed(x):
+    return np.ascontiguousarray(x).view(np.int64)
 
 
 def _describe(size):
     def scan(batches):
         for batch in batches:
-            ids, number = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
+            ids, number = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, data, at in tk.chunks(batch.column("__text")):
                 value, offsets = shingle_sets(data, at, size)
                 ids.append(set_ids(value, offsets))
@@ -99,7 +92,7 @@ def _describe(size):
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in names),
-                    _binary16(np.concatenate(ids)),
+                    pa.array(_signed(np.concatenate(ids))),
                     pa.array(np.concatenate(number).astype(np.int64)),
                 ],
                 [*names, "set_id", "n_shingles"],
@@ -169,7 +162,7 @@ def _spread(blocks, size):
                 value, offsets = shingle_sets(data, at, size)
                 ids, number = set_ids(value, offsets), np.diff(offsets)
                 use = np.zeros(len(number), bool)
-                for i, key in enumerate(map(bytes, ids)):
+                for i, key in enumerate(ids.tolist()):
                     if number[i] and key not in seen:
                         seen.add(key)
                         use[i] = True
@@ -199,32 +192,33 @@ def _multiply(percent, common_sets):
             raw = pa.decompress(raw[8:], int(np.frombuffer(raw[:8], "<i8")[0]), "zstd").to_pybytes()
             k, m, c = np.frombuffer(raw, "<i8", 3)
             at = 24
-            ids.append(np.frombuffer(raw, "<u8", 2 * k, at).reshape(-1, 2))
-            at += 16 * k
+            ids.append(np.frombuffer(raw, "<u8", k, at))
+            at += 8 * k
             for out, n, width in ((numbers, k, 4), (hots, k, 4), (flagged, c, 5), (tokens, m, 5), (owners, m, 4)):
                 out.append(_unplanes(raw[at : at + n * width], int(n), width))
                 at += n * width
             tokens[-1] = np.cumsum(tokens[-1], dtype=np.uint64)
             owners[-1] = owners[-1] + np.uint64(base)
             base += int(k)
-        ids, number, hot = np.concatenate(ids), np.concatenate(numbers).astype(np.int64), np.concatenate(hots).astype(np.int64)
-        order = np.lexsort((ids[:, 1], ids[:, 0]))
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[order][1:] != ids[order][:-1]).any(axis=1)
-        group = np.empty(len(ids), np.int64)
-        group[order] = np.cumsum(new) - 1
-        ids, number = ids[order][new], number[order][new]
+        every, number, hot = np.concatenate(ids), np.concatenate(numbers).astype(np.int64), np.concatenate(hots).astype(np.int64)
+        ids, first, group = np.unique(every, return_index=True, return_inverse=True)
+        number = number[first]
         lost = np.zeros(len(ids), np.int64)
         np.maximum.at(lost, group, hot)
         flagged = np.unique(np.concatenate(flagged))
-        width = max(1, int(len(ids)).bit_length())
-        token, owner = np.concatenate(tokens), group[np.concatenate(owners).astype(np.int64)]
+        width = _OWNER_BITS
+        if len(ids) >= 1 << width:
+            raise ValueError("too many sets in a block; use smaller blocks")
+        for t, o in zip(tokens, owners):
+            t <<= np.uint64(width)
+            t |= group[o.astype(np.int64)].astype(np.uint64)
+        entry = np.concatenate(tokens)
         del tokens, owners
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        one = np.ones(len(token), bool)
-        one[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner = token[one], owner[one]
+        entry.sort()
+        entry = entry[np.r_[True, entry[1:] != entry[:-1]]] if len(entry) else entry
+        owner = (entry & np.uint64((1 << width) - 1)).astype(np.int32)
+        entry >>= np.uint64(width)
+        token = entry
         head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         df = np.diff(np.r_[head, len(token)])
         often = (df > common_sets) | np.isin(token[head], flagged)
@@ -258,8 +252,8 @@ def _multiply(percent, common_sets):
         some = np.flatnonzero(lost)
         return pa.table(
             {
-                "a": pa.chunked_array([_binary16(ids[a]), _binary16(ids[some])]),
-                "b": pa.chunked_array([_binary16(ids[b]), pa.nulls(len(some), pa.binary())]),
+                "a": pa.array(_signed(np.r_[ids[a], ids[some]])),
+                "b": pa.chunked_array([pa.array(_signed(ids[b])), pa.nulls(len(some), pa.int64())]),
                 "n": pa.array(np.r_[sums, lost[some]].astype(np.int64)),
             }
         )
@@ -343,7 +337,7 @@ def _verified(pairs: DataFrame, texts: _Texts, size: int, percent: int) -> DataF
     left = packed.select(F.col("set_id").alias("a"), F.col("packed").alias("left_text"), F.col("size").alias("left_size"))
     right = packed.select(F.col("set_id").alias("b"), F.col("packed").alias("right_text"), F.col("size").alias("right_size"))
     return materialize(
-        pairs.join(right, "b").join(left, "a").mapInArrow(_compare(size, percent), "a binary, b binary")
+        pairs.join(right, "b").join(left, "a").mapInArrow(_compare(size, percent), "a bigint, b bigint")
     )
 
 
@@ -374,26 +368,132 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _lowest(size, percent):
-    """The lowest shingle hashes of listed texts, as many as a linked set cannot all miss."""
+def _sets(size):
+    """Packed texts to their sets, as sorted hashes."""
 
     def scan(batches):
         for batch in batches:
-            packed, sizes, ids = batch.column("packed"), batch.column("size"), batch.column("set_id")
+            packed, sizes = batch.column("packed"), batch.column("size")
             rows = []
             for i in range(len(batch)):
                 data = np.frombuffer(pa.decompress(packed[i].as_buffer(), sizes[i].as_py(), "zstd"), np.uint8)
-                value = shingle_sets(data, np.array([0, len(data)]), size)[0]
+                rows.append(shingle_sets(data, np.array([0, len(data)]), size)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(rows, pa.binary())], ["set_id", "entries"])
+
+    return scan
+
+
+def _lowest(percent):
+    """The lowest hashes of each set, as many as a linked set cannot all miss."""
+
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for cell in batch.column("entries"):
+                value = np.frombuffer(cell.as_buffer(), np.int64)
                 rows.append(value[: len(value) + (-percent * len(value) // 100) + 1])
-            number = [len(x) for x in rows]
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+            at = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.repeat(np.arange(len(rows)), number))), pa.array(flat.view(np.int64))], ["set_id", "token"]
+                [batch.column("set_id").take(pa.array(at)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))],
+                ["set_id", "token"],
             )
 
     return scan
 
 
+def _connect(percent):
+    """What one pair of row blocks connects: each set with the least set it reaches there."""
+
+    def block(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("set_id")
+        ids = rows["set_id"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in rows["entries"]]
+        n = np.array([len(x) for x in sets])
+        value = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        column = np.cumsum(np.r_[True, value[1:] != value[:-1]]) - 1
+        use = np.bincount(column)[column] > 1
+        column, owner = column[use], owner[use]
+        column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            part = slice(*np.searchsorted(column, [low, low + 4096]))
+            dense = np.zeros((len(sets), 4096), np.float32)
+            dense[owner[part], column[part] - low] = 1
+            shared += dense @ dense.T
+        shared = np.rint(shared).astype(np.int64)
+        link = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+        label = np.arange(len(sets))
+        while True:
+            after = np.where(link, label[None, :], len(sets)).min(axis=1)
+            after = np.minimum(label, after)
+            after = np.minimum(after, after[after])
+            if (after == label).all():
+                break
+            label = after
+        some = np.flatnonzero(label != np.arange(len(sets)))
+        return pa.table({"a": pa.array(ids[label[some]]), "b": pa.array(ids[some])})
+
+    return block
+
+
+def _crowded_links(crowd: DataFrame, links: DataFrame, texts: _Texts, size: int, percent: int) -> DataFrame:
+    """Links among the sets of ``crowd`` (set_id, entries) that connect all their pairs."""
+    lists = materialize(crowd.mapInArrow(_lowest(percent), "set_id bigint, token bigint"))
+    hubs = lists.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a <> z").select("token", "a")
+    star = materialize(
+        lists.join(materialize(hubs), "token").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
+    )
+    if star.isEmpty():
+        return links
+    near = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = links.unionByName(_verified(_apart(near, links), texts, size, percent))
+    group = components(star).select(F.col("node").alias("set_id"), F.col("component").alias("g"))
+    placed = group
+    if not links.isEmpty():
+        placed = placed.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
+        placed = placed.withColumn("c", F.coalesce("component", "set_id")).drop("component")
+    else:
+        placed = placed.withColumn("c", F.col("set_id"))
+    placed = materialize(placed)
+    parts = placed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
+    apart = materialize(parts.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("m") < ROW_BLOCK, F.col("m"))).alias("small")).where("kinds > 1"))
+    if apart.isEmpty():
+        return links
+    # blocks of rows: large components apart, small ones together
+    large = F.col("m") >= ROW_BLOCK
+    blocks = F.ceil(F.when(large, F.col("m")).otherwise(F.col("small")) / F.lit(float(ROW_BLOCK)))
+    members = materialize(
+        placed.join(parts, ["g", "c"])
+        .join(apart, "g")
+        .select(
+            "g",
+            "set_id",
+            F.when(large, F.col("c")).alias("of"),
+            F.pmod(F.xxhash64("set_id"), blocks.cast("bigint")).alias("block"),
+        )
+    )
+    name = F.struct(F.coalesce("of", F.lit(-1)).alias("of"), F.col("of").isNull().alias("mixed"), "block")
+    named = members.select("g", "set_id", "of", name.alias("name"))
+    kinds = named.select("g", "of", "name").distinct()
+    pairs = (
+        kinds.withColumnsRenamed({"of": "of1", "name": "name1"})
+        .join(kinds.withColumnsRenamed({"of": "of2", "name": "name2"}), "g")
+        .where((F.col("name1") <= F.col("name2")) & ~F.coalesce(F.col("of1") == F.col("of2"), F.lit(False)))
+        .select("g", "name1", "name2")
+    )
+    ends = pairs.select("g", "name1", "name2", F.col("name1").alias("name")).union(
+        pairs.where("name1 <> name2").select("g", "name1", "name2", "name2")
+    )
+    rows = named.select("g", "set_id", "name").join(materialize(ends), ["g", "name"]).join(crowd, "set_id")
+    more = rows.select("g", "name1", "name2", "set_id", "entries").groupBy("g", "name1", "name2").applyInArrow(
+        _connect(percent), "a bigint, b bigint"
+    )
+    return links.unionByName(materialize(more.distinct()))
+
+
 def set_links(docs: DataFrame, sets: DataFrame, text: str, size: int, percent: int, common: int) -> DataFrame:
     """a, b: links between distinct sets that connect every pair reaching the threshold."""
     needed = F.ceil((F.col("a_n") + F.col("b_n")) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
@@ -403,7 +503,7 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str, size: int, percent: i
     out = materialize(
         body.mapInArrow(_spread(blocks, size), "block int, data binary")
         .groupBy("block")
-        .applyInArrow(_multiply(percent, common), "a binary, b binary, n bigint")
+        .applyInArrow(_multiply(percent, common), "a bigint, b bigint, n bigint")
     )
     lost = materialize(out.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("common")).withColumnRenamed("a", "set_id"))
     known = materialize(
@@ -424,38 +524,11 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str, size: int, percent: i
     links = _in_rounds(_apart(judged.where("NOT sure").select("a", "b"), links), links, texts, size, percent)
     # sets whose uncommon shingles may all be missing in a linked set
     allowed = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9))
-    crowded = materialize(known.where(F.col("n") - F.col("common") <= allowed).select("set_id", "n"))
+    crowded = materialize(known.where(F.col("n") - F.col("common") <= allowed).select("set_id"))
     if crowded.isEmpty():
         return links
-    lists = materialize(
-        texts.of(crowded).mapInArrow(_lowest(size, percent), "set_id binary, token bigint").join(crowded, "set_id")
-    )
-    least = lists.groupBy("token").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    hubs = materialize(least.select("token", "a"))
-    near = lists.join(hubs, "token").where("set_id <> a").groupBy(F.col("set_id").alias("b")).agg(F.min("a").alias("a"))
-    links = links.unionByName(_verified(_apart(near.select("a", "b"), links), texts, size, percent))
-    # pairs of one list that are still in different components
-    place = materialize(components(links)) if not links.isEmpty() else None
-    listed = lists.join(hubs.select("token"), "token", "left_semi")
-    if place is not None:
-        listed = listed.join(place.withColumnRenamed("node", "set_id"), "set_id", "left")
-        listed = listed.withColumn("component", F.coalesce("component", "set_id"))
-    else:
-        listed = listed.withColumn("component", F.col("set_id"))
-    mixed = listed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    listed = materialize(listed.join(mixed, "token", "left_semi"))
-    if listed.isEmpty():
-        return links
-    one = listed.select("token", F.col("set_id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_place"))
-    two = listed.select("token", F.col("set_id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_place"))
-    rest = (
-        one.join(two, "token")
-        .where((F.col("a") < F.col("b")) & (F.col("a_place") != F.col("b_place")))
-        .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        .select("a", "b")
-        .distinct()
-    )
-    return _in_rounds(rest, links, texts, size, percent)
+    crowd = materialize(texts.of(crowded).mapInArrow(_sets(size), "set_id bigint, entries binary"))
+    return _crowded_links(crowd, links, texts, size, percent)
 
 
 def jaccard_groups(
@@ -475,7 +548,7 @@ def jaccard_groups(
     """
     rest = [c for c in docs.columns if c not in (text, "set_id", "n_shingles", "component_id")]
     keep = docs.select(*rest, text_key(F.col(text).cast("string")).alias("__text_key"), F.col(text).cast("string").alias("__text"))
-    schema = keep.drop("__text").schema.add("set_id", "binary").add("n_shingles", "long")
+    schema = keep.drop("__text").schema.add("set_id", "long").add("n_shingles", "long")
     rows = materialize(keep.mapInArrow(_describe(size), schema))
     sets = materialize(
         rows.where("n_shingles > 0")
