@@ -182,8 +182,8 @@ def _spread(blocks, size):
     return scan
 
 
-def _multiply(percent, common_sets):
-    """One block: shared entries per pair of sets, and per set its common entries."""
+def _multiply(percent, common_sets, parts):
+    """One block: shared entries per pair of sets, and per set its common entries, packed by part of the first set."""
 
     def block(rows: pa.Table) -> pa.Table:
         ids, numbers, hots, flagged, tokens, owners, base = [], [], [], [], [], [], 0
@@ -247,20 +247,38 @@ def _multiply(percent, common_sets):
                 if waiting > 4_000_000:
                     add()
         add()
-        a = (keys >> np.uint64(width)).astype(np.int64)
-        b = (keys & np.uint64((1 << width) - 1)).astype(np.int64)
         some = np.flatnonzero(lost)
+        a = np.r_[ids[(keys >> np.uint64(width)).astype(np.int64)], ids[some]]
+        b = np.r_[ids[(keys & np.uint64((1 << width) - 1)).astype(np.int64)], ids[some]]  # a set with itself: its common entries
+        n = np.r_[sums, lost[some]]
+        part = (a % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        used = np.flatnonzero(np.diff(cut))
+        pick = [order[cut[i] : cut[i + 1]] for i in used]
         return pa.table(
             {
-                "a": pa.array(_signed(np.r_[ids[a], ids[some]])),
-                "b": pa.chunked_array([pa.array(_signed(ids[b])), pa.nulls(len(some), pa.int64())]),
-                "n": pa.array(np.r_[sums, lost[some]].astype(np.int64)),
+                "part": pa.array(used.astype(np.int32)),
+                "a": pa.array([a[x].tobytes() for x in pick], pa.binary()),
+                "b": pa.array([b[x].tobytes() for x in pick], pa.binary()),
+                "n": pa.array([n[x].astype("<i4").tobytes() for x in pick], pa.binary()),
             }
         )
 
     return block
 
 
+def _total(rows: pa.Table) -> pa.Table:
+    """The sums of one part over all blocks: a row per pair, and per set (null b) with common entries."""
+    a, b = (np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in rows.column(c)]) for c in ("a", "b"))
+    n = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("n")])
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order].astype(np.int64)
+    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    a, b = a[head], b[head]
+    return pa.table({"a": pa.array(a), "b": pa.array(b, mask=a == b), "n": pa.array(np.add.reduceat(n, head))})
+
+
 def _compare(size, percent):
     """Pairs of texts that reach the threshold."""
 
@@ -503,17 +521,18 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str, size: int, percent: i
     out = materialize(
         body.mapInArrow(_spread(blocks, size), "block int, data binary")
         .groupBy("block")
-        .applyInArrow(_multiply(percent, common), "a bigint, b bigint, n bigint")
+        .applyInArrow(_multiply(percent, common, 4 * blocks), "part int, a binary, b binary, n binary")
+        .groupBy("part")
+        .applyInArrow(_total, "a bigint, b bigint, n bigint")
     )
-    lost = materialize(out.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("common")).withColumnRenamed("a", "set_id"))
+    lost = out.where("b IS NULL").select(F.col("a").alias("set_id"), F.col("n").alias("common"))
     known = materialize(
         sets.join(lost, "set_id", "left").select("set_id", F.col("n_shingles").alias("n"), F.coalesce("common", F.lit(0)).alias("common"))
     )
     side = lambda end: known.select(F.col("set_id").alias(end), F.col("n").alias(f"{end}_n"), F.col("common").alias(f"{end}_common"))
     judged = materialize(
         out.where("b IS NOT NULL")
-        .groupBy("a", "b")
-        .agg(F.sum("n").alias("shared"))
+        .withColumnRenamed("n", "shared")
         .join(side("a"), "a")
         .join(side("b"), "b")
         .where(F.col("shared") + F.least("a_common", "b_common") >= needed)
