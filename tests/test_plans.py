@@ -42,6 +42,10 @@ def test_monitor_tick(spark):
     assert [tuple(r) for r in out["cadence"].select("site_id", "check_interval_s", "change_streak", "next_check_at").collect()] == [("s", 43200, 1, 43300)]
     got = {r["url"][14:]: (r["status"], r["last_checked_at"], r["page_check_interval_s"]) for r in out["pages"].collect()}
     assert got == {"a": ("active", 100, 302400), "b": ("removed", None, 604800)}
+    # without any entry there is no sitemap to differ from: nothing is removed, due pages are sampled
+    out = monitor_tick(sites, pages, entries.limit(0), responses, 100)
+    assert {r["url"][14:]: r["bucket"] for r in out["changes"].collect()} == {"a": "modified"}
+    assert {r["url"][14:]: r["status"] for r in out["pages"].collect()} == {"a": "active", "b": "active"}
 
 
 def test_snapshots_to_stored_documents(spark):

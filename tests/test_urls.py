@@ -73,3 +73,23 @@ def test_crawlable_paths(spark):
     df = spark.createDataFrame([(p,) for p in cases], "p string")
     got = {r[0]: r[1] for r in df.select("p", urls.is_crawlable_path(F.col("p"))).collect()}
     assert got == cases
+
+
+def test_overlong_numbers_are_judged_not_raised(spark):
+    hosts = {
+        "0x" + "f" * 20: False,
+        "0" + "7" * 30: False,
+        "9" * 40: False,
+        "0x000000000007f000001": True,
+        "0x7f000001": True,
+        "00000017700000001": True,
+        "2130706433": True,
+        "0x0": True,
+    }
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = {r.h: r.b for r in rows.select("h", urls.is_blocked_host(F.col("h")).alias("b")).collect()}
+    assert got == hosts
+    ports = {"https://e.com:99999999999/x": None, "https://e.com:70000/x": None, "https://e.com:000443/x": "https://e.com/x"}
+    rows = spark.createDataFrame([(u,) for u in ports], "u string")
+    got = {r.u: r.c for r in rows.select("u", urls.canonical(F.col("u"))["url"].alias("c")).collect()}
+    assert got == ports

@@ -136,7 +136,7 @@ SELECT page_id, name, name IN ('utm_source', 'ref', 'sessionid') AS tracking FRO
 
 
 def html_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = extract.ingest_pages(extract.cap_body(_landed(spark, sf)))
+    rows = extract.ingest_pages(extract.cap_body(_landed(spark, sf), cap=L.PAGE_BODY_CAP))
     return rows.groupBy("site_id", "ingest").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -166,7 +166,7 @@ SELECT doc_id, length(body) AS kept, sha256(body) AS digest FROM (
 
 
 def page_meta(spark: SparkSession, sf: str) -> DataFrame:
-    pages = extract.extract_pages(extract.cap_body(_landed(spark, sf)))
+    pages = extract.extract_pages(extract.cap_body(_landed(spark, sf), cap=L.PAGE_BODY_CAP))
     return pages.select("page_id", "title", "description", "h1", "snippet")
 
 
@@ -175,7 +175,7 @@ ORACLE["page_meta"] = oracle("SELECT page_id, title, description, h1, snippet FR
 
 
 def page_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.extract_pages(extract.cap_body(_landed(spark, sf))).select("page_id", "content_hash")
+    return extract.extract_pages(extract.cap_body(_landed(spark, sf), cap=L.PAGE_BODY_CAP)).select("page_id", "content_hash")
 
 
 QUERIES["page_fingerprint"] = page_fingerprint

@@ -74,11 +74,11 @@ def meta_content(tags: Column, field: str, value: str) -> Column:
     return F.get(F.filter(tags, lambda m: m[field] == value), 0)["content"]
 
 
-def hrefs(html: Column) -> Column:
-    """Raw non-empty link targets in document order, capped as a crawl caps them."""
+def hrefs(html: Column, most: int | None = None) -> Column:
+    """Raw non-empty link targets in document order: all, or the first ``most``."""
     tags = F.regexp_extract_all(html, F.lit(ANCHOR_TAG), F.lit(0))
     targets = F.filter(F.transform(tags, lambda t: attribute(t, "href")), lambda h: h != "")
-    return F.slice(targets, 1, L.MAX_LINKS_PER_PAGE)
+    return targets if most is None else F.slice(targets, 1, most)
 
 
 def fingerprint(*fields: Column) -> Column:

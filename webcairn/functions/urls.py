@@ -160,7 +160,7 @@ def _split_host(e: dict) -> dict:
 
 def _encode_parts(e: dict) -> dict:
     return {
-        "port_no": F.substr(e["port"], F.lit(2)).try_cast("int"),
+        "port_no": F.regexp_extract(e["port"], r"^:0*(\d{1,5})$", 1).try_cast("int"),
         "safe_path": F.when(
             e["flat_path"].rlike(PATH_UNSAFE), _encode_path(e["flat_path"])
         ).otherwise(e["flat_path"]),
@@ -183,7 +183,7 @@ def _canonical(e: dict) -> Column:
     valid = (
         e["scheme"].isin("http", "https")
         & e["host"].rlike(HOST_SHAPE)
-        & e["port"].rlike(r"^(:\d*)?$")
+        & e["port"].rlike(r"^(:0*\d{0,5})?$")
         & (F.coalesce(e["port_no"], F.lit(0)) <= 65535)
     )
     query = F.when(e["clean_query"] != "", F.concat(F.lit("?"), e["clean_query"])).otherwise("")
@@ -305,9 +305,9 @@ def dotted_quad(host: Column) -> Column:
     low = F.conv(F.regexp_extract(host, r"^::ffff:[0-9a-f]{1,4}:([0-9a-f]{1,4})$", 1), 16, 10)
     mapped_hex = high.try_cast("bigint") * 65536 + low.try_cast("bigint")
     number = (
-        F.when(host.rlike(r"^0x[0-9a-f]+$"), F.conv(F.substr(host, F.lit(3)), 16, 10))
-        .when(host.rlike(r"^0[0-7]+$"), F.conv(host, 8, 10))
-        .when(host.rlike(r"^(0|[1-9]\d*)$"), host)
+        F.when(host.rlike(r"^0x0*[0-9a-f]{1,8}$"), F.conv(F.regexp_extract(host, r"^0x0*([0-9a-f]{1,8})$", 1), 16, 10))
+        .when(host.rlike(r"^00*[0-7]{1,11}$"), F.conv(F.regexp_extract(host, r"^00*([0-7]{1,11})$", 1), 8, 10))
+        .when(host.rlike(r"^(0|[1-9]\d{0,9})$"), host)
     ).try_cast("bigint")
     return (
         F.when(host.rlike(r"^::ffff:\d+\.\d+\.\d+\.\d+$"), F.substr(host, F.lit(8)))

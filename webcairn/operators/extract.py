@@ -9,9 +9,11 @@ from webcairn.functions import markup
 
 
 def cap_body(
-    df: DataFrame, body: str = "html", declared: str = "content_length", cap: int = L.PAGE_BODY_CAP
+    df: DataFrame, body: str = "html", declared: str = "content_length", cap: int | None = None
 ) -> DataFrame:
-    """Drop a body whose declared length passes the cap, cut any other at the cap."""
+    """Drop a body whose declared length passes the cap, cut any other at the cap; all stay whole without one."""
+    if cap is None:
+        return df
     kept = F.when(F.coalesce(F.col(declared), F.lit(0)) <= cap, F.substring(F.col(body), 1, cap))
     return df.withColumn(body, kept)
 

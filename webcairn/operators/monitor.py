@@ -143,7 +143,8 @@ def monitor_candidates(
     return top_k(moved.unionByName(stale), ["site_id"], order, limit)
 
 
-def due_sites(sites: DataFrame, now: int, limit: int = L.DUE_SITES) -> DataFrame:
-    """Monitored sites whose next check has come, the longest waiting first."""
+def due_sites(sites: DataFrame, now: int, limit: int | None = None) -> DataFrame:
+    """Monitored sites whose next check has come, the longest waiting first; all of them, or ``limit``."""
     due = sites.where(F.col("monitoring") & (F.col("next_check_at") <= now))
-    return due.orderBy("next_check_at", "site_id").limit(limit)
+    due = due.orderBy("next_check_at", "site_id")
+    return due if limit is None else due.limit(limit)

@@ -111,10 +111,11 @@ def search_key(query: Column) -> Column:
     return F.coalesce(host, plain)
 
 
-def search_sites(sites: DataFrame, query: str, limit: int = L.NEWEST_SITES) -> DataFrame:
-    """Newest sites whose origin holds the searched text."""
+def search_sites(sites: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Sites whose origin holds the searched text, the newest first; all of them, or ``limit``."""
     found = sites.where(F.contains(F.lower("origin"), search_key(F.lit(query))))
-    return found.orderBy(F.desc("created_at"), "site_id").limit(limit)
+    found = found.orderBy(F.desc("created_at"), "site_id")
+    return found if limit is None else found.limit(limit)
 
 
 def domain_keys(params: DataFrame, column: str) -> DataFrame:
@@ -140,9 +141,9 @@ def lookup_sites(params: DataFrame, column: str, sites: DataFrame) -> DataFrame:
     return hits.groupBy(*params.columns).agg(F.min_by("site_id", "priority").alias("site_id"))
 
 
-def site_list(sites: DataFrame, versions: DataFrame, limit: int = L.NEWEST_SITES) -> DataFrame:
-    """The newest sites with their latest version; sites without one drop out after the limit."""
-    newest = sites.orderBy(F.desc("created_at"), "site_id").limit(limit)
+def site_list(sites: DataFrame, versions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sites with their latest version; with ``limit`` the newest, sites without a version dropping out after it."""
+    newest = sites if limit is None else sites.orderBy(F.desc("created_at"), "site_id").limit(limit)
     latest = latest_versions(versions.join(newest.select("site_id"), "site_id", "left_semi"))
     latest = latest.select("site_id", "version", F.col("created_at").alias("version_at"))
     return newest.join(latest, "site_id").orderBy(F.desc("version_at"), "site_id")

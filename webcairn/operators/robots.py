@@ -12,9 +12,12 @@ from webcairn.operators.ranking import spread_join
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
-def robots_directives(docs: DataFrame, key: str = "site_id") -> DataFrame:
-    """One row per line: position, directive name and value (null where there is none)."""
-    body = F.substring(F.col("body"), 1, L.ROBOTS_BODY_CAP)
+def robots_directives(docs: DataFrame, key: str = "site_id", cap: int | None = None) -> DataFrame:
+    """One row per line: position, directive name and value (null where there is none).
+
+    A ``cap`` in characters cuts the body; by default it is read whole.
+    """
+    body = F.col("body") if cap is None else F.substring(F.col("body"), 1, cap)
     lines = docs.select(key, F.posexplode(F.split(body, r"\r?\n")).alias("pos", "raw"))
     lines = lines.withColumn("line", strip(F.regexp_replace("raw", "#.*$", "")))
     named = F.instr("line", ":") > 0
@@ -30,8 +33,8 @@ def parse_robots(docs: DataFrame, agent: str = L.ROBOTS_AGENT, key: str = "site_
     """Rules per site: disallow prefixes, crawl delay and sitemaps, in document order.
 
     Adjacent user-agent lines share the rules below them.  Our own groups apply if
-    the document names us, else those of ``*``.  A window holds one document, which
-    the body cap bounds, and every step reuses the one shuffle by site.
+    the document names us, else those of ``*``.  A window holds one document and
+    every step reuses the one shuffle by site.
     """
     d = robots_directives(docs, key)
     by_line = Window.partitionBy(key).orderBy("pos")

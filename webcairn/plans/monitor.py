@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from webcairn import limits as L
 from webcairn.functions import freshness
 from webcairn.operators import monitor, upsert
 from webcairn.operators.ranking import spread_join
@@ -17,7 +16,7 @@ def monitor_tick(
     entries: DataFrame,
     responses: DataFrame,
     now: int,
-    limit: int = L.DUE_SITES,
+    limit: int | None = None,
 ) -> dict[str, DataFrame]:
     """Changes, summaries, page table and site cadence after checking the due sites.
 
@@ -28,7 +27,9 @@ def monitor_tick(
     ids = due.select("site_id")
     active = spread_join(pages.where(F.col("status") == "active"), ids, ["site_id"])
     current = monitor.current_entries(spread_join(entries, ids, ["site_id"]))
-    diff = materialize(monitor.diff_sitemap(active, current))
+    # a site without entries has no sitemap to differ from: its pages are sampled, none is removed
+    listed = materialize(current.select("site_id").distinct())
+    diff = materialize(monitor.diff_sitemap(active.join(listed, "site_id", "left_semi"), current))
     chosen = monitor.monitor_candidates(active, diff, now).select("site_id", "url")
     checks = materialize(monitor.resolve_checks(active, responses.join(chosen, ["site_id", "url"])))
     changes = monitor.build_changes(diff, checks)

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webcairn import limits as L
 from webcairn.operators.ranking import spread_join
 
 
@@ -65,12 +64,11 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str, cap: int = L.SITEMAP_BODY_CAP) -> DataFrame:
-    """Robots or sitemap files, one row per file; ``.gz`` bodies are unpacked by the reader."""
+def read_documents(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """Robots or sitemap files, one row per file, whole unless ``cap`` cuts them; ``.gz`` bodies are unpacked by the reader."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(
-        F.col("_metadata.file_path").alias("doc_url"), F.substring("value", 1, cap).alias("body")
-    )
+    body = F.col("value") if cap is None else F.substring("value", 1, cap)
+    return raw.select(F.col("_metadata.file_path").alias("doc_url"), body.alias("body"))
 
 
 def load_active_pages(pages: DataFrame, runs: DataFrame) -> DataFrame:
