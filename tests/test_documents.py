@@ -66,22 +66,22 @@ def test_parts_join_to_the_whole(spark):
 def errors_of(spark, content, **kw):
     df = spark.createDataFrame([("s", "https://e.com", content)], "site_id string, origin string, content string")
     got = document.validate_lines(document.split_documents(df, ["site_id", "origin"]), **kw)
-    return sorted((r["line_no"], r["error"]) for r in got.collect())
+    return sorted((r["line_no"], r["rule"], r["detail"] or "") for r in got.collect())
 
 
 def test_validator(spark):
     good = "# T\n\n> s\n\n## Docs\n- [a](https://e.com/x): d\n\n## Optional\n- [b](https://e.com/y): d\n"
     assert errors_of(spark, good) == []
-    assert errors_of(spark, "") == [(0, "missing H1"), (0, "missing blockquote summary")]
+    assert errors_of(spark, "") == [(0, "summary_missing", ""), (0, "title_missing", "")]
     assert errors_of(spark, "> s\n# T\n# U\n### x") == [
-        (1, "blockquote before H1"), (2, "H1 must be first line"), (3, "H1 must be first line"), (3, "multiple H1"),
-        (4, "H3+ headings not allowed at top level")]
+        (1, "summary_before_title", ""), (2, "title_not_first", ""), (3, "title_not_first", ""),
+        (3, "title_repeated", ""), (4, "heading_too_deep", "")]
     assert errors_of(spark, "# T\n> s\n## Optional\n## A\n## Optional") == [
-        (4, 'section "A" after ## Optional — Optional must be last'),
-        (5, "duplicate ## Optional section"), (5, 'section "Optional" after ## Optional — Optional must be last')]
-    evil = "# T\n> s\n- [a](https://e.com.evil.org/x): d\n- [a](https://e.com/x)"
-    assert errors_of(spark, evil) == [(3, "cross-origin link https://e.com.evil.org/x"), (4, "malformed link item")]
-    assert errors_of(spark, evil, prefix_origin=True) == [(4, "malformed link item")]
+        (4, "section_after_optional", "A"), (5, "optional_repeated", ""), (5, "section_after_optional", "Optional")]
+    evil = "# T\n> s\n- [a](https://e.com.evil.org/x): d\n- [a](https://e.com/x)\n- [a](https://e.com:99999/x): d"
+    foreign, bad = (3, "link_foreign", "https://e.com.evil.org/x"), (5, "link_invalid", "https://e.com:99999/x")
+    assert errors_of(spark, evil) == [foreign, (4, "link_malformed", ""), bad]
+    assert errors_of(spark, evil, prefix_origin=True) == [(4, "link_malformed", ""), bad]
 
 
 def test_random_pages_render_valid_documents(spark):

@@ -280,28 +280,28 @@ define(
 )
 ORACLE["document_errors"] = oracle(
     rf"""
-SELECT doc_id, line_no, error FROM (
+SELECT doc_id, line_no, broken.rule AS rule, broken.detail AS detail FROM (
   SELECT doc_id, line_no, unnest([
-    CASE WHEN line LIKE '# %' AND h1_before > 0 THEN 'multiple H1' END,
-    CASE WHEN line LIKE '# %' AND line_no > 1 THEN 'H1 must be first line' END,
-    CASE WHEN line LIKE '## %' AND opt_before > 0 THEN 'section "' || {strip('substr(line, 4)')} || '" after ## Optional — Optional must be last' END,
-    CASE WHEN line LIKE '## %' AND {strip('substr(line, 4)')} = 'Optional' AND opt_before > 0 THEN 'duplicate ## Optional section' END,
-    CASE WHEN line LIKE '> %' AND h1_before = 0 THEN 'blockquote before H1' END,
-    CASE WHEN regexp_matches(line, '^#{{3,}}\s') THEN 'H3+ headings not allowed at top level' END,
+    CASE WHEN line LIKE '# %' AND h1_before > 0 THEN {{rule: 'title_repeated', detail: NULL::VARCHAR}} END,
+    CASE WHEN line LIKE '# %' AND line_no > 1 THEN {{rule: 'title_not_first', detail: NULL}} END,
+    CASE WHEN line LIKE '## %' AND opt_before > 0 THEN {{rule: 'section_after_optional', detail: {strip('substr(line, 4)')}}} END,
+    CASE WHEN line LIKE '## %' AND {strip('substr(line, 4)')} = 'Optional' AND opt_before > 0 THEN {{rule: 'optional_repeated', detail: NULL}} END,
+    CASE WHEN line LIKE '> %' AND h1_before = 0 THEN {{rule: 'summary_before_title', detail: NULL}} END,
+    CASE WHEN regexp_matches(line, '^#{{3,}}\s') THEN {{rule: 'heading_too_deep', detail: NULL}} END,
     CASE WHEN line LIKE '- %' THEN
-      CASE WHEN NOT regexp_matches(line, {lit(L.LINK_LINE)}) THEN 'malformed link item'
+      CASE WHEN NOT regexp_matches(line, {lit(L.LINK_LINE)}) THEN {{rule: 'link_malformed', detail: NULL}}
            WHEN regexp_extract(line, '\((https?://[^/)]+)', 1) <> origin
-             THEN 'cross-origin link ' || regexp_extract(line, '\((https?://[^)]+)\)', 1) END END]) AS error
+             THEN {{rule: 'link_foreign', detail: regexp_extract(line, '\((https?://[^)]+)\)', 1)}} END END]) AS broken
   FROM (SELECT *,
       coalesce(sum(CASE WHEN line LIKE '# %' THEN 1 ELSE 0 END) OVER w, 0) AS h1_before,
       coalesce(sum(CASE WHEN line LIKE '## %' AND {strip('substr(line, 4)')} = 'Optional' THEN 1 ELSE 0 END) OVER w, 0) AS opt_before
     FROM candidate_lines
     WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-) WHERE error IS NOT NULL
+) WHERE broken IS NOT NULL
 UNION ALL
-SELECT doc_id, 0, 'missing H1' FROM candidate_lines GROUP BY doc_id HAVING count(*) FILTER (line LIKE '# %') = 0
+SELECT doc_id, 0, 'title_missing', NULL FROM candidate_lines GROUP BY doc_id HAVING count(*) FILTER (line LIKE '# %') = 0
 UNION ALL
-SELECT doc_id, 0, 'missing blockquote summary' FROM candidate_lines GROUP BY doc_id HAVING count(*) FILTER (line LIKE '> %') = 0""",
+SELECT doc_id, 0, 'summary_missing', NULL FROM candidate_lines GROUP BY doc_id HAVING count(*) FILTER (line LIKE '> %') = 0""",
     "candidate_lines",
 )
 

@@ -99,6 +99,9 @@ PRIVATE_IPV4 = (
     r"|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
 )
 
+# text of documents whose homepage has no snippet; readers compare documents as written
+DEFAULT_SUMMARY = "Key pages and documentation for %s."
+
 # enumerations
 RUN_STATUSES = ("queued", "crawling", "generating", "done", "error")
 PAGE_STATUSES = ("active", "removed", "error")

@@ -131,10 +131,26 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _broken(*rules: tuple[Column, str, Column | None]) -> Column:
+    """The rules, of (broken, rule, detail), whose condition holds."""
+    found = [
+        F.when(
+            broken,
+            F.struct(
+                F.lit(rule).alias("rule"), (F.lit(None) if detail is None else detail).cast("string").alias("detail")
+            ),
+        )
+        for broken, rule, detail in rules
+    ]
+    return F.array_compact(F.array(*found))
+
+
 def validate_lines(
     lines: DataFrame, keys: tuple[str, ...] = ("site_id",), prefix_origin: bool = False
 ) -> DataFrame:
-    """Rule violations: keys, line_no (0 for the whole document), error.
+    """Rule violations: keys, line_no (0 for the whole document), rule, detail.
+
+    ``detail`` is the link target or the section name where the rule is about one.
 
     ``lines`` carries the keys, ``origin``, ``line_no`` and ``line``.  "Before" and
     "after" rules only need the first title and first Optional line of a document,
@@ -161,47 +177,30 @@ def validate_lines(
     same = F.col("link_origin") == F.col("origin")
     if prefix_origin:
         same = same | F.startswith(F.col("target"), F.col("origin"))
+    untitled = F.col("h1_no").isNull() | (no < F.col("h1_no"))
     line_errors = marks.select(
         *keys,
         "line_no",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(is_h1 & (no > F.col("h1_no")), "multiple H1"),
-                    F.when(is_h1 & (no != 1), "H1 must be first line"),
-                    F.when(
-                        late,
-                        F.concat(
-                            F.lit('section "'), name, F.lit('" after ## Optional — Optional must be last')
-                        ),
-                    ),
-                    F.when(late & (name == L.OPTIONAL_SECTION), "duplicate ## Optional section"),
-                    F.when(
-                        is_quote & (F.col("h1_no").isNull() | (no < F.col("h1_no"))),
-                        "blockquote before H1",
-                    ),
-                    F.when(is_deep, "H3+ headings not allowed at top level"),
-                    F.when(
-                        is_link,
-                        F.when(F.col("target").isNull(), "malformed link item")
-                        .when(F.col("link").isNull(), F.concat(F.lit("invalid URL "), "target"))
-                        .when(~same, F.concat(F.lit("cross-origin link "), "target")),
-                    ),
-                )
+        F.inline(
+            _broken(
+                (is_h1 & (no > F.col("h1_no")), "title_repeated", None),
+                (is_h1 & (no != 1), "title_not_first", None),
+                (late, "section_after_optional", name),
+                (late & (name == L.OPTIONAL_SECTION), "optional_repeated", None),
+                (is_quote & untitled, "summary_before_title", None),
+                (is_deep, "heading_too_deep", None),
+                (is_link & F.col("target").isNull(), "link_malformed", None),
+                (F.col("target").isNotNull() & F.col("link").isNull(), "link_invalid", F.col("target")),
+                (F.col("link").isNotNull() & ~same, "link_foreign", F.col("target")),
             )
-        ).alias("error"),
+        ),
     )
     whole = first.select(
         *keys,
         F.lit(0).cast("bigint").alias("line_no"),
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("h1_no").isNull(), "missing H1"),
-                    F.when(~F.col("quoted"), "missing blockquote summary"),
-                )
-            )
-        ).alias("error"),
+        F.inline(
+            _broken((F.col("h1_no").isNull(), "title_missing", None), (~F.col("quoted"), "summary_missing", None))
+        ),
     )
     return line_errors.unionByName(whole)
 
