@@ -1,4 +1,6 @@
 from webcairn import discover, generate_documents, monitor_tick, pages_from_snapshots
+from webcairn.operators.extract import poison_rows
+from webcairn.operators.reports import run_progress
 from webcairn.sources import sinks, tables
 from webcairn.streaming.runner import work_dir
 
@@ -23,6 +25,27 @@ def test_discover(spark):
     assert found == {"a": ["https://a.com/s.xml"], "b": ["https://b.com/sitemap.xml"]}
 
 
+def test_discover_reads_the_newest_run(spark):
+    sites = spark.createDataFrame([("a", "https://a.com")], "site_id string, origin string")
+    rows = [("a", run, "https://a.com/robots.txt", "robots", 200, f"User-agent: *\nDisallow: /{run}", None) for run in ("r1", "r2")]
+    out = discover(spark.createDataFrame(rows, tables.SCHEMAS["site_docs"]), sites)
+    assert [r["disallow"] for r in out["rules"].collect()] == [["/r2"]]
+
+
+def test_documents_of_declared_pages(spark):
+    sites = spark.createDataFrame([("s", "https://e.com")], "site_id string, origin string")
+    pages = spark.createDataFrame([{"site_id": "s", "url": "https://e.com/docs/a", "title": "A", "status": "active"}], tables.SCHEMAS["pages"])
+    assert "[A](https://e.com/docs/a)" in generate_documents(pages, sites).first()["content"]
+
+
+def test_progress_of_declared_events(spark):
+    import datetime as dt
+
+    rows = [("s", "r", dt.datetime(2024, 1, 1, 0, 0, i), u, e, 0) for i, (u, e) in enumerate((("/a", "seed"), ("/a", "complete"), ("/b", "link")))]
+    row = run_progress(spark.createDataFrame(rows, tables.SCHEMAS["crawl_events"])).first()
+    assert (row["found"], row["crawled"], row["in_flight"]) == (2, 1, 1)
+
+
 def test_monitor_tick(spark):
     sites = spark.createDataFrame(
         [("s", "https://e.com", True, 86400, 10, 0), ("later", "https://l.com", True, 86400, 999, 0), ("off", "https://o.com", False, 86400, 10, 0)],
@@ -50,16 +73,20 @@ def test_monitor_tick(spark):
 
 def test_snapshots_to_stored_documents(spark):
     html = "<title>T{0}</title><p>" + "word " * 20 + "{0}</p>"
-    rows = [(i, "s", "https://e.com", f"https://E.com/docs/{i % 3}/", 200, "text/html", None, html.format(i)) for i in range(6)]
-    snaps = spark.createDataFrame(
-        rows, "page_id int, site_id string, origin string, url string, status int, content_type string, content_length bigint, html string"
-    )
+    rows = [
+        ("s", f"run{i // 3}", f"https://E.com/docs/{i % 3}/", 0, i, 200, "text/html", None, None, None, html.format(i), None) for i in range(6)
+    ]
+    rows += [("s", "run1", url, 0, 9, status, "text/html", None, None, None, "<p>x</p>", None) for url, status in ((None, 200), ("mailto:a", 200), ("https://e.com/docs/0", 500))]
+    snaps = spark.createDataFrame(rows, tables.SCHEMAS["page_snapshots"])
+    sites = spark.createDataFrame([("s", "https://e.com")], "site_id string, origin string")
     pages = pages_from_snapshots(snaps)
-    assert sorted(r["url"] for r in pages.collect()) == [f"https://e.com/docs/{i}" for i in range(3)]
+    assert sorted((r["url"], r["title"]) for r in pages.collect()) == [(f"https://e.com/docs/{i}", f"T{i + 3}") for i in range(3)]
+    reasons = poison_rows(snaps).where("reason IS NOT NULL").collect()
+    assert sorted((r["url"] or "", r["reason"]) for r in reasons) == [("", "bad_url"), ("https://e.com/docs/0", "bad_status"), ("mailto:a", "bad_url")]
     out = work_dir(spark, "sink")
     sinks.write_pages(pages.drop("links"), f"{out}/pages")
     stored = spark.read.parquet(f"{out}/pages")
-    parts = generate_documents(stored)
+    parts = generate_documents(stored, sites)
     sinks.write_documents(parts, f"{out}/docs", 4)
     back = spark.read.parquet(f"{out}/docs").first()
     assert back["content"].startswith("# e.com") and back["content"].count("\n- [T") == 3

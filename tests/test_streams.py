@@ -57,8 +57,13 @@ def test_a_repeated_batch_publishes_nothing_new(spark):
 
 
 def test_redaction(spark):
-    rows = ['{"a":{"apiKey":1,"b":[{"SECRET":{"x":1},"c":"q\\"t"}]},"tokens":[1],"n":null,"f":1.5}', "no json", "[1,{\"body\":2}]", None]
+    rows = ['{"a":{"apiKey":1,"b":[{"SECRET":{"x":1},"c":"q\\"t"}]},"tokens":[1],"n":null,"f":1.0}', "no json", "[1,{\"body\":2}]", None]
     df = spark.createDataFrame([(x,) for x in rows], "record string")
     got = [r[0] for r in redact_logs(df).collect()]
-    assert got[0] == '{"a":{"apiKey":"[redacted]","b":[{"SECRET":"[redacted]","c":"q\\"t"}]},"f":1.5,"n":null,"tokens":"[redacted]"}'
-    assert got[1:] == ['"[redacted]"', '[1,{"body":"[redacted]"}]', '"[redacted]"']
+    assert got[0] == '{"a":{"apiKey":"[redacted]","b":[{"SECRET":"[redacted]","c":"q\\"t"}]},"tokens":"[redacted]","n":null,"f":1.0}'
+    assert got[1:] == ["no json", '[1,{"body":"[redacted]"}]', None]
+    deep = '{"a":' * 2000 + '{"\\u0061piKey" : {"x":["}",{"y":2}]}, "say":"token: {"}' + "}" * 2000
+    odd = ['{"secret":', '{"secret":}', '{"token":tru', ""]
+    got = [r[0] for r in redact_logs(spark.createDataFrame([(x,) for x in [deep, *odd]], "record string")).collect()]
+    assert got[0] == deep.replace('{"x":["}",{"y":2}]}', '"[redacted]"')
+    assert got[1:] == ['{"secret":"[redacted]"', '{"secret":"[redacted]"}', '{"token":"[redacted]"', ""]

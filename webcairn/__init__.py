@@ -12,7 +12,14 @@ from webcairn.operators.document import (
     split_documents,
     validate_lines,
 )
-from webcairn.operators.extract import cap_body, extract_links, extract_meta_tags, extract_pages, ingest_pages
+from webcairn.operators.extract import (
+    cap_body,
+    extract_links,
+    extract_meta_tags,
+    extract_pages,
+    ingest_pages,
+    poison_rows,
+)
 from webcairn.operators.frontier import admit, eligible_links, fetch_list, replay_links, walk_links
 from webcairn.operators.inventory import build_inventory, nested_inventory, site_heads
 from webcairn.operators.monitor import (

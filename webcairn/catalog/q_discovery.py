@@ -318,7 +318,7 @@ QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY fetch_no, pos) = 1
 
 
 def sitemap_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    return sitemap.collected_entries(expanded(spark, sf)[0], L.RAW_SITEMAP_FACTOR * L.MAX_SITEMAP_URLS)
+    return sitemap.collected_entries(expanded(spark, sf)[0])
 
 
 QUERIES["sitemap_fallback"] = sitemap_fallback
@@ -332,7 +332,7 @@ SELECT site_id, fetch_no, pos, url, lastmod FROM read_entries JOIN (
 WHERE before < {limit}"""
 
 
-ORACLE["sitemap_fallback"] = oracle(raw_stop(3000), "read_entries")
+ORACLE["sitemap_fallback"] = oracle("SELECT site_id, fetch_no, pos, url, lastmod FROM read_entries", "read_entries")
 
 
 def sitemap_raw_stop(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,14 +349,14 @@ def all_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def sitemap_prioritized(spark: SparkSession, sf: str) -> DataFrame:
     entries = all_entries(spark, sf).groupBy("site_id", "url").agg(F.min("page_id").alias("page_id"))
-    return sitemap.prioritize(entries).withColumn("rank", F.col("rank").cast("bigint"))
+    return sitemap.prioritize(entries)
 
 
 QUERIES["sitemap_prioritized"] = sitemap_prioritized
 ORACLE["sitemap_prioritized"] = oracle(
     f"""
-SELECT * FROM (SELECT site_id, url, page_id, row_number() OVER (PARTITION BY site_id ORDER BY {segments("regexp_extract(url, '^https://[^/?]+([^?]*)', 1)")}, length(url), url) AS rank
-  FROM (SELECT site_id, loc AS url, min(page_id) AS page_id FROM entries GROUP BY ALL)) WHERE rank <= {L.MAX_SITEMAP_URLS}""",
+SELECT site_id, url, page_id, row_number() OVER (PARTITION BY site_id ORDER BY {segments("regexp_extract(url, '^https://[^/?]+([^?]*)', 1)")}, length(url), url) AS rank
+  FROM (SELECT site_id, loc AS url, min(page_id) AS page_id FROM entries GROUP BY ALL)""",
     "entries",
 )
 
@@ -373,17 +373,16 @@ ORACLE["sitemap_alias"] = oracle(
 
 
 def sitemap_method(spark: SparkSession, sf: str) -> DataFrame:
-    hosts = views.table(spark, sf, "pages").select(
-        F.regexp_extract("url", "//([^/]+)", 1).alias("site_id"), "page_id"
-    )
-    return sitemap.discovery_method(hosts.where("page_id % 3 > 0"), hosts.select("site_id").distinct())
+    # a site per host and folder: some have many entries, some few
+    hosts = views.table(spark, sf, "pages").select(F.regexp_extract("url", "//([^?#]*)/", 1).alias("site_id"), "page_id")
+    return sitemap.discovery_method(hosts, hosts.select("site_id").distinct())
 
 
 QUERIES["discovery_method"] = sitemap_method
 ORACLE["discovery_method"] = oracle(
     """
 SELECT site_id, n AS entries, CASE WHEN n >= 3 THEN 'sitemap' ELSE 'links' END AS method FROM (
-  SELECT regexp_extract(url, '//([^/]+)', 1) AS site_id, count(*) FILTER (page_id % 3 > 0) AS n FROM pages GROUP BY 1)"""
+  SELECT regexp_extract(url, '//([^?#]*)/', 1) AS site_id, count(*) AS n FROM pages GROUP BY 1)"""
 )
 
 
@@ -398,7 +397,7 @@ FROM {children} AS c JOIN {web} AS l ON l.page_id = c.page_id JOIN {web} AS t ON
 
 def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Canonical pages and raw link edges (site_id, url, pos, href)."""
-    web = materialize(views.web(spark, sf).select("page_id", "site_id", "origin", "url"))
+    web = materialize(views.web(spark, sf).select("page_id", "site_id", "origin", "url", "url_path"))
     body = extract.extract_links(views.landed(spark, sf), ["page_id"])
     body = body.join(web, "page_id").select("page_id", "site_id", "url", "pos", "href")
     children = web.select(
@@ -440,13 +439,11 @@ define(
     "admitted",
     ("resolved", "found"),
     f"""
-SELECT * FROM (
-  SELECT site_id, url, o1, o2, coalesce((SELECT count(*) FROM found f WHERE f.site_id = c.site_id), 0)
+SELECT site_id, url, o1, o2, coalesce((SELECT count(*) FROM found f WHERE f.site_id = c.site_id), 0)
       + row_number() OVER (PARTITION BY site_id ORDER BY o1, o2) AS rank
   FROM (SELECT site_id, url, page_id AS o1, pos AS o2 FROM resolved WHERE {ELIGIBLE}
         QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY page_id, pos) = 1) c
-  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.site_id = c.site_id AND f.url = c.url))
-WHERE rank <= {L.MAX_PAGES}""",
+  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.site_id = c.site_id AND f.url = c.url)""",
 )
 ORACLE["frontier_admit"] = oracle("SELECT * FROM admitted", "admitted")
 
@@ -483,7 +480,7 @@ SELECT site_id, candidates, accepted, accepted = 150 AND candidates > accepted A
 def link_walk(spark: SparkSession, sf: str) -> DataFrame:
     web, edges = graph(spark, sf)
     sites = web.select("site_id", "origin").distinct()
-    seeds = web.where("page_id % 25 = 0").select("site_id", F.col("page_id").alias("pos"), F.col("url").alias("href"))
+    seeds = web.where("url_path = '/'").select("site_id", F.col("page_id").alias("pos"), F.col("url").alias("href"))
     return frontier.walk_links(seeds, first_edges(edges), sites)
 
 
@@ -501,12 +498,11 @@ def walk_round(depth: int) -> None:
         f"walk{depth}",
         (prev, known, "resolved"),
         f"""
-SELECT site_id, url, CAST({depth} AS BIGINT) AS depth, rank FROM (
-  SELECT site_id, url, (SELECT count(*) FROM {known} k WHERE k.site_id = c.site_id) + row_number() OVER (PARTITION BY site_id ORDER BY o1, o2) AS rank
+SELECT site_id, url, CAST({depth} AS BIGINT) AS depth, (SELECT count(*) FROM {known} k WHERE k.site_id = c.site_id) + row_number() OVER (PARTITION BY site_id ORDER BY o1, o2) AS rank
   FROM (SELECT r.site_id, r.url, p.rank AS o1, r.page_id * 10000 + r.pos AS o2
         FROM {prev} p JOIN resolved r ON r.site_id = p.site_id AND r.base = p.url WHERE {ELIGIBLE.replace('site_id', 'r.site_id')}
         QUALIFY row_number() OVER (PARTITION BY r.site_id, r.url ORDER BY o1, o2) = 1) c
-  WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.site_id = c.site_id AND k.url = c.url)) WHERE rank <= {L.MAX_PAGES}""",
+  WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.site_id = c.site_id AND k.url = c.url)""",
     )
     define(f"walked{depth}", (known, f"walk{depth}"), f"SELECT * FROM {known} UNION ALL SELECT * FROM walk{depth}")
 
@@ -515,9 +511,8 @@ define(
     "walk0",
     ("web",),
     f"""
-SELECT * FROM (SELECT site_id, url, CAST(0 AS BIGINT) AS depth, row_number() OVER (PARTITION BY site_id ORDER BY page_id) AS rank FROM (
-  SELECT * FROM web WHERE page_id % 25 = 0 AND {ELIGIBLE} QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY page_id) = 1))
-WHERE rank <= {L.MAX_PAGES}""",
+SELECT site_id, url, CAST(0 AS BIGINT) AS depth, row_number() OVER (PARTITION BY site_id ORDER BY page_id) AS rank FROM (
+  SELECT * FROM web WHERE url_path = '/' AND {ELIGIBLE} QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY page_id) = 1)""",
 )
 define("walked0", ("walk0",), "SELECT * FROM walk0")
 for _depth in (1, 2, 3):
@@ -632,15 +627,15 @@ SELECT DISTINCT page_id, url AS link FROM ({canon(
 
 def render_budget(spark: SparkSession, sf: str) -> DataFrame:
     return quality.render_budget(shells(spark, sf), ["page_id", "url"]).select(
-        "run_id", "page_id", F.col("rank").cast("bigint").alias("rank")
+        "run_id", "page_id", "rank"
     )
 
 
 QUERIES["render_budget"] = render_budget
 ORACLE["render_budget"] = oracle(
     """
-SELECT * FROM (SELECT run_id, page_id, row_number() OVER (PARTITION BY run_id ORDER BY page_id) AS rank FROM shells
-  WHERE rendered_html IS NOT NULL) WHERE rank <= 25""",
+SELECT run_id, page_id, row_number() OVER (PARTITION BY run_id ORDER BY page_id) AS rank FROM shells
+  WHERE rendered_html IS NOT NULL""",
     "shells",
 )
 

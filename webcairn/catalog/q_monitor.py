@@ -231,7 +231,7 @@ FROM (
 
 def monitor_candidates(spark: SparkSession, sf: str) -> DataFrame:
     s = snap(spark, sf)
-    return monitor.monitor_candidates(s["stored"], diffed(s), NOW).withColumn("rank", F.col("rank").cast("bigint"))
+    return monitor.monitor_candidates(s["stored"], diffed(s), NOW)
 
 
 QUERIES["monitor_candidates"] = monitor_candidates
@@ -239,13 +239,11 @@ define("due", ("stored",), f"SELECT * FROM stored WHERE last_checked_at IS NULL
 URL_DEPTH = segments("regexp_extract(url, '^https://[^/?]+([^?]*)', 1)")
 ORACLE["monitor_candidates"] = oracle(
     f"""
-SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tier, stale, depth, url) AS rank FROM (
+SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tier, stale, depth, url) AS rank FROM (
     SELECT site_id, url, 0 AS tier, 0 AS stale, {URL_DEPTH} AS depth FROM site_diff WHERE change = 'lastmod_changed'
     UNION ALL
     SELECT site_id, url, 1, coalesce(last_checked_at, 0), {URL_DEPTH} FROM due
-    WHERE (site_id, url) NOT IN (SELECT (site_id, url) FROM site_diff WHERE change IN ('lastmod_changed', 'removed')))
-) WHERE rank <= {L.MONITOR_CHECKS}""",
+    WHERE (site_id, url) NOT IN (SELECT (site_id, url) FROM site_diff WHERE change IN ('lastmod_changed', 'removed')))""",
     "site_diff",
     "due",
 )
@@ -265,7 +263,7 @@ def due_sites(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["due_sites"] = due_sites
 ORACLE["due_sites"] = oracle(
-    f"SELECT site_id, next_check_at FROM sites WHERE monitoring AND next_check_at <= {NOW} ORDER BY next_check_at, site_id LIMIT 100",
+    f"SELECT site_id, next_check_at FROM sites WHERE monitoring AND next_check_at <= {NOW}",
     "sites",
 )
 
@@ -343,8 +341,7 @@ FROM (
 def lastmod_upsert(spark: SparkSession, sf: str) -> DataFrame:
     s = snap(spark, sf)
     entries = monitor.current_entries(s["current"])
-    accepted = s["responses"].where("page_id % 3 > 0")
-    merged = upsert.upsert_lastmods(s["stored"].drop("page_id"), accepted, entries, NOW)
+    merged = upsert.upsert_lastmods(s["stored"].drop("page_id"), s["responses"], entries, NOW)
     return merged.select("site_id", "url", "title", "sitemap_lastmod", "status", "last_seen_at", "page_check_interval_s", "page_change_streak")
 
 
@@ -356,7 +353,7 @@ SELECT coalesce(s.site_id, e.site_id) AS site_id, coalesce(s.url, e.url) AS url,
   CASE WHEN e.url IS NOT NULL THEN 'active' ELSE status END AS status,
   CASE WHEN s.url IS NULL THEN {NOW} ELSE last_seen_at END AS last_seen_at,
   coalesce(page_check_interval_s, 604800) AS page_check_interval_s, coalesce(page_change_streak, 0) AS page_change_streak
-FROM stored s FULL JOIN (SELECT c.* FROM current c JOIN responses r USING (site_id, url) WHERE r.page_id % 3 > 0) e
+FROM stored s FULL JOIN (SELECT c.* FROM current c JOIN responses r USING (site_id, url)) e
 ON s.site_id = e.site_id AND s.url = e.url""",
     "stored",
     "current",

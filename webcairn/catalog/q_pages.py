@@ -22,11 +22,11 @@ SELECT page_id, form, base,
     ELSE 'http://u@' || site_id || ':80' END AS href
 FROM (
   SELECT page_id, site_id, url, 'https://' || site_id || '/s/' || CAST(page_id AS varchar(20)) || '?z=1' AS base,
-    'n' || CAST(page_id % 10 AS varchar(20)) AS tail
+    'n' || CAST(page_id % 10 AS varchar(20)) AS tail, explode(sequence(0, 8)) AS form
   FROM {landed}
-) AS l CROSS JOIN (SELECT explode(sequence(0, 8)) AS form) AS f
+) AS l
 """
-DUCK_FORMS = FORMS.replace("SELECT explode(sequence(0, 8)) AS form", "SELECT unnest(range(0, 9)) AS form")
+DUCK_FORMS = FORMS.replace("explode(sequence(0, 8)) AS form", "unnest(range(0, 9)) AS form")
 define("forms", ("landed",), DUCK_FORMS.format(landed="landed"))
 
 # Hosts as sites would type them: the page's host and private addresses derived from its id.
@@ -151,6 +151,31 @@ FROM capped GROUP BY ALL""",
 )
 
 
+# Landed pages, some under an address that is none.
+ADDRESSES = """
+SELECT page_id, site_id, status, content_type, html,
+  CASE page_id % 31 WHEN 5 THEN 'mailto:a@' || site_id WHEN 6 THEN 'https://' || site_id || ':99999999999/x'
+    WHEN 7 THEN 'https://' WHEN 8 THEN NULL ELSE url END AS url
+FROM {landed}
+"""
+define("addresses", ("landed",), ADDRESSES.format(landed="landed"))
+
+
+def poison_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(ADDRESSES, landed=_landed(spark, sf))
+    return extract.poison_rows(rows).select("page_id", "reason")
+
+
+QUERIES["poison_rows"] = poison_rows
+ORACLE["poison_rows"] = oracle(
+    """
+SELECT page_id, CASE WHEN page_id % 31 BETWEEN 5 AND 8 THEN 'bad_url' WHEN status = 304 THEN NULL WHEN status <> 200 THEN 'bad_status'
+  WHEN html IS NULL THEN 'no_body' WHEN NOT (content_type ILIKE '%text/html%' OR content_type ILIKE '%application/xhtml%') THEN 'not_html' END AS reason
+FROM addresses""",
+    "addresses",
+)
+
+
 def body_cap(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select("doc_id", "text", (F.col("n_chars") * (F.col("doc_id") % 3)).alias("declared"))
     kept = extract.cap_body(docs, "text", "declared", 4000)

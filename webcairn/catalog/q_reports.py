@@ -76,8 +76,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def progress_rows(spark: SparkSession, sf: str) -> DataFrame:
-    live = run_progress(spark, sf).where("crawled > 1")
-    return reports.progress_rows(runs(spark, sf), live)
+    return reports.progress_rows(runs(spark, sf), run_progress(spark, sf))
 
 
 QUERIES["progress_rows"] = progress_rows
@@ -92,7 +91,7 @@ FROM (
   SELECT r.*, CAST(CASE status WHEN 'queued' THEN 0 WHEN 'crawling' THEN 1 WHEN 'generating' THEN 2 ELSE 3 END AS BIGINT) AS phase,
     CASE WHEN status = 'done' THEN pages_found ELSE coalesce(p.found, pages_found) END AS found,
     CASE WHEN status = 'done' THEN pages_crawled ELSE coalesce(p.crawled, pages_crawled) END AS crawled
-  FROM run_rows r LEFT JOIN (SELECT * FROM progress WHERE crawled > 1) p USING (run_id))""",
+  FROM run_rows r LEFT JOIN progress p USING (run_id))""",
     "run_rows",
     "progress",
 )
@@ -154,9 +153,9 @@ def site_search(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["site_search"] = site_search
 ORACLE["site_search"] = oracle(
     """
-SELECT site_id, origin FROM (SELECT * FROM sites WHERE contains(lower(origin), 'docs1.example.com') ORDER BY created_at DESC, site_id LIMIT 50)
+SELECT site_id, origin FROM sites WHERE contains(lower(origin), 'docs1.example.com')
 UNION ALL
-SELECT site_id, origin FROM (SELECT * FROM sites WHERE contains(lower(origin), 'shop1') ORDER BY created_at DESC, site_id LIMIT 50)""",
+SELECT site_id, origin FROM sites WHERE contains(lower(origin), 'shop1')""",
     "sites",
 )
 
@@ -187,7 +186,7 @@ def site_list(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["site_list"] = site_list
 ORACLE["site_list"] = oracle(
     """
-SELECT s.site_id, origin, version, p.created_at AS version_at FROM (SELECT * FROM sites ORDER BY created_at DESC, site_id LIMIT 50) s
+SELECT s.site_id, origin, version, p.created_at AS version_at FROM sites s
 JOIN (SELECT * FROM published QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY version DESC) = 1) p USING (site_id)""",
     "sites",
     "published",
@@ -233,8 +232,8 @@ def log_redaction(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["log_redaction"] = log_redaction
 ORACLE["log_redaction"] = oracle(
     """
-SELECT event_id, '{"Authorization":"[redacted]","ctx":{"apiKey":"[redacted]","deep":[{"secret_id":"[redacted]","v":' || k || '},"x"],"n":null},"k":' || k
-  || ',"msg":"token \\"' || event_type || '\\"","ok":true,"userToken":"[redacted]"}' AS record
+SELECT event_id, '{"k":' || k || ',"Authorization":"[redacted]","msg":"token \\"' || event_type || '\\"","ok":true,"ctx":{"apiKey":"[redacted]","n":null,"deep":[{"secret_id":"[redacted]","v":'
+  || k || '},"x"]},"userToken":"[redacted]"}' AS record
 FROM (SELECT event_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k FROM events)"""
 )
 

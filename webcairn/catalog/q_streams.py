@@ -154,4 +154,4 @@ ORACLE["stream_due"] = q_monitor.FOLD_ORACLE.replace(
     "SELECT site_id, n AS checks, interval_s, streak, last_changed_at FROM fold",
     "SELECT site_id, last_at + interval_s AS next_check_at FROM (SELECT * FROM fold",
 ).replace("ORDER BY n DESC) = 1", f"""ORDER BY n DESC) = 1) JOIN (SELECT site_id, max(checked_at) AS last_at FROM checks GROUP BY ALL) USING (site_id)
-WHERE last_at + interval_s <= {q_reports.NOW + 20 * L.DAY} ORDER BY next_check_at, site_id LIMIT 100""")
+WHERE last_at + interval_s <= {q_reports.NOW + 20 * L.DAY}""")

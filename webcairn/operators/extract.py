@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from webcairn import limits as L
 from webcairn.functions import markup
+from webcairn.functions.urls import canonical_urls
 
 
 def cap_body(
@@ -32,6 +33,24 @@ def ingest_pages(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def poison_rows(snapshots: DataFrame, url: str = "url") -> DataFrame:
+    """Add ``reason``: why a fetched row cannot become a page, null for those that can or are unchanged.
+
+    Nothing here raises on any text, so one bad row never ends the job; the rows with a
+    reason are the error output beside the pages.
+    """
+    known = canonical_urls(snapshots, url, out="__canonical")
+    status, kind = F.col("status"), F.col("content_type")
+    reason = (
+        F.when(F.col("__canonical").isNull(), "bad_url")
+        .when(status == 304, F.lit(None))
+        .when(status.isNull() | (status != 200), "bad_status")
+        .when(F.col("html").isNull(), "no_body")
+        .when(~is_usable(status, F.col("html"), kind), "not_html")
+    )
+    return known.withColumn("reason", reason).drop("__canonical")
+
+
 def extract_pages(snapshots: DataFrame, html: str = "html") -> DataFrame:
     """Replace the body by title, description, h1, snippet, hash and raw links.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from webcairn import limits as L
 from webcairn.functions.urls import canonical_urls, is_crawlable_path, is_disallowed
-from webcairn.operators.ranking import first_by, spread_join, top_k
+from webcairn.operators.ranking import first_by, ranked, spread_join
 from webcairn.session import materialize
 
 
@@ -35,24 +35,22 @@ def admit(
     seen: DataFrame | None,
     found: DataFrame | None,
     order: list[str],
-    max_pages: int = L.MAX_PAGES,
+    max_pages: int | None = None,
 ) -> DataFrame:
-    """Unseen URLs in order of first mention, within what is left of each site's page budget.
+    """Unseen URLs in order of first mention: all, or what is left of each site's ``max_pages``.
 
-    Adds ``rank``, the admission number within the site.
+    Adds ``rank``, the admission number within the site.  ``order`` names one URL.
     """
     fresh = first_by(eligible, ["site_id", "url"], order)
     if seen is not None:
         fresh = fresh.join(seen.select("site_id", "url"), ["site_id", "url"], "left_anti")
-    best = top_k(fresh, ["site_id"], [F.col(c) for c in order], max_pages, salts=32)
+    best = ranked(fresh, ["site_id"], order, max_pages, salts=32)
     if found is None:
-        return best.withColumn("rank", F.col("rank").cast("bigint"))
-    return (
-        best.join(found, "site_id", "left")
-        .withColumn("rank", (F.col("rank") + F.coalesce("found", F.lit(0))).cast("bigint"))
-        .where(F.col("rank") <= max_pages)
-        .drop("found")
-    )
+        return best
+    best = best.join(found, "site_id", "left").withColumn(
+        "rank", (F.col("rank") + F.coalesce("found", F.lit(0))).cast("bigint")
+    ).drop("found")
+    return best if max_pages is None else best.where(F.col("rank") <= max_pages)
 
 
 def capped_flags(
@@ -74,14 +72,15 @@ def walk_links(
     edges: DataFrame,
     sites: DataFrame,
     max_depth: int = L.MAX_DEPTH,
-    max_pages: int = L.MAX_PAGES,
+    max_pages: int | None = None,
     follow_links: bool = True,
 ) -> DataFrame:
     """Pages reached from the seeds: site_id, url, depth, rank.
 
     ``seeds``: site_id, pos, href.  ``edges``: site_id, url (of the page), pos,
-    href.  One round per depth over all sites: a join with the edges, an anti-join
-    with what is known, and the page budget.  A round's pages are written out.
+    href.  Targets of all edges are resolved and judged once.  One round per depth over
+    all sites: a join with them on (site, page), an anti-join with what is known, and the
+    page budget, if any.  A round's pages are written out.
     """
     first = seeds.join(sites.select("site_id", "origin"), "site_id").select(
         "site_id",
@@ -97,18 +96,15 @@ def walk_links(
     )
     if not follow_links:
         return pages
+    links = edges.select("site_id", F.col("url").alias("page"), F.col("url").alias("base"), F.col("pos").alias("o2"), "href")
+    targets = materialize(eligible_links(links, sites))
     frontier = pages
     for depth in range(1, max_depth + 1):
-        links = frontier.join(edges, ["site_id", "url"]).select(
-            "site_id",
-            "href",
-            F.col("url").alias("base"),
-            F.col("rank").alias("o1"),
-            F.col("pos").alias("o2"),
-        )
+        known = frontier.select("site_id", F.col("url").alias("page"), F.col("rank").alias("o1"))
+        links = known.join(targets, ["site_id", "page"]).select("site_id", "url", "o1", "o2")
         found = pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("found"))
         frontier = materialize(
-            admit(eligible_links(links, sites), pages, found, order, max_pages)
+            admit(links, pages, found, order, max_pages)
             .select("site_id", "url", F.lit(depth).cast("bigint").alias("depth"), "rank")
         )
         pages = pages.unionByName(frontier)

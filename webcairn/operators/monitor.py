@@ -8,7 +8,7 @@ from webcairn import limits as L
 from webcairn.functions import freshness
 from webcairn.functions.text import change_summary
 from webcairn.functions.urls import canonical_urls, path_depth
-from webcairn.operators.ranking import top_k
+from webcairn.operators.ranking import ranked
 
 KEYS = ["site_id", "url"]
 BUCKETS = ("added", "removed", "modified")
@@ -125,9 +125,9 @@ def due_pages(pages: DataFrame, now: int) -> DataFrame:
 
 
 def monitor_candidates(
-    pages: DataFrame, diff: DataFrame, now: int, limit: int = L.MONITOR_CHECKS
+    pages: DataFrame, diff: DataFrame, now: int, limit: int | None = None
 ) -> DataFrame:
-    """Pages to check per site: dated by the sitemap first, then the stalest due ones."""
+    """Pages to check per site, all or ``limit``: dated by the sitemap first, then the stalest due ones."""
     depth = path_depth(F.col("url"))
     zero = F.lit(0).cast("bigint")
     moved = diff.where(F.col("change") == "lastmod_changed").select(
@@ -139,8 +139,7 @@ def monitor_candidates(
         .join(skip, KEYS, "left_anti")
         .select(*KEYS, F.lit(1).alias("tier"), F.coalesce("last_checked_at", zero).alias("stale"), depth.alias("depth"))
     )
-    order = [F.col(c) for c in ("tier", "stale", "depth", "url")]
-    return top_k(moved.unionByName(stale), ["site_id"], order, limit)
+    return ranked(moved.unionByName(stale), ["site_id"], ["tier", "stale", "depth", "url"], limit)
 
 
 def due_sites(sites: DataFrame, now: int, limit: int | None = None) -> DataFrame:

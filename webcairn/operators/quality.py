@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webcairn import limits as L
 from webcairn.functions.text import strip
 from webcairn.functions.urls import canonical, is_crawlable_path, origin_of
-from webcairn.operators.ranking import top_k
+from webcairn.operators.ranking import ranked
 
 
 def crawlable_links(links: Column, url: Column) -> Column:
@@ -53,13 +53,13 @@ def assess_quality(pages: DataFrame, follow_links: bool = True) -> DataFrame:
     )
 
 
-def render_budget(renders: DataFrame, order: list[str], budget: int = L.MAX_RENDERED_PAGES) -> DataFrame:
-    """Renders within the budget of their run, first come first served.
+def render_budget(renders: DataFrame, order: list[str], budget: int | None = None) -> DataFrame:
+    """Renders of each run, first come first served: all, or those within its ``budget``.
 
     Only renders that gave something take a slot.
     """
     usable = renders.where(F.col("rendered_html").isNotNull())
-    return top_k(usable, ["run_id"], [F.col(c) for c in order], budget)
+    return ranked(usable, ["run_id"], order, budget)
 
 
 def choose_render(static: DataFrame, rendered: DataFrame, keys: list[str]) -> DataFrame:

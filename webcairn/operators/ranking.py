@@ -86,6 +86,16 @@ def positions(
     )
 
 
+def ranked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int | None = None, salts: int = 1
+) -> DataFrame:
+    """Rows with their ``rank`` per key: all of them, or the first ``k``."""
+    if k is None:
+        return positions(materialize(df), keys, order, "rank")
+    best = top_k(df, keys, [F.col(c) for c in order], k, salts=salts)
+    return best.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join onto a side with one row per key when ``big`` may hold one key very often.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webcairn import limits as L
@@ -12,8 +15,8 @@ from webcairn.operators.versions import latest_versions
 
 
 def page_states(events: DataFrame) -> DataFrame:
-    """Per (run, URL): the event that admitted it and the last that completed it."""
-    seq = F.col("event_id")
+    """Per (run, URL): the event that admitted it and the last that completed it, by event id or else by time."""
+    seq = F.col("event_id" if "event_id" in events.columns else "ts")
     return events.groupBy("run_id", "url").agg(
         F.min(F.when(F.col("event").isin("seed", "link"), seq)).alias("admitted"),
         F.max(F.when(F.col("event") == "complete", seq)).alias("completed"),
@@ -173,38 +176,36 @@ def url_fields(df: DataFrame, url: str) -> DataFrame:
     ).drop(url)
 
 
-def _redacted_json(value: Column, depth: int) -> Column:
-    """JSON of a variant with the values of sensitive keys masked, down to ``depth`` levels."""
-    mask = F.lit(f'"{L.REDACTED}"')
-    scalar = F.to_json(value)
-    if depth == 0:
-        return F.regexp_replace(scalar, r"(?s)^[{\[].*$", f'"{L.REDACTED}"')
-    sensitive = "(?i)" + "|".join(L.SENSITIVE_KEYS)
-    fields = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    members = F.transform(
-        fields,
-        lambda f: F.concat(
-            F.to_json(f["key"].cast("variant")),
-            F.lit(":"),
-            F.when(f["key"].rlike(sensitive), mask).otherwise(_redacted_json(f["value"], depth - 1)),
-        ),
-    )
-    items = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"), lambda v: _redacted_json(v, depth - 1)
-    )
-    # a value of another shape reads as null, which the text around it stays null with
-    return F.coalesce(
-        F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")),
-        F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")),
-        scalar,
-    )
-
-
-def redact_logs(logs: DataFrame, column: str = "record", depth: int = 4) -> DataFrame:
-    """Log records (JSON text) with sensitive values masked.
+def redact_logs(logs: DataFrame, column: str = "record") -> DataFrame:
+    """Log records (JSON text) with the values of sensitive keys masked, at any depth.
 
-    Structures nested deeper than ``depth`` are masked whole; text that is no JSON
-    is masked too.
+    A masked value may be a whole object or list.  All other text stays as written:
+    order, numbers, spaces, and records that are no JSON.  Null stays null.
     """
-    clean = _redacted_json(F.try_parse_json(F.col(column)), depth)
-    return logs.withColumn(column, F.coalesce(clean, F.lit(f'"{L.REDACTED}"')))
+    sensitive, mask = "|".join(L.SENSITIVE_KEYS), f'"{L.REDACTED}"'
+
+    def masked(records: pd.Series) -> pd.Series:
+        token = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]|[^\s{}\[\]",:]+', re.DOTALL)
+        key, colon = re.compile(sensitive, re.IGNORECASE), re.compile(r"\s*:\s*")
+
+        def plain(name):
+            return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), name)
+
+        def one(text):
+            if not key.search(text) and "\\u" not in text:
+                return text
+            kept, done, hiding, depth = [], 0, False, 0
+            for t in token.finditer(text):
+                if hiding:  # inside a sensitive value, until its brackets close
+                    depth += (t[0] in ("{", "[")) - (t[0] in ("}", "]"))
+                    if depth <= 0:
+                        kept.append(mask if depth == 0 else mask + t[0])
+                        done, hiding, depth = t.end(), False, 0
+                elif t[0][0] == '"' and (at := colon.match(text, t.end())) and key.search(plain(t[0])):
+                    kept.append(text[done : at.end()])
+                    done, hiding = at.end(), True
+            return "".join(kept) + (mask if hiding else text[done:])
+
+        return records.map(one, na_action="ignore")
+
+    return logs.withColumn(column, F.pandas_udf(masked, "string")(F.col(column)))

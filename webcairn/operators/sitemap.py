@@ -8,7 +8,7 @@ from webcairn import limits as L
 from webcairn.functions import markup
 from webcairn.functions.text import WS, strip
 from webcairn.functions.urls import canonical_urls, path_depth
-from webcairn.operators.ranking import first_by, spread_join, top_k
+from webcairn.operators.ranking import first_by, ranked, spread_join, top_k
 from webcairn.session import materialize
 
 
@@ -95,10 +95,10 @@ def sitemap_children(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("pos", (F.col("pos") + 1).cast("bigint"))
 
 
-def prioritize(entries: DataFrame, cap: int = L.MAX_SITEMAP_URLS) -> DataFrame:
-    """The best ``cap`` URLs per site: shallow, then short, then in text order."""
-    order = [path_depth(F.col("url")), F.length("url"), F.col("url")]
-    return top_k(entries, ["site_id"], order, cap, salts=32)
+def prioritize(entries: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct URLs ranked per site, all or the best ``cap``: shallow, then short, then in text order."""
+    sized = entries.withColumns({"__depth": path_depth(F.col("url")), "__length": F.length("url")})
+    return ranked(sized, ["site_id"], ["__depth", "__length", "url"], cap, salts=32).drop("__depth", "__length")
 
 
 def _expand(seed: DataFrame, visited: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
@@ -115,9 +115,9 @@ def _expand(seed: DataFrame, visited: DataFrame, docs: DataFrame, budget: int) -
             ["site_id", "doc_url"],
             ["o1", "o2"],
         )
-        ranked = top_k(fresh, ["site_id"], [F.col("o1"), F.col("o2")], budget)
+        best = top_k(fresh, ["site_id"], [F.col("o1"), F.col("o2")], budget)
         fetches = (
-            ranked.join(used, "site_id", "left")
+            best.join(used, "site_id", "left")
             .withColumn("fetch_no", (F.col("rank") + F.coalesce("used", F.lit(0))).cast("bigint"))
             .where(F.col("fetch_no") <= budget)
             .select("site_id", "doc_url", "fetch_no")
@@ -170,10 +170,12 @@ def expand_sitemaps(
     return _expand(conventional, visited, readable, budget)
 
 
-def collected_entries(visited: DataFrame, raw_limit: int) -> DataFrame:
-    """Distinct entries in reading order, up to the document that reaches ``raw_limit``."""
+def collected_entries(visited: DataFrame, raw_limit: int | None = None) -> DataFrame:
+    """Distinct entries in reading order: all, or up to the document that reaches ``raw_limit``."""
     rows = sitemap_entries(visited.where(F.col("entries").isNotNull()), ["site_id", "fetch_no"])
     firsts = first_by(rows, ["site_id", "url"], ["fetch_no", "pos"])
+    if raw_limit is None:
+        return firsts
     per_doc = firsts.groupBy("site_id", "fetch_no").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("site_id").orderBy("fetch_no").rowsBetween(Window.unboundedPreceding, -1)
     read = (

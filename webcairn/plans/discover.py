@@ -9,19 +9,39 @@ from webcairn.operators import frontier, robots, sitemap
 from webcairn.session import materialize
 
 
-def discover(site_docs: DataFrame, sites: DataFrame, agent: str = L.ROBOTS_AGENT) -> dict[str, DataFrame]:
+def newest_docs(site_docs: DataFrame) -> DataFrame:
+    """Documents of the greatest run id of each (site, document); a run lands a document once."""
+    if "run_id" not in site_docs.columns:
+        return site_docs
+    keys = ["site_id", "doc_url"]
+    newest = site_docs.groupBy(*keys).agg(F.max("run_id").alias("run_id"))
+    stamped = site_docs.where(F.col("run_id").isNotNull()).join(newest, [*keys, "run_id"], "left_semi")
+    bare = newest.where(F.col("run_id").isNull())
+    return stamped.unionByName(site_docs.where(F.col("run_id").isNull()).join(bare, keys, "left_semi"))
+
+
+def discover(
+    site_docs: DataFrame,
+    sites: DataFrame,
+    agent: str = L.ROBOTS_AGENT,
+    raw_limit: int | None = None,
+    max_urls: int | None = None,
+    max_pages: int | None = None,
+) -> dict[str, DataFrame]:
     """Rules, discovery summary, method and admitted seeds per site.
 
-    ``site_docs``: site_id, doc_url, kind, status, body.  ``sites``: site_id, origin.
-    Sites with too few sitemap entries start from their homepage.
+    ``site_docs``: site_id, doc_url, kind, status, body and, optionally, run_id.
+    ``sites``: site_id, origin.  Sites with too few sitemap entries start from their
+    homepage.  Entries read, URLs kept and pages admitted per site are unlimited by default.
     """
+    site_docs = newest_docs(site_docs)
     texts = site_docs.where((F.col("kind") == "robots") & (F.col("status") == 200) & F.col("body").isNotNull())
     rules = materialize(robots.parse_robots(texts, agent))
     declared = rules.select("site_id", F.posexplode("sitemaps").alias("pos", "doc_url"))
     maps = site_docs.where(F.col("kind") == "sitemap").select("site_id", "doc_url", "status", "body")
     visited = sitemap.expand_sitemaps(declared, maps, sites.select("site_id", "origin"))
-    raw = sitemap.collected_entries(visited, L.RAW_SITEMAP_FACTOR * L.MAX_SITEMAP_URLS)
-    entries = sitemap.alias_entries(sitemap.prioritize(raw).drop("fetch_no", "pos"), sites)
+    raw = sitemap.collected_entries(visited, raw_limit)
+    entries = sitemap.alias_entries(sitemap.prioritize(raw, max_urls).drop("fetch_no", "pos"), sites)
     entries = materialize(entries)
     method = sitemap.discovery_method(entries, sites)
     ruled = sites.join(rules.select("site_id", "disallow"), "site_id", "left")
@@ -31,7 +51,7 @@ def discover(site_docs: DataFrame, sites: DataFrame, agent: str = L.ROBOTS_AGENT
         home.select("site_id", F.concat("origin", F.lit("/")).alias("href"), F.lit(0).cast("bigint").alias("o"))
     )
     seeds = seeds.join(sites.select("site_id", "origin"), "site_id").withColumnRenamed("origin", "base")
-    admitted = frontier.admit(frontier.eligible_links(seeds, ruled), None, None, ["o"])
+    admitted = frontier.admit(frontier.eligible_links(seeds, ruled), None, None, ["o"], max_pages)
     return {
         "rules": rules,
         "summary": sitemap.discovery_summary(visited),
