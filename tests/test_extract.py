@@ -36,9 +36,11 @@ def test_fallbacks_and_cuts(spark):
     assert (empty["title"], empty["description"], empty["h1"], empty["snippet"], empty["links"]) == (None, None, None, None, [])
 
 
-def test_link_cap(spark):
-    r = page(spark, "".join(f'<a href="/{i}">' for i in range(305)))
-    assert r["links"] == [f"/{i}" for i in range(300)]
+def test_links_are_whole_unless_limited(spark):
+    html = "".join(f'<a href="/{i}">' for i in range(305))
+    assert page(spark, html)["links"] == [f"/{i}" for i in range(305)]
+    cut = spark.createDataFrame([(html,)], "html string").select(extract.markup.hrefs(extract.F.col("html"), 300).alias("links"))
+    assert cut.first()["links"] == [f"/{i}" for i in range(300)]
 
 
 def test_ingest(spark):
