@@ -138,3 +138,38 @@ def test_embeddings(spark):
         assert out[i].kept == (label[i] == i)
     assert all(out[i].n_links == 0 and out[i].kept for i in range(900, 906))
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
+
+
+def brute(x, threshold=0.95):
+    """Links and least reachable row of each row."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= threshold
+    np.fill_diagonal(link, False)
+    label = np.arange(len(x))
+    while True:
+        after = np.array([min(label[i], *label[link[i]]) if link[i].any() else label[i] for i in range(len(x))])
+        if (after == label).all():
+            return link.sum(axis=1), label
+        label = after
+
+
+def near_groups(rng, groups):
+    """Dense groups (0.99 inside) around centres; two of a pair are 0.95 to 0.97 apart, or only their edges are."""
+    out = []
+    for apart, spread, size in groups:
+        c, d, *_ = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        for centre in (c, np.cos(apart) * c + np.sin(apart) * d):
+            noise = rng.standard_normal((size, 32))
+            out.append(centre + spread * noise / np.linalg.norm(noise, axis=1, keepdims=True))
+    return np.concatenate(out)
+
+
+def test_embeddings_links_across_dense_groups(spark):
+    rng = np.random.default_rng(5)
+    x = near_groups(rng, [(0.27, 0.08, 20)] * 4 + [(0.33, 0.1, 25)] * 4 + [(0.36, 0.1, 30)] * 4 + [(0.6, 0.1, 20)] * 2)
+    x = np.concatenate([x, rng.standard_normal((300, 32))])
+    n_links, label = brute(x)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    wrong = [i for i in range(len(x)) if (out[i].n_links, out[i].component_id) != (n_links[i], label[i])]
+    assert not wrong, len(wrong)
