@@ -173,3 +173,19 @@ def test_embeddings_links_across_dense_groups(spark):
     out = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
     wrong = [i for i in range(len(x)) if (out[i].n_links, out[i].component_id) != (n_links[i], label[i])]
     assert not wrong, len(wrong)
+
+
+def test_embeddings_lone_pairs(spark):
+    rng = np.random.default_rng(6)
+    n, pairs = 20_000, 400
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(pairs):
+        y = rng.standard_normal(64)
+        y -= (y @ x[i]) * x[i]
+        x[pairs + i] = 0.951 * x[i] + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    out = {r.vec_id: r for r in embeddings.near_duplicates(df).where("n_links > 0").collect()}
+    found = sum(1 for i in range(pairs) if pairs + i in out and out[pairs + i].component_id == i)
+    assert set(out) <= set(range(2 * pairs))
+    assert found >= 0.995 * pairs, found
