@@ -189,3 +189,20 @@ def test_embeddings_lone_pairs(spark):
     found = sum(1 for i in range(pairs) if pairs + i in out and out[pairs + i].component_id == i)
     assert set(out) <= set(range(2 * pairs))
     assert found >= 0.995 * pairs, found
+
+
+def test_url_filter_rules(spark):
+    assert [tuple(r) for r in url_filter.RULES] == [
+        ("org/", "allow"),
+        ("example.org/es/", "block"),
+        ("example.org/en/1", "block"),
+        ("com/fr/", "allow"),
+        ("com/de/", "block"),
+    ]
+    urls = ["https://x.com/de/1", "https://x.com/de", "https://x.com/demo", "https://x.com/developers/a"]
+    words = spark.createDataFrame([("x", 1)], "word string, n bigint")
+    out = url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), words).collect()
+    assert {r.url: (r.rule, r.verdict) for r in out} == {
+        urls[0]: ("com/de/", "block"),
+        **{u: (None, "allow") for u in urls[1:]},
+    }

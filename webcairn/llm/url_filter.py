@@ -27,7 +27,7 @@ RULES = (
     Rule("example.org/es/", "block"),
     Rule("example.org/en/1", "block"),
     Rule("com/fr/", "allow"),
-    Rule("com/de", "block"),
+    Rule("com/de/", "block"),
 )
 #: Host words that mark a page as an example to block.
 SEEDS = ("ads", "adult", "bets", "betting", "casino", "gambling", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
