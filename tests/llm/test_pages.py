@@ -206,3 +206,17 @@ def test_url_filter_rules(spark):
         urls[0]: ("com/de/", "block"),
         **{u: (None, "allow") for u in urls[1:]},
     }
+
+
+def test_url_filter_concatenated_hosts(spark, tmp_path):
+    text = "the best play of the day and all the news of the town " * 3
+    hosts = ["bestcasinobets.com", "playpoker.net", "bestnews.net", "casino-best.net"]
+    body = "<title>Page of {0}</title><p>{1}<a href='https://{0}/'>{0}</a>"
+    rows = [(10 * i + k, f"https://{h}/en/{k}", body.format(h, text)) for i, h in enumerate(hosts) for k in range(8)]
+    rows += [(100 + i, f"https://town{i % 9}.net/en/{i}", f"<title>News</title><p>{text}") for i in range(60)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {r.page_id: r for r in url_filter.op2_url_filter(spark, str(tmp_path)).collect()}
+    assert out[0].host_words == ["best", "casino", "bets", "com"]
+    assert out[10].host_words == ["play", "poker", "net"]
+    assert out[20].host_words == ["best", "news", "net"]
+    assert [out[i].verdict for i in (0, 10, 20, 30, 100)] == ["block", "block", "allow", "block", "allow"]

@@ -201,11 +201,34 @@ def filter_urls(
     )
 
 
+def vocabulary(pages: DataFrame, html: str = "html", url: str = "url", seeds: Sequence[str] = SEEDS) -> DataFrame:
+    """word, n: words of page text and titles, of hosts only what no single host makes a word.
+
+    Left out of the text are scripts, styles, tags and names of hosts.  From hosts come
+    the last label, and the parts of hyphenated labels that two hosts have; a label
+    written in one word is what is to be split.  A seed counts as the average word at least.
+    """
+    text = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"\S+://\S+|(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}", " ")
+    counted = unigrams(pages.select(text.alias("text")), "text")
+    names = pages.select(host_and_path(F.col(url))[0].alias("host")).distinct().select("host", F.split("host", r"\.").alias("labels"))
+    last = unigrams(names.select(F.element_at("labels", -1).alias("text")), "text")
+    hyphenated = F.flatten(F.transform(F.filter("labels", lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, r"[^\p{L}]+")))
+    parts = (
+        names.select("host", F.explode(F.array_distinct(hyphenated)).alias("word"))
+        .where((F.col("word") != "") & (F.length("word") <= LONGEST_WORD))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+    )
+    found = materialize(counted.unionByName(last).unionByName(parts).groupBy("word").agg(F.sum("n").alias("n")))
+    total, number = found.agg(F.sum("n"), F.count(F.lit(1))).first()
+    least = pages.sparkSession.createDataFrame([(s, max(1, (total or 0) // max(1, number))) for s in seeds], "word string, n bigint")
+    return materialize(found.unionByName(least).groupBy("word").agg(F.max("n").alias("n")))
+
+
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
-    hosts = pages.select(F.translate(F.regexp_extract("url", "://([^/?#]*)", 1), _UPPER, _LOWER).alias("title"))
-    words = materialize(unigrams(titles.unionByName(hosts.distinct()), "title"))
-    return filter_urls(pages.select("page_id", "url"), words).select(
+    return filter_urls(pages.select("page_id", "url"), vocabulary(pages)).select(
         "page_id", "host", "path", "rule", "verdict", "host_words", "score"
     )
