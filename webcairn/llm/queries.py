@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from webcairn.llm.conversations import op13_conversation_repair
 from webcairn.llm.curriculum import OP5_SQL, op5_curriculum
 from webcairn.llm.decontaminate import op4_decontaminate
 from webcairn.llm.embeddings import op3_embedding_dedup
@@ -26,6 +27,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_warc,
         op10_sharding,
+        op13_conversation_repair,
     )
 }
 ORACLE = {"op5_curriculum": OP5_SQL, "op9_warc": OP9_SQL}
