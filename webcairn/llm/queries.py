@@ -8,6 +8,7 @@ from webcairn.llm.decontaminate import op4_decontaminate
 from webcairn.llm.embeddings import op3_embedding_dedup
 from webcairn.llm.jaccard_join import op8_jaccard_join
 from webcairn.llm.quality import op7_quality
+from webcairn.llm.sentence_pieces import op12_sentence_pieces
 from webcairn.llm.shards import op10_sharding
 from webcairn.llm.suffix_dedup import op1_suffix_dedup
 from webcairn.llm.token_counts import op6_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_warc,
         op10_sharding,
+        op12_sentence_pieces,
         op13_conversation_repair,
     )
 }
