@@ -7,6 +7,7 @@ from webcairn.llm.curriculum import OP5_SQL, op5_curriculum
 from webcairn.llm.decontaminate import op4_decontaminate
 from webcairn.llm.embeddings import op3_embedding_dedup
 from webcairn.llm.jaccard_join import op8_jaccard_join
+from webcairn.llm.lexical_search import OP11_SQL, op11_lexical_search
 from webcairn.llm.quality import op7_quality
 from webcairn.llm.sentence_pieces import op12_sentence_pieces
 from webcairn.llm.shards import op10_sharding
@@ -28,8 +29,9 @@ QUERIES = {
         op8_jaccard_join,
         op9_warc,
         op10_sharding,
+        op11_lexical_search,
         op12_sentence_pieces,
         op13_conversation_repair,
     )
 }
-ORACLE = {"op5_curriculum": OP5_SQL, "op9_warc": OP9_SQL}
+ORACLE = {"op5_curriculum": OP5_SQL, "op9_warc": OP9_SQL, "op11_lexical_search": OP11_SQL}
