@@ -24,20 +24,23 @@ columns are ignored, whatever their names.  Empty tables give no rows.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from webcairn.llm.common import materialize, table, textkit as tk
+from webcairn.session import checkpoint_dir
 
 #: A block ends at this many documents or points; a longer document is a block alone.
 BLOCK_DOCS, BLOCK_POINTS = 1 << 12, 1 << 19
 #: Most terms of the items that are searched together; one longer item goes alone.
 ITEM_TERMS = 1 << 18
 #: Ranges opened at a time.
-WIDE = 64
+WIDE = 256
 TOP = 10
+ROW_GROUP = 16 << 20
 LEVEL = np.int64(56)
 
 
@@ -72,7 +75,15 @@ def _sizes(text):
     return scan
 
 
-INDEX = "ids array<bigint>, terms binary, rows binary, df binary, points binary, impact binary, cells binary, peak binary"
+def _cells(points: np.ndarray, n_docs: int):
+    """By level: codes of the cells with points, where each starts, and which hold two points or more."""
+    for level in range(1, max(n_docs - 1, 1).bit_length() + 1):
+        code = points >> (2 * level)
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        yield code[start] | (np.int64(level) << LEVEL), start, np.diff(np.append(start, len(code))) > 1
+
+
+INDEX = "ids array<bigint>, terms binary, rows binary, df binary, points binary, impact binary, peak binary"
 
 
 def build_block(ids: list, size: np.ndarray, col: np.ndarray, term: np.ndarray, tf: np.ndarray, n_docs: int, n_words: int) -> list:
@@ -96,13 +107,7 @@ def build_block(ids: list, size: np.ndarray, col: np.ndarray, term: np.ndarray,
     points = _spread(row[back]) << 1 | _spread(col)
     by = np.argsort(points)
     points, impact = points[by], impact[by].astype(np.uint32)
-    cells, peak = [], []
-    for level in range(1, max(len(ids) - 1, 1).bit_length() + 1):
-        code = points >> (2 * level)
-        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        many = np.diff(np.append(start, len(code))) > 1
-        cells.append(code[start[many]] | (np.int64(level) << LEVEL))
-        peak.append(np.maximum.reduceat(impact, start)[many])
+    peak = [np.maximum.reduceat(impact, start)[many] for _, start, many in _cells(points, len(ids))]
     raw = lambda x, t: x.astype(t).tobytes()
     return [
         [ids[i] for i in order.tolist()],
@@ -111,7 +116,6 @@ def build_block(ids: list, size: np.ndarray, col: np.ndarray, term: np.ndarray,
         raw(df, "<u4"),
         raw(np.diff(points, prepend=0), "<i8"),
         raw(impact, "<u4"),
-        raw(np.concatenate(cells), "<i8"),
         raw(np.concatenate(peak), "<u4"),
     ]
 
@@ -125,7 +129,7 @@ def _build(text, n_docs, n_words):
             col, term, tf = (np.concatenate(x) for x in zip(*parts))
             row = build_block(ids, np.array(size, np.int64), col, term, tf, n_docs, n_words)
             ids, size, parts, points = [], [], [], 0
-            kinds = [pa.list_(pa.int64()), *[pa.binary()] * 7]
+            kinds = [pa.list_(pa.int64()), *[pa.binary()] * 6]
             names = [f.split()[0] for f in INDEX.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
@@ -165,7 +169,11 @@ class Index:
         totals = rows.select("__text").mapInArrow(_sizes("__text"), "docs bigint, words bigint")
         totals = totals.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
         self.n_docs, self.n_words = totals
-        self.blocks = materialize(rows.mapInArrow(_build("__text", *totals), INDEX))
+        # rows are megabytes: small row groups keep few of them in memory at a time
+        spark, path = docs.sparkSession, f"{checkpoint_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
+        blocks = rows.mapInArrow(_build("__text", *totals), INDEX).write
+        blocks.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
+        self.blocks = spark.read.schema(INDEX).parquet(path)
 
     def frequencies(self, terms: np.ndarray) -> np.ndarray:
         """Documents that hold each of the (sorted, distinct) terms."""
@@ -204,54 +212,69 @@ class Block:
         self.ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
         self.terms, self.rows = read("terms", "<u8"), read("rows", "<u4").astype(np.int64)
         self.points, self.impact = np.cumsum(read("points", "<i8")), read("impact", "<u4")
-        self.cells, self.peak = read("cells", "<i8"), read("peak", "<u4")
+        cells = np.concatenate([code[many] for code, _, many in _cells(self.points, len(self.ids))])
+        peak = read("peak", "<u4")
         self.top = max(len(self.ids) - 1, 1).bit_length()
-
-    def maxima(self, level: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
-        """Greatest impact in the cell of each (level, row path, document range); 0 where it is empty."""
-        code = _spread(row >> level) << 1 | _spread(col)
-        out = np.zeros(len(code), np.int64)
-        at = np.searchsorted(self.points, code << (2 * level))
-        at[at == len(self.points)] = 0
-        some = np.flatnonzero(self.points[at] >> (2 * level) == code)
-        at, code, level = at[some], code[some], level[some]
-        out[some] = self.impact[at]  # a single point, unless the cell is stored
-        key = code | (level << LEVEL)
-        cell = np.searchsorted(self.cells, key)
-        cell[cell == len(self.cells)] = 0
-        if len(self.cells):
-            many = (self.cells[cell] == key) & (level > 0)
-            out[some[many]] = self.peak[cell[many]]
+        self.n, self.cells = len(cells), cells
+        #: Greatest impact by reference: cells, then points, and nothing for -1.
+        self.peaks = np.concatenate([peak, self.impact, [0]]).astype(np.int64)
+        level, code = cells >> LEVEL, cells & ((1 << LEVEL) - 1)
+        self.children = np.full((self.n + 1, 4), -1, np.int32)
+        inner = np.flatnonzero(level < self.top)
+        self._link(code[inner] >> 2, level[inner] + 1, code[inner] & 3, inner)
+        # a point hangs below the smallest cell it shares with the point before or behind it
+        shared = np.full(len(self.points) + 1, self.top + 1, np.int64)
+        shared[1:-1] = (np.frexp((self.points[1:] ^ self.points[:-1]).astype(np.float64))[1] + 1) >> 1
+        under = np.minimum(shared[1:], shared[:-1])
+        low = np.flatnonzero(under <= self.top)
+        under = under[low]
+        self._link(self.points[low] >> 2 * under, under, self.points[low] >> 2 * (under - 1) & 3, self.n + low)
+
+    def _link(self, code, level, quarter, child) -> None:
+        self.children[np.searchsorted(self.cells, code | (level << LEVEL)), quarter] = child
+
+    def roots(self, row: np.ndarray) -> np.ndarray:
+        """Reference of the cell or point that holds each row in the range of all documents; -1 where it is empty."""
+        code = _spread(row >> self.top) << 1
+        at = np.minimum(np.searchsorted(self.points, code << (2 * self.top)), len(self.points) - 1)
+        out = np.where(self.points[at] >> (2 * self.top) == code, self.n + at, -1)
+        if self.n:
+            key = code | (self.top << LEVEL)
+            cell = np.minimum(np.searchsorted(self.cells, key), self.n - 1)
+            out = np.where(self.cells[cell] == key, cell, out)
         return out
 
+    def below(self, ref: np.ndarray, level: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """References one level down, at ``level``, on the path of a row into a range of documents."""
+        quarter = (row >> level & 1) << 1 | (col & 1)
+        point = self.points[np.maximum(ref - self.n, 0)] >> 2 * level & 3
+        return np.where(ref < self.n, self.children[np.minimum(ref, self.n), quarter], np.where(point == quarter, ref, -1))
+
     def search(self, terms: np.ndarray, weight: np.ndarray, best: "Best") -> None:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         held = (self.terms[at] == terms) & (weight > 0)
         row, weight = self.rows[at[held]], weight[held]
         if not len(row):
             return
-        t = len(row)
-        level = np.array([self.top])
-        col = np.zeros(1, np.int64)
-        peaks = self.maxima(np.repeat(level, t), row, np.repeat(col, t)).reshape(1, t)
-        bound = peaks @ weight
+        level, col = np.array([self.top]), np.zeros(1, np.int64)
+        refs = self.roots(row)[None, :]
+        bound = self.peaks[refs] @ weight
         while True:
             keep = (bound >= best.least) & (bound > 0)
-            level, col, peaks, bound = level[keep], col[keep], peaks[keep], bound[keep]
+            level, col, refs, bound = level[keep], col[keep], refs[keep], bound[keep]
             if not len(bound):
                 return
-            open_ = np.argpartition(-bound, WIDE)[:WIDE] if len(bound) > WIDE else np.arange(len(bound))
+            opened = np.argpartition(-bound, WIDE)[:WIDE] if len(bound) > WIDE else np.arange(len(bound))
             rest = np.ones(len(bound), bool)
-            rest[open_] = False
+            rest[opened] = False
             # both halves of every opened range, on the paths that still hold something
-            half_level = np.repeat(level[open_] - 1, 2)
-            half_col = np.repeat(col[open_] << 1, 2)
+            half_level = np.repeat(level[opened] - 1, 2)
+            half_col = np.repeat(col[opened] << 1, 2)
             half_col[1::2] += 1
-            alive = np.repeat(peaks[open_] > 0, 2, axis=0)
-            entry, path = np.nonzero(alive)
-            half = np.zeros(alive.shape, np.int64)
-            half[entry, path] = self.maxima(half_level[entry], row[path], half_col[entry])
-            total = half @ weight
+            half = np.repeat(refs[opened], 2, axis=0)
+            entry, path = np.nonzero(half >= 0)
+            half[entry, path] = self.below(half[entry, path], half_level[entry], row[path], half_col[entry])
+            total = self.peaks[half] @ weight
             done = half_level == 0
             exact = done & (total > 0)
             if exact.any():
@@ -260,7 +283,7 @@ class Block:
             go = ~done
             level = np.concatenate([level[rest], half_level[go]])
             col = np.concatenate([col[rest], half_col[go]])
-            peaks = np.concatenate([peaks[rest], half[go]])
+            refs = np.concatenate([refs[rest], half[go]])
             bound = np.concatenate([bound[rest], total[go]])
 
 
