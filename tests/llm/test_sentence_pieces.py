@@ -71,6 +71,16 @@ def test_plain_merging(library, model):
         assert model.merged(text) == model.tokens(text)
 
 
+def test_pair_test_equals_plain_merging(model):
+    rnd = random.Random(5)
+    pieces = [p for p in model.ids if model._whole(p)]
+    short = [p for p in pieces if len(p) < 4]
+    for _ in range(60_000):
+        left, right = rnd.choice(rnd.choice([pieces, short])), rnd.choice(rnd.choice([pieces, short]))
+        if left[-1] == S.SPACE or right[0] != S.SPACE:
+            assert model.compatible(left, right) == (model.merged(left + right) == [left, right]), (left, right)
+
+
 def test_rows(spark, documents, library):
     df, rows = documents
     df = df.selectExpr("*", "1 as ids", "2 as __n", "'x' as n_tokens")

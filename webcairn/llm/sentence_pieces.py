@@ -22,6 +22,8 @@ results and an empty table an empty one.
 from __future__ import annotations
 
 import heapq
+import math
+import struct
 import sys
 import types
 
@@ -35,14 +37,13 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Parts and pairs a task keeps; past it the tables start anew.  Longer parts are not kept.
-KEPT, KEPT_BYTES = 500_000, 128
+KEPT, KEPT_BYTES = 400_000, 64
 
 
 class Pieces:
     """A compiled model file."""
 
     def __init__(self, source: bytes):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -68,12 +69,12 @@ class Pieces:
             else:
                 self.raw.append(b"" if p.type == CONTROL else spec.unk_surface.encode())
         self.begin, self.end = spec.bos_id, spec.eos_id
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, piece)
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.automaton = None
+        #: Tokens that encode to themselves or not, and the last merge of each.
+        self.own: dict[str, bool] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.misses = 0
+        self.known: dict[bytes, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, best score first and leftmost of equals; for a token or two."""
@@ -92,6 +93,7 @@ class Pieces:
             _, i, j, whole = heapq.heappop(heap)
             if not part[i] or after[i] != j or part[i] + part[j] != whole:
                 continue
+            self.halves[whole] = part[i], part[j]
             part[i], part[j] = whole, ""
             after[i] = after[j]
             if after[i] < len(part):
@@ -100,45 +102,83 @@ class Pieces:
             offer(i, after[i])
         return [p for p in part if p]
 
+    def _whole(self, token: str) -> bool:
+        """Does the token encode to itself?  ``halves`` then holds its last merge."""
+        if token not in self.own:
+            self.own[token] = self.merged(token) == [token]
+        return self.own[token]
+
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > KEPT:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+        """Do the two tokens alone encode to themselves?
+
+        Merges are undone from the latest on: a pair that meets across the border would
+        have been merged if it is better than the merge that has just been undone.
+        """
+        if not left or left[-1] == SPACE:  # pieces of spaces share one score, so their merges have no fixed halves
+            return self._whole(right) if not left else self.merged(left + right) == [left, right]
+        if not self._whole(right):
+            return False
+        score, halves = self.score, self.halves
+        limit, equal = -math.inf, False
+        while True:
+            pair = score.get(left + right)
+            if pair is not None and (pair > limit or (equal and pair == limit)):
+                return False
+            a = score[left] if len(left) > 1 else math.inf
+            b = score[right] if len(right) > 1 else math.inf
+            if a < b:
+                limit, equal, left = a, False, halves[left][1]
+            elif len(right) > 1:
+                limit, equal, right = b, True, halves[right][0]
+            else:
+                return True
+
+    def _miss(self, left: str, right: str, held: dict[str, bool]) -> bool:
+        self.misses += 1
+        if self.misses > KEPT:
+            self.misses = 0
+            for _, _, other in self.automaton.values():
+                other.clear()
+        held[left] = got = self.compatible(left, right)
         return got
 
     def tokens(self, text: str) -> list[str]:
         """The last token of every prefix, then the tokens from the end backwards."""
-        last = [""] * (len(text) + 1)
-        compatible = self.compatible
-        for at, piece in self.automaton.iter(text):
-            if not last[at + 1] and compatible(self._ends(last, text, at + 1 - len(piece)), piece):
-                last[at + 1] = piece
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for piece in self.ids:  # with the tokens it was tested behind
+                self.automaton.add_word(piece, (piece, len(piece), {}))
+            self.automaton.make_automaton()
+        last = ["", *text]  # a character without a piece stands for itself
+        found = -1
+        for at, (piece, size, held) in self.automaton.iter(text):
+            if at != found:
+                left = last[at + 1 - size]
+                fits = held.get(left)
+                if fits is None:
+                    fits = self._miss(left, piece, held)
+                if fits:
+                    last[at + 1], found = piece, at
         out, at = [], len(text)
         while at:
-            out.append(self._ends(last, text, at))
-            at -= len(out[-1])
+            piece = last[at]
+            out.append(piece)
+            at -= len(piece)
         out.reverse()
         return out
 
-    @staticmethod
-    def _ends(last: list[str], text: str, at: int) -> str:
-        """The token stored at a prefix; a character without a piece stands for itself."""
-        return last[at] or (text[at - 1] if at else "")
-
-    def encode_part(self, part: bytes) -> np.ndarray:
+    def encode_part(self, part: bytes) -> bytes:
         got = self.known.get(part)
         if got is None:
-            out = []
+            out, ids = [], self.ids
             for token in self.tokens(part.decode().replace(" ", SPACE)):
-                i = self.ids.get(token)
-                if i is None:
-                    out.extend(self.bytes[b] for b in token.encode())
+                if token in ids:
+                    out.append(ids[token])
                 else:
-                    out.append(i)
-            got = np.array(out, np.uint32)
+                    out.extend(self.bytes[b] for b in token.encode())
+            got = struct.pack(f"<{len(out)}I", *out)
             if len(part) <= KEPT_BYTES:
                 if len(self.known) > KEPT:
                     self.known.clear()
@@ -162,11 +202,11 @@ class Pieces:
             _, shown, back = np.unique(tk.mix(name), return_index=True, return_inverse=True)
             raw = data.tobytes()
             found = [self.encode_part(raw[s:e]) for s, e in zip(start[shown].tolist(), end[shown].tolist())]
-            each = np.array([len(f) for f in found], np.int64)
+            each = np.array([len(f) >> 2 for f in found], np.int64)
             place = np.concatenate([[0], np.cumsum(each)])[:-1]
             each = each[back]
             np.cumsum(each, out=size[1:])
-            ids = np.concatenate(found)[np.repeat(place[back] - size[:-1], each) + np.arange(size[-1])]
+            ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(place[back] - size[:-1], each) + np.arange(size[-1])]
         cut = size[np.searchsorted(start, at)]
         ends = np.array([self.begin, self.end], np.uint32)
         return [np.concatenate([ends[:1], ids[a:b], ends[1:]]) for a, b in zip(cut[:-1], cut[1:])]
