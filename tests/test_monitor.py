@@ -67,6 +67,44 @@ def test_fold_equals_brute_force(spark, chunk):
         assert row["last_changed_at"] == max((i for i, c in enumerate(flags) if c), default=None)
 
 
+def balanced(n):
+    """Checks whose steps keep the interval away from both bounds."""
+    size, out = 1.0, []
+    for _ in range(n):
+        out.append(size >= 1)
+        size *= 0.5 if out[-1] else 1.5
+    return out
+
+
+def test_chunks_that_never_saturate_take_log_rounds(spark, monkeypatch):
+    made = {"even": balanced(400), "short": balanced(21), "late": [False] * 100 + balanced(150), **histories()}
+    data = [(k, i, i, c) for k, v in made.items() for i, c in enumerate(v)]
+    df = spark.createDataFrame(data, "site_id string, checked_at bigint, event_id bigint, changed boolean")
+    written = []
+    write = cadence.materialize
+    monkeypatch.setattr(cadence, "materialize", lambda d: written.append(d.columns) or write(d))
+    rows = cadence.fold_cadence(df, "site_id", ["checked_at", "event_id"], chunk=8).collect()
+    got = {r["site_id"]: (r["interval_s"], r["streak"], r["checks"]) for r in rows}
+    for key, flags in made.items():
+        interval, streak = L.SITE_DEFAULT_INTERVAL_S, 0
+        for changed in flags:
+            interval, streak = _step(interval, streak, changed, L.SITE_FLOOR_S, L.SITE_CEILING_S)
+        assert got[key] == (interval, streak, len(flags))
+    # 50 chunks of the longest key: the chunks, their break points, and at most six rounds
+    assert 2 < len(written) <= 2 + 6
+
+
+def test_break_points_are_the_steps(spark):
+    flags = balanced(12)
+    df = spark.createDataFrame([(1, 0, [(c, 0) for c in flags])], "k int, at bigint, steps array<struct<changed boolean, before bigint>>")
+    row = cadence.break_points(df, "k", 10, 900, 20, 800).first()
+    for i in range(10, 901):
+        want = i
+        for c in flags:
+            want = _step(want, 0, c, 20, 800)[0]
+        assert row.outs[sum(s <= i for s in row.starts) - 1] == want
+
+
 def test_priors(spark):
     df = spark.createDataFrame(
         [(9, True, False, True), (9, False, True, False), (9, False, False, True), (15, False, False, False), (16, False, False, False)],

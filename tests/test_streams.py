@@ -14,15 +14,40 @@ def feed(spark, parts, name):
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_late_checks_are_counted_not_folded(spark):
+def last_state(spark, parts, **limits):
+    out = work_dir(spark, "t")
+    run_available(cadence.cadence_stream(feed(spark, parts, "late"), **limits), append_to(f"{out}/r"), f"{out}/s", "update")
+    return cadence.latest_cadence(read_sink(spark, f"{out}/r"))
+
+
+def test_late_checks_are_folded_in_their_place(spark):
+    schema = "site_id string, checked_at bigint, event_id bigint, changed boolean"
+    rows = [("a", 20, 2, True), ("a", 10, 1, True)], [("a", 5, 3, False), ("a", 30, 4, True)], [("a", 25, 5, False)]
+    parts = [spark.createDataFrame(r, schema) for r in rows]
+    want = batch.fold_cadence(spark.createDataFrame([r for x in rows for r in x], schema), "site_id", ["checked_at", "event_id"]).first()
+    row = last_state(spark, parts).first()
+    assert [row[c] for c in ("checks", "interval_s", "streak", "last_changed_at")] == [want[c] for c in ("checks", "interval_s", "streak", "last_changed_at")]
+    assert row["late"] == 0 and row["last_checked_at"] == 30
+
+
+def test_checks_before_the_kept_time_are_counted(spark):
     schema = "site_id string, checked_at bigint, event_id bigint, changed boolean"
     parts = [spark.createDataFrame(r, schema) for r in ([("a", 20, 2, True), ("a", 10, 1, True)], [("a", 5, 3, False), ("a", 30, 4, True)])]
-    out = work_dir(spark, "t")
-    run_available(cadence.cadence_stream(feed(spark, parts, "late")), append_to(f"{out}/r"), f"{out}/s", "update")
-    row = cadence.latest_cadence(read_sink(spark, f"{out}/r")).first()
+    row = last_state(spark, parts, keep_s=0).first()
     assert (row["interval_s"], row["streak"], row["checks"], row["late"], row["last_changed_at"]) == (10800, 3, 3, 1, 30)
 
 
+def test_shuffled_checks_give_the_batch_result(spark):
+    rnd = random.Random(8)
+    data = [(rnd.choice("ab"), i * 3600, i, rnd.random() < 0.5) for i in range(150)]
+    schema = "site_id string, checked_at bigint, event_id bigint, changed boolean"
+    want = sorted(map(tuple, batch.fold_cadence(spark.createDataFrame(data, schema), "site_id", ["checked_at", "event_id"]).collect()))
+    rnd.shuffle(data)
+    parts = [spark.createDataFrame(data[i::3], schema) for i in range(3)]
+    got = last_state(spark, parts, keep_s=1_000_000).select("site_id", "checks", "interval_s", "streak", "last_changed_at")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_any_split_gives_the_batch_result(spark):
     rnd = random.Random(4)
     data = [(rnd.choice("abc"), i, i, rnd.random() < 0.5) for i in range(120)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webcairn import limits as L
@@ -10,6 +14,8 @@ from webcairn.operators.ranking import positions
 from webcairn.session import materialize
 
 CHUNK = 4_096
+#: Widest range of intervals whose step functions are written out.
+MOST_POINTS = 10_000_000
 
 
 def cadence_signals(pages: DataFrame, flags: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
@@ -61,6 +67,53 @@ def check_streaks(checks: DataFrame, key: str, order: list[str], chunk: int = CH
     ).drop("end_before", "run", "carried")
 
 
+def break_points(rows: DataFrame, key: str, low: int, high: int, floor: int, ceiling: int) -> DataFrame:
+    """The step function of each row's ``steps`` over [low, high]: where it changes and to what."""
+    if high - low > MOST_POINTS:
+        raise ValueError(f"a range of {high - low} intervals has too many break points")
+    strong = L.STRONG_STREAK
+
+    def points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            starts, outs = [], []
+            for steps in frame["steps"]:
+                start = out = np.arange(low, high + 1)
+                for step in steps:
+                    if step["changed"]:
+                        out = np.maximum(out // (3 if step["before"] >= strong else 2), floor)
+                    else:
+                        out = np.minimum(out * 2 if step["before"] <= -strong else out * 3 // 2, ceiling)
+                    new = np.append(True, out[1:] != out[:-1])
+                    start, out = start[new], out[new]
+                starts.append(start)
+                outs.append(out)
+            yield frame[[key, "at"]].assign(starts=starts, outs=outs)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col("at").cast("bigint").alias("at"), "steps").mapInPandas(
+        points, f"{key} {kind}, at bigint, starts array<bigint>, outs array<bigint>"
+    )
+
+
+def composed(maps: DataFrame, key: str) -> DataFrame:
+    """One step function per key from those at 0, 1, ...: neighbours are joined until one is left."""
+
+    def pair(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        start, out = frame["starts"].iloc[0], frame["outs"].iloc[0]
+        if len(frame) == 2:
+            out = frame["outs"].iloc[1][np.searchsorted(frame["starts"].iloc[1], out, "right") - 1]
+            new = np.append(True, out[1:] != out[:-1])
+            start, out = start[new], out[new]
+        return frame.head(1).assign(at=frame["at"] // 2, starts=[start], outs=[out])
+
+    maps = materialize(maps)
+    while maps.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0] > 0:
+        pairs = maps.withColumn("half", F.shiftright("at", 1)).groupBy(key, "half")
+        maps = materialize(pairs.applyInPandas(lambda f: pair(f.drop(columns="half")), maps.schema))
+    return maps.drop("at")
+
+
 def fold_cadence(
     checks: DataFrame,
     key: str,
@@ -72,10 +125,12 @@ def fold_cadence(
 ) -> DataFrame:
     """Interval and streak of every key after its whole check history.
 
-    ``order[0]`` is the time of the check.  A step never reorders two intervals, so
-    a chunk that maps the least and the greatest interval to one value maps all of
-    them to it; long chunks do.  Chunks that do not are evaluated once the chunk
-    before them is known, one round per run of such chunks.
+    ``order[0]`` is the time of the check.  A step never reorders two intervals, so a
+    chunk is a monotone step function of the interval before it.  One that maps the
+    least and the greatest interval to one value is constant; long chunks are, and a key
+    needs no more than what follows its last constant chunk.  The chunks between
+    that one and the key's last are written as break points and composed in pairs, in as many
+    rounds as their number has binary digits.
     """
     d = check_streaks(checks, key, order, chunk)
     before = F.when(F.abs("streak") > 1, F.col("streak") - F.signum("streak").cast("bigint"))
@@ -101,22 +156,25 @@ def fold_cadence(
     low, high = min(floor, start), max(ceiling, start)
     first = F.col("chunk") == 0
     d = steps.withColumns({"lo": run(F.when(first, start).otherwise(low)), "hi": run(F.when(first, start).otherwise(high))})
-    d = materialize(
-        d.withColumn("out", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).drop("lo", "hi")
-    )
-    while not d.where(F.col("out").isNull()).isEmpty():
-        known = d.where(F.col("out").isNotNull()).select(
-            key, (F.col("chunk") + 1).alias("chunk"), F.col("out").alias("into")
-        )
-        d = materialize(
-            d.join(known, [key, "chunk"], "left")
-            .withColumn("out", F.coalesce("out", F.when(F.col("into").isNotNull(), run(F.col("into")))))
-            .drop("into")
-        )
-    last = d.groupBy(key).agg(
-        F.max_by(F.struct("out", "streak", "checks"), "chunk").alias("last"),
+    d = materialize(d)
+    known = F.col("lo") == F.col("hi")
+    ends = d.groupBy(key).agg(
+        F.max("chunk").alias("end"),
+        F.max(F.when(known, F.col("chunk"))).alias("from"),
+        F.max_by("lo", F.when(known, F.col("chunk"))).alias("value"),
         F.max("changed_at").alias("last_changed_at"),
     )
+    between = d.join(ends, key).where((F.col("chunk") > F.col("from")) & (F.col("chunk") < F.col("end")))
+    maps = composed(break_points(between.withColumn("at", F.col("chunk") - F.col("from") - 1), key, low, high, floor, ceiling), key)
+    reached = F.get("outs", F.size(F.filter("starts", lambda x: x <= F.col("value"))) - 1)
+    last = (
+        d.join(ends, key)
+        .where(F.col("chunk") == F.col("end"))
+        .join(maps, key, "left")
+        .withColumn("into", F.coalesce(reached, "value"))
+        .withColumn("out", F.when(known, F.col("lo")).otherwise(run(F.col("into"))))
+        .select(key, F.struct("out", "streak", "checks").alias("last"), "last_changed_at")
+    )
     return last.select(
         key,
         F.col("last.checks").cast("bigint").alias("checks"),

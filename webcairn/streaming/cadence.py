@@ -11,7 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webcairn import limits as L
 
-STATE = "interval_s bigint, streak bigint, checks bigint, last_at bigint, last_changed_at bigint, late bigint"
+STATE = (
+    "interval_s bigint, streak bigint, checks bigint, last_at bigint, last_changed_at bigint, late bigint, "
+    "sealed_until bigint, at array<bigint>, event_id array<bigint>, changed array<boolean>"
+)
+#: How late a check may come and still be folded in its place.
+KEEP_S = 7 * L.DAY
 OUTPUT = (
     "site_id string, interval_s bigint, streak bigint, checks bigint, last_checked_at bigint, "
     "last_changed_at bigint, next_check_at bigint, late bigint"
@@ -31,28 +36,39 @@ def cadence_stream(
     start: int = L.SITE_DEFAULT_INTERVAL_S,
     floor: int = L.SITE_FLOOR_S,
     ceiling: int = L.SITE_CEILING_S,
+    keep_s: int = KEEP_S,
 ) -> DataFrame:
     """State of each key after every batch that holds checks of it.
 
-    ``checks``: site_id, checked_at, event_id, changed.  Checks of a batch are folded
-    in time order; one older than the state cannot be folded any more and is counted
-    as late.  The state of a key is six numbers, however long its history.
+    ``checks``: site_id, checked_at, event_id, changed.  Checks of the last ``keep_s``
+    seconds before a key's newest one stay in its state in time order and are folded anew when
+    a late one comes between them, so the result is that of a batch over all of them.
+    Older checks are sealed into six numbers; a check that belongs among them is counted as late.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        interval, streak, seen, last, moved, late = state.get if state.exists else (start, 0, 0, -1, -1, 0)
+        *sealed, late, until, at, ids, flags = state.get if state.exists else (start, 0, 0, -1, -1, 0, -1, [], [], [])
         parts = [b[["checked_at", "event_id", "changed"]] for b in batches]
-        rows = pd.concat(parts) if parts else pd.DataFrame({"checked_at": [], "event_id": [], "changed": []})
-        at = rows["checked_at"].to_numpy()
-        order = np.lexsort((rows["event_id"].to_numpy(), at))
-        for when, changed in zip(at[order], rows["changed"].to_numpy()[order]):
-            if when < last:
-                late += 1
-                continue
-            interval, streak = _step(interval, streak, bool(changed), floor, ceiling)
-            seen, last = seen + 1, int(when)
-            moved = last if changed else moved
-        state.update((interval, streak, seen, last, moved, late))
+        rows = pd.concat([pd.DataFrame({"checked_at": at, "event_id": ids, "changed": flags}), *parts])
+        when, name, flag = (rows[c].to_numpy().astype(t) for c, t in (("checked_at", int), ("event_id", int), ("changed", bool)))
+        fresh = when > until
+        late += int((~fresh).sum())
+        order = np.lexsort((name[fresh], when[fresh]))
+        when, name, flag = when[fresh][order], name[fresh][order], flag[fresh][order]
+        until = max(until, int(when[-1]) - keep_s) if len(when) else until
+        cut = int(np.searchsorted(when, until, "right"))
+
+        def folded(numbers: list[int], times: list[int], moves: list[bool]) -> list[int]:
+            interval, streak, seen, last, moved = numbers
+            for now, changed in zip(times, moves):
+                interval, streak = _step(interval, streak, changed, floor, ceiling)
+                last, moved = now, now if changed else moved
+            return [interval, streak, seen + len(times), last, moved]
+
+        sealed = folded(sealed, when[:cut].tolist(), flag[:cut].tolist())
+        when, name, flag = when[cut:].tolist(), name[cut:].tolist(), flag[cut:].tolist()
+        interval, streak, seen, last, moved = folded(sealed, when, flag)
+        state.update((*sealed, late, until, when, name, flag))
         yield pd.DataFrame(
             {
                 "site_id": [key[0]],
