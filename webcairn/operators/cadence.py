@@ -164,14 +164,15 @@ def fold_cadence(
         F.max_by("lo", F.when(known, F.col("chunk"))).alias("value"),
         F.max("changed_at").alias("last_changed_at"),
     )
-    between = d.join(ends, key).where((F.col("chunk") > F.col("from")) & (F.col("chunk") < F.col("end")))
-    maps = composed(break_points(between.withColumn("at", F.col("chunk") - F.col("from") - 1), key, low, high, floor, ceiling), key)
-    reached = F.get("outs", F.size(F.filter("starts", lambda x: x <= F.col("value"))) - 1)
+    into = F.col("value")
+    last = d.join(ends, key).where(F.col("chunk") == F.col("end"))
+    if ends.agg(F.max(F.col("end") - F.col("from"))).first()[0] not in (None, 0, 1):
+        between = d.join(ends, key).where((F.col("chunk") > F.col("from")) & (F.col("chunk") < F.col("end")))
+        maps = break_points(between.withColumn("at", F.col("chunk") - F.col("from") - 1), key, low, high, floor, ceiling)
+        last = last.join(composed(maps, key), key, "left")
+        into = F.coalesce(F.get("outs", F.size(F.filter("starts", lambda x: x <= F.col("value"))) - 1), into)
     last = (
-        d.join(ends, key)
-        .where(F.col("chunk") == F.col("end"))
-        .join(maps, key, "left")
-        .withColumn("into", F.coalesce(reached, "value"))
+        last.withColumn("into", into)
         .withColumn("out", F.when(known, F.col("lo")).otherwise(run(F.col("into"))))
         .select(key, F.struct("out", "streak", "checks").alias("last"), "last_changed_at")
     )
