@@ -602,6 +602,58 @@ def version_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["version_diff"] = version_diff
+#: Longest common lines by a table over both tails, a walk through it that prefers to drop, and the text of its hunks.
+DIFF_SQL = """
+WITH RECURSIVE {heads},
+numbered AS (
+  SELECT a.site_id, a.version AS v, row_number() OVER () AS pair,
+    CASE WHEN a.content = '' THEN [] ELSE string_split(regexp_replace(a.content, '\\n$', ''), chr(10)) END AS old,
+    CASE WHEN b.content = '' THEN [] ELSE string_split(regexp_replace(b.content, '\\n$', ''), chr(10)) END AS new
+  FROM vers a JOIN vers b ON a.site_id = b.site_id AND b.version = a.version + 1 WHERE a.content <> b.content
+), texts AS MATERIALIZED (SELECT * FROM numbered),
+tails AS (
+  SELECT pair, CAST(len(old) AS BIGINT) AS i, j, CAST(0 AS BIGINT) AS kept, old, new FROM texts, unnest(range(len(new) + 1)) AS u(j)
+  UNION ALL
+  SELECT pair, i - 1, j, max(best) OVER (PARTITION BY pair ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), old, new FROM (
+    SELECT pair, i, j, old, new, CASE WHEN old[i] = new[j + 1] THEN 1 + lead(kept) OVER (PARTITION BY pair ORDER BY j) ELSE kept END AS best
+    FROM tails WHERE i > 0)
+), grid AS MATERIALIZED (SELECT pair, i, list(kept ORDER BY j) AS kept FROM tails GROUP BY ALL),
+walk AS (
+  SELECT pair, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(-1 AS BIGINT) AS k, '' AS tag, '' AS line, CAST(0 AS BIGINT) AS old_at, CAST(0 AS BIGINT) AS new_at FROM texts
+  UNION ALL
+  SELECT pair, CASE step WHEN '+' THEN i ELSE i + 1 END, CASE step WHEN '-' THEN j ELSE j + 1 END, k + 1, step,
+    CASE step WHEN '+' THEN new[j + 1] ELSE old[i + 1] END, i, j
+  FROM (
+    SELECT w.pair, w.i, w.j, w.k, t.old, t.new,
+      CASE WHEN w.i < len(t.old) AND w.j < len(t.new) AND t.old[w.i + 1] = t.new[w.j + 1] THEN ' '
+        WHEN w.i < len(t.old) AND (w.j = len(t.new) OR below.kept[w.j + 1] >= here.kept[w.j + 2]) THEN '-' ELSE '+' END AS step
+    FROM walk w JOIN texts t USING (pair) JOIN grid here ON here.pair = w.pair AND here.i = w.i
+      LEFT JOIN grid below ON below.pair = w.pair AND below.i = w.i + 1
+    WHERE w.i < len(t.old) OR w.j < len(t.new))
+), ops AS MATERIALIZED (SELECT pair, k, tag, line, old_at, new_at, max(k) OVER (PARTITION BY pair) AS top FROM walk WHERE k >= 0),
+changes AS (
+  SELECT *, sum(CASE WHEN {apart} THEN 1 ELSE 0 END) OVER (PARTITION BY pair ORDER BY k) AS hunk
+  FROM (SELECT *, lag(k) OVER (PARTITION BY pair ORDER BY k) AS before FROM ops WHERE tag <> ' ')
+), ranges AS (SELECT pair, hunk, {lo} AS lo, {hi} AS hi FROM changes GROUP BY pair, hunk),
+hunks AS (
+  SELECT pair, hunk, count(*) FILTER (tag <> '+') AS olds, count(*) FILTER (tag <> '-') AS news, min(old_at) AS old_at, min(new_at) AS new_at,
+    string_agg(tag || line, chr(10) ORDER BY k) AS body
+  FROM ranges JOIN ops USING (pair) WHERE k BETWEEN lo AND hi GROUP BY pair, hunk
+)
+SELECT site_id, any_value(v) AS from_version, any_value(v) + 1 AS to_version,
+  '--- v' || any_value(v) || chr(10) || '+++ v' || (any_value(v) + 1) || chr(10) || string_agg(
+    '@@ -' || (old_at + CAST(olds > 0 AS INT)) || ',' || olds || ' +' || (new_at + CAST(news > 0 AS INT)) || ',' || news || ' @@' || chr(10) || body,
+    chr(10) ORDER BY hunk) || chr(10) AS diff
+FROM hunks JOIN texts USING (pair) GROUP BY site_id, pair
+"""
+
+
+def diff_sql(apart: str, lo: str, hi: str) -> str:
+    heads = oracle("", "vers").removeprefix("WITH ").rstrip()
+    return DIFF_SQL.format(heads=heads, apart=apart, lo=lo, hi=hi)
+
+
+ORACLE["version_diff"] = diff_sql("before IS NULL OR k - before > 6", "greatest(min(k) - 3, 0)", "least(max(k) + 3, max(top))")
 
 
 def version_diff_whole(spark: SparkSession, sf: str) -> DataFrame:
@@ -609,6 +661,7 @@ def version_diff_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["version_diff_whole"] = version_diff_whole
+ORACLE["version_diff_whole"] = diff_sql("before IS NULL", "0", "max(top)")
 
 
 def version_rebuild(spark: SparkSession, sf: str) -> DataFrame:
