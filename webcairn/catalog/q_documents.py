@@ -12,6 +12,8 @@ from webcairn.functions.sections import section_of
 from webcairn.operators import document, inventory as inv, plan as plans
 from webcairn.plans.generate import generate_documents
 from webcairn.session import materialize
+from webcairn.sources.sinks import document_table, write_documents
+from webcairn.streaming.runner import work_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -243,6 +245,20 @@ FROM lines GROUP BY ALL""",
 )
 
 
+def document_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents written in two runs, the first of them twice, and read back."""
+    parts = materialize(generate_documents(pages(spark, sf)))
+    path = work_dir(spark, "documents")
+    first = F.pmod(F.xxhash64("site_id"), F.lit(2)) == 0
+    for run, rows in (("r1", parts.where(first)), ("r1", parts.where(first)), ("r2", parts.where(~first))):
+        write_documents(rows, path, run)
+    return document_table(spark, path, parts.schema).read()
+
+
+QUERIES["document_sink"] = document_sink
+ORACLE["document_sink"] = ORACLE["documents"]
+
+
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = generate_documents(pages(spark, sf))
     return document.parse_lines(document.split_documents(docs, ["site_id"])).drop("line")

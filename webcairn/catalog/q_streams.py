@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webcairn import limits as L
 from webcairn.catalog import q_monitor, q_reports, views
-from webcairn.catalog.ctes import oracle
+from webcairn.catalog.ctes import define, oracle
 from webcairn.operators.monitor import due_sites
 from webcairn.operators.ranking import first_by
+from webcairn.sources.versioned import VersionedTable
 from webcairn.streaming import admission, cadence, pages, progress
 from webcairn.streaming.runner import append_to, read_sink, run_available, work_dir
 
@@ -123,6 +124,72 @@ QUERIES["stream_changes"] = stream_changes
 ORACLE["stream_changes"] = q_monitor.ORACLE["check_resolved"]
 
 
+# Two answers of every page, the second after all first ones.
+ANSWERS = """
+SELECT site_id, url, page_id AS seq, CAST(status AS int) AS status, etag, last_modified, current_hash FROM {responses}
+UNION ALL
+SELECT site_id, url, page_id + 1000000000, CASE WHEN page_id % 7 = 0 THEN 304 WHEN page_id % 13 = 0 THEN 410 ELSE 200 END,
+  CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'round2' END, last_modified, CASE WHEN page_id % 2 = 0 THEN 'r2-' || CAST(page_id AS varchar(20)) ELSE current_hash END
+FROM {responses}
+"""
+ANSWERS_BEFORE = """
+SELECT a.*, s.site_id IS NOT NULL OR held IS NOT NULL AS known, coalesce(hash, s.content_hash) AS content_hash,
+  CASE WHEN held IS NULL THEN s.etag ELSE held.e END AS old_etag, CASE WHEN held IS NULL THEN s.last_modified ELSE held.m END AS old_modified
+FROM (SELECT *, last_value(CASE WHEN status = 200 THEN current_hash END IGNORE NULLS) OVER w AS hash,
+    last_value(CASE WHEN status = 200 THEN {'e': etag, 'm': last_modified} END IGNORE NULLS) OVER w AS held
+  FROM answers WINDOW w AS (PARTITION BY site_id, url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) a
+LEFT JOIN stored s ON s.site_id = a.site_id AND s.url = a.url"""
+define("answers", ("responses",), ANSWERS.format(responses="responses"))
+define("answers_before", ("answers", "stored"), ANSWERS_BEFORE)
+
+
+def _updated(spark: SparkSession, sf: str) -> tuple[VersionedTable, DataFrame]:
+    s = q_monitor.snap(spark, sf)
+    store = pages.page_store(spark, work_dir(spark, "pages"), 16)
+    store.merge(s["stored"].select(*store.schema.names), "start")
+    answers = spark.sql(ANSWERS, responses=s["responses"])
+    return store, replay(spark, answers, "seq", lambda r: r, each=pages.update_pages(store))
+
+
+def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of answers against a stored side that earlier answers, of this batch or others, have moved."""
+    return _updated(spark, sf)[1].drop("batch")
+
+
+QUERIES["stream_upserts"] = stream_upserts
+ORACLE["stream_upserts"] = oracle(
+    """
+SELECT site_id, url, seq, outcome, CASE WHEN current_hash IS NOT NULL AND outcome = 'modified' THEN 'unchanged' ELSE outcome END AS resolved,
+  CASE WHEN current_hash IS NOT NULL THEN hash_changed ELSE outcome = 'modified' END AS changed, hash_changed
+FROM (SELECT *, coalesce(content_hash <> current_hash, false) AS hash_changed,
+  CASE WHEN status = 304 THEN 'unchanged' WHEN status IN (404, 410) THEN 'removed' WHEN status <> 200 THEN 'error'
+    WHEN old_etag IS NOT NULL AND etag IS NOT NULL AND old_etag = etag THEN 'unchanged'
+    WHEN old_etag IS NULL AND old_modified IS NOT NULL AND old_modified = last_modified THEN 'unchanged' ELSE 'modified' END AS outcome
+  FROM answers_before WHERE known)""",
+    "answers_before",
+)
+
+
+def page_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored side after all answers."""
+    return _updated(spark, sf)[0].read()
+
+
+QUERIES["page_store"] = page_store
+ORACLE["page_store"] = oracle(
+    """
+SELECT coalesce(s.site_id, a.site_id) AS site_id, coalesce(s.url, a.url) AS url, CASE WHEN held IS NULL THEN etag ELSE held.e END AS etag,
+  CASE WHEN held IS NULL THEN last_modified ELSE held.m END AS last_modified, coalesce(hash, content_hash) AS content_hash, coalesce(new_status, status) AS status
+FROM stored s FULL JOIN (
+  SELECT site_id, url, max_by({'e': etag, 'm': last_modified}, seq) FILTER (status = 200) AS held,
+    max_by(current_hash, seq) FILTER (status = 200 AND current_hash IS NOT NULL) AS hash,
+    max_by(CASE WHEN status = 200 THEN 'active' ELSE 'removed' END, seq) FILTER (status = 200 OR status IN (404, 410) AND known) AS new_status
+  FROM answers_before GROUP BY ALL) a ON s.site_id = a.site_id AND s.url = a.url
+WHERE s.site_id IS NOT NULL OR new_status IS NOT NULL""",
+    "answers_before",
+)
+
+
 def stream_publish(spark: SparkSession, sf: str) -> DataFrame:
     """One run per document, delivered twice; a site gets at most one version a batch."""
     docs = views.table(spark, sf, "documents").select(

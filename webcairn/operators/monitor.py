@@ -53,18 +53,23 @@ def resolve_checks(stored: DataFrame, responses: DataFrame) -> DataFrame:
         *KEYS, "status", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_modified"), "current_hash"
     )
     d = stored.select(*KEYS, "etag", "last_modified", "content_hash").join(r, KEYS)
+    return judged(d).select(*KEYS, "outcome", "resolved", "changed", "hash_changed")
+
+
+def judged(d: DataFrame) -> DataFrame:
+    """Rows of a response (status, new_etag, new_modified, current_hash) beside the stored page, with what it says."""
     d = d.withColumn(
         "outcome",
         freshness.conditional_outcome(
             F.col("status"), F.col("new_etag"), F.col("new_modified"), F.col("etag"), F.col("last_modified")
         ),
     )
-    return d.select(
-        *KEYS,
-        "outcome",
-        freshness.resolved_outcome(F.col("outcome"), F.col("current_hash")).alias("resolved"),
-        freshness.check_changed(F.col("outcome"), F.col("content_hash"), F.col("current_hash")).alias("changed"),
-        freshness.hash_changed(F.col("content_hash"), F.col("current_hash")).alias("hash_changed"),
+    return d.withColumns(
+        {
+            "resolved": freshness.resolved_outcome(F.col("outcome"), F.col("current_hash")),
+            "changed": freshness.check_changed(F.col("outcome"), F.col("content_hash"), F.col("current_hash")),
+            "hash_changed": freshness.hash_changed(F.col("content_hash"), F.col("current_hash")),
+        }
     )
 
 

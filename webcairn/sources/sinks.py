@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-BUCKETS = 256
+from webcairn.sources.versioned import BUCKETS, VersionedTable
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
@@ -14,12 +15,14 @@ def write_pages(pages: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def write_documents(parts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Document parts by hash bucket: never one folder per site."""
-    bucket = F.pmod(F.xxhash64("site_id", "part_no"), F.lit(buckets)).cast("int")
-    parts.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy(
-        "bucket"
-    ).parquet(path)
+def document_table(spark: SparkSession, path: str, schema: StructType, buckets: int = BUCKETS) -> VersionedTable:
+    """Document parts by hash bucket of site and part: never one folder per site."""
+    return VersionedTable(spark, path, schema, ["site_id", "part_no"], buckets)
+
+
+def write_documents(parts: DataFrame, path: str, run_id: str, buckets: int = BUCKETS) -> bool:
+    """Add the parts of a run; a repeated run adds nothing, a failed one is not seen."""
+    return document_table(parts.sparkSession, path, parts.schema, buckets).append(parts, run_id)
 
 
 def export_text(parts: DataFrame, path: str) -> None:
