@@ -44,15 +44,10 @@ RECORD = T.StructType(
 )
 
 
-def base32_sha1(value: Column) -> Column:
-    """Upper-case base32 of the SHA-1, from its hex digits five bits at a time."""
-    digits = F.sha1(value)
-    chars = []
-    for i in range(32):
-        at, skip = divmod(5 * i, 4)
-        pair = F.conv(F.substring(digits, at + 1, 2), 16, 10).cast("int")
-        chars.append(F.substring(F.lit(BASE32), F.shiftright(pair, 3 - skip).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*chars)
+def base32(digits: Column) -> Column:
+    """Upper-case base32 of the 40 hex digits of a SHA-1, five bytes at a time."""
+    groups = [F.lpad(F.conv(F.substring(digits, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _record(kind: str, id: Column, fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -88,14 +83,14 @@ def write_warc(
     ).withColumns(
         {
             "pid": F.coalesce(F.col("id").cast("string"), F.lit("")),
-            "digest": base32_sha1(F.col("body").cast("binary")),
+            "sha": F.sha1(F.col("body").cast("binary")),
             "n": F.octet_length("body"),
         }
     )
-    largest = materialize(rows.groupBy("digest").agg(F.max("id").alias("largest")))
-    own = materialize(  # one row per (id, payload)
-        rows.select("id", "pid", "digest").distinct().join(largest, "digest").select("pid", "digest", "largest")
-    )
+    # the bodies are read once for what decides and once to be written; base32 is for print
+    held = materialize(rows.select("id", "pid", "sha").distinct())  # one row per (id, payload)
+    largest = held.groupBy("sha").agg(F.max("id").alias("largest"))
+    own = materialize(held.join(largest, "sha").select("pid", "sha", "largest", base32(F.col("sha")).alias("digest")))
     same = Window.partitionBy("pid", "digest").orderBy("url")
     big = F.col("largest").cast("string")
     first = (F.col("turn") == 1) & (F.coalesce(big, F.lit("")) == F.col("pid"))
@@ -110,7 +105,7 @@ def write_warc(
     )
     turn = F.col("turn").cast("string")
     ready = (
-        rows.join(own, ["pid", "digest"])
+        rows.join(own, ["pid", "sha"])
         .withColumn("turn", F.row_number().over(same))
         .withColumn("revisit", (F.col("n") >= min_payload) & ~first)
         .withColumns(
