@@ -29,6 +29,8 @@ from webcairn.llm.common import filter_bits, in_filter, materialize, text_key, t
 
 LENGTH = 200
 GRAM = 50
+#: Windows held at a time, and bytes of text worked on at once.
+HELD, CHUNK = 1 << 17, 1 << 18
 _LENGTH_MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -78,7 +80,7 @@ def _signed(x):
 def _first_digits(length, gram):
     def scan(batches):
         for batch in batches:
-            for _, data, at in tk.chunks(batch.column("text")):
+            for _, data, at in tk.chunks(batch.column("text"), CHUNK):
                 got = _runs(data, at, length, gram)
                 if got is None:
                     continue
@@ -95,7 +97,7 @@ def _repeated_runs(length, gram, bits):
         seen = bits.value
         for batch in batches:
             keys = batch.column("key")
-            for row, data, at in tk.chunks(batch.column("text")):
+            for row, data, at in tk.chunks(batch.column("text"), CHUNK):
                 got = _runs(data, at, length, gram)
                 if got is None:
                     continue
@@ -127,29 +129,33 @@ def _repeated_runs(length, gram, bits):
 
 
 def _windows(length):
-    """Last digits of the listed runs of each text."""
+    """Last digits of the listed runs of each text, a bounded number at a time."""
 
     def scan(batches):
+        names = ["run", "step", "digit", "single"]
         for batch in batches:
             texts, sizes, runs = batch.column("packed"), batch.column("size"), batch.column("runs")
-            keys = batch.column("key")
-            out = []
             for i in range(len(batch)):
                 data = np.frombuffer(pa.decompress(texts[i].as_buffer(), sizes[i].as_py(), "zstd"), np.uint8)
                 prefix = tk.Prefix(data)
                 items = runs[i].values
                 lo, hi = items.field("lo").to_numpy(), items.field("hi").to_numpy()
                 first, run = items.field("first").to_numpy(), items.field("run").to_numpy()
-                n = hi - lo + 1
                 single = items.field("single").to_numpy(zero_copy_only=False)
-                of = np.repeat(np.arange(len(lo)), n)
-                p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of]
-                digit = tk.mix(prefix.ranges(p, p + length) + tk.mix(first[of].view(np.uint64)))
-                out.append((run[of], (p - lo[of]).astype(np.int32), _signed(digit), single[of]))
-            if out:
-                cols = [np.concatenate(x) for x in zip(*out)]
-                for j in range(0, len(cols[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[j : j + 50_000]) for c in cols], ["run", "step", "digit", "single"])
+                ends = np.cumsum(hi - lo + 1)
+                at = 0
+                while at < len(lo):  # runs of about HELD windows; one longer run comes alone
+                    done = ends[at - 1] if at else 0
+                    to = max(int(np.searchsorted(ends, done + HELD, "right")), at + 1)
+                    part = slice(at, to)
+                    n = hi[part] - lo[part] + 1
+                    of = np.repeat(np.arange(at, to), n)
+                    p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of]
+                    digit = tk.mix(prefix.ranges(p, p + length) + tk.mix(first[of].view(np.uint64)))
+                    columns = (run[of], (p - lo[of]).astype(np.int32), _signed(digit), single[of])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                    at = to
+            pa.default_memory_pool().release_unused()
 
     return scan
 
