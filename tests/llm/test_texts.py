@@ -32,8 +32,10 @@ def test_suffix_dedup(documents):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         runs = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         want.append((doc, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
-    out = suffix_dedup.remove_repeats(df.withColumn("spans", F.lit(1)).withColumn("key", F.lit("k")))
+    own = ("spans", "key", "size", "packed")
+    out = suffix_dedup.remove_repeats(df.withColumns({c: F.lit(c) for c in own}))
     assert "lang" in out.columns
+    assert {tuple(r) for r in out.select(*own).collect()} == {own}
     got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     assert bag(got.collect()) == bag(want)
 

@@ -134,7 +134,7 @@ def _windows(length):
     def scan(batches):
         names = ["run", "step", "digit", "single"]
         for batch in batches:
-            texts, sizes, runs = batch.column("packed"), batch.column("size"), batch.column("runs")
+            texts, sizes, runs = batch.column("__packed"), batch.column("__size"), batch.column("runs")
             for i in range(len(batch)):
                 data = np.frombuffer(pa.decompress(texts[i].as_buffer(), sizes[i].as_py(), "zstd"), np.uint8)
                 prefix = tk.Prefix(data)
@@ -170,18 +170,18 @@ def _maybe(bits):
 
 def _pack(batches):
     for batch in batches:
-        text = batch.column("text")
+        text = batch.column("__text")
         raw = [x.as_buffer() if x.is_valid else pa.py_buffer(b"") for x in text]
         packed = pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
         size = pa.array([x.size for x in raw], pa.int64())
-        names = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), packed, size], [*names, "packed", "size"])
+        names = [c for c in batch.schema.names if c != "__text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), packed, size], [*names, "__packed", "__size"])
 
 
 def _cut(batches):
     """Texts without their spans: what is left, its size and the number of removed runs."""
     for batch in batches:
-        texts, sizes, spans = batch.column("packed"), batch.column("size"), batch.column("spans")
+        texts, sizes, spans = batch.column("__packed"), batch.column("__size"), batch.column("__spans")
         left, removed, number = [], [], []
         for i in range(len(batch)):
             size = sizes[i].as_py()
@@ -198,7 +198,7 @@ def _cut(batches):
             left.append(kept.tobytes())
             removed.append(cut)
             number.append(n)
-        names = [c for c in batch.schema.names if c not in ("packed", "size", "spans", "key")]
+        names = [c for c in batch.schema.names if c not in ("__packed", "__size", "__spans", "__key")]
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in names),
@@ -252,9 +252,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     listed = places.groupBy("key").agg(
         F.collect_list(F.struct("lo", "hi", "first", "run", (F.col("number") == 1).alias("single"))).alias("runs")
     )
-    texts = source.select(text_key(F.col("text")).alias("key"), "text").mapInArrow(_once, "key binary, text string")
+    texts = source.select(text_key(F.col("text")).alias("key"), F.col("text").alias("__text")).mapInArrow(_once, "key binary, __text string")
     windows = materialize(
-        texts.mapInArrow(_pack, "key binary, packed binary, size bigint")
+        texts.mapInArrow(_pack, "key binary, __packed binary, __size bigint")
         .join(listed, "key")
         .mapInArrow(_windows(length), "run bigint, step int, digit bigint, single boolean")
     )
@@ -293,20 +293,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     """Every row of ``docs`` without its text, with kept (binary, the bytes left), n_bytes, n_removed, n_spans.
 
     A removed run may start or end inside a character, hence bytes.  Null text gives
-    empty bytes, equal rows equal results; no rows give no rows.
+    empty bytes, equal rows equal results; no rows give no rows.  Other columns stay, also those named
+    key, size, spans or packed; names that begin with two underscores are this module's own.
     """
-    clash = {"kept", "n_bytes", "n_removed", "n_spans", "packed", "size", "spans", "key", text}
-    rest = [c for c in docs.columns if c not in clash]
-    spans = materialize(repeated_spans(docs, text, length, gram))
-    rows = docs.select(*rest, text_key(F.col(text).cast("string")).alias("key"), F.col(text).cast("string").alias("text"))
-    packed = rows.mapInArrow(
-        _pack, rows.drop("text").schema.add("packed", "binary").add("size", "long")
-    )
-    joined = packed.join(spans, "key", "left")
+    added = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
+    rest = [c for c in docs.columns if c not in (*added, text)]
+    spans = materialize(repeated_spans(docs, text, length, gram)).withColumnsRenamed({"key": "__key", "spans": "__spans"})
+    value = F.col(text).cast("string")
+    rows = docs.select(*rest, text_key(value).alias("__key"), value.alias("__text"))
+    packed = rows.mapInArrow(_pack, rows.select(*rest, "__key").schema.add("__packed", "binary").add("__size", "long"))
+    joined = packed.join(spans, "__key", "left")
     schema = joined.select(*rest).schema
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
+    for name, kind in added.items():
         schema = schema.add(name, kind)
-    return joined.select(*rest, "key", "packed", "size", "spans").mapInArrow(_cut, schema)
+    return joined.select(*rest, "__key", "__packed", "__size", "__spans").mapInArrow(_cut, schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
