@@ -91,7 +91,7 @@ def write_warc(
     held = materialize(rows.select("id", "pid", "sha").distinct())  # one row per (id, payload)
     largest = held.groupBy("sha").agg(F.max("id").alias("largest"))
     own = materialize(held.join(largest, "sha").select("pid", "sha", "largest", base32(F.col("sha")).alias("digest")))
-    same = Window.partitionBy("pid", "digest").orderBy("url")
+    same = Window.partitionBy("pid", "sha").orderBy("url")
     big = F.col("largest").cast("string")
     first = (F.col("turn") == 1) & (F.coalesce(big, F.lit("")) == F.col("pid"))
     uid = lambda kind, *parts: F.concat(
