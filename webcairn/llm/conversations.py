@@ -458,3 +458,87 @@ def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+def _sql() -> str:
+    """The same from the contract's words: a table of crc32, costs from the last row back, then the edits applied."""
+    keeps = {0: ((1, "s"), (2, "u")), 1: ((2, "u"),), 2: ((3, "a"),), 3: ((2, "u"),)}
+    best = []
+    for state in range(4):
+        made = MADE[state]
+        picks = [f"{{'c': v[{state + 1}].c + 4, 'a': 'D' || v[{state + 1}].a}}"]
+        picks.append(f"CASE WHEN fault NOT IN ('b', 'd') THEN {{'c': v[{made + 1}].c + 3 + spare, 'a': 'R' || v[{made + 1}].a}} END")
+        for after, initial in keeps[state]:
+            picks.append(
+                f"CASE WHEN fault NOT IN ('b', 'd') AND initial = '{initial}' THEN {{'c': v[{after + 1}].c + spare, 'a': 'K' || v[{after + 1}].a}} END"
+            )
+        best.append(f"list_sort(list_filter([{', '.join(picks)}], lambda x: x IS NOT NULL))[1]")
+    insert = []
+    for state in range(4):
+        one, two = MADE[state], MADE[MADE[state]]
+        insert.append(
+            f"list_sort([b[{state + 1}], {{'c': b[{one + 1}].c + 3, 'a': 'I' || b[{one + 1}].a}}, {{'c': b[{two + 1}].c + 6, 'a': 'II' || b[{two + 1}].a}}])[1]"
+        )
+    made = lambda s: f"CASE {s} WHEN 2 THEN 3 ELSE 2 END"
+    name = lambda s: f"CASE {s} WHEN 2 THEN 'user' ELSE 'assistant' END"
+    return rf"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+named AS (
+  SELECT conv_id, coalesce('c' || conv_id, '') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), fated AS (
+  SELECT named.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fate FROM named, crc
+), damaged AS (
+  SELECT key, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT key, turn, role, text, left(role, 1) AS initial, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+    right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS final FROM damaged
+), judged AS MATERIALIZED (
+  SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS spare FROM (
+    SELECT *, lead(initial) OVER (PARTITION BY key ORDER BY pos) AS following,
+      CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 THEN 'd'
+        WHEN final IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault
+    FROM placed)
+), costs AS (
+  SELECT key, max(pos) + 1 AS pos, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 6::BIGINT, 'a': 'II'}}, {{'c': 3::BIGINT, 'a': 'I'}}, {{'c': 0::BIGINT, 'a': ''}}] AS v
+  FROM judged GROUP BY key
+  UNION ALL
+  SELECT key, pos, [{", ".join(insert)}] FROM (
+    SELECT key, j.pos, [{", ".join(best)}] AS b FROM costs c JOIN judged j USING (key) WHERE j.pos = c.pos - 1)
+), solved AS MATERIALIZED (
+  SELECT key, v[1].c AS cost, v[1].a AS audit, regexp_extract_all(v[1].a, 'I*[KRD]') AS edits, len(regexp_extract(v[1].a, 'I*$')) AS more
+  FROM costs WHERE pos = 1
+), applied AS (
+  SELECT key, 0::BIGINT AS pos, 0 AS state, []::VARCHAR[] AS lines FROM solved
+  UNION ALL
+  SELECT key, pos, CASE edit WHEN 'D' THEN s WHEN 'R' THEN {made('s')} ELSE CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END,
+    list_concat(lines, CASE WHEN n >= 1 THEN [{name(made('state'))} || ':'] ELSE [] END, CASE WHEN n = 2 THEN [{name(made(made('state')))} || ':'] ELSE [] END,
+      CASE edit WHEN 'D' THEN [] WHEN 'R' THEN [{name(made('s'))} || ':' || text] ELSE [role || ':' || text] END)
+  FROM (
+    SELECT *, CASE n WHEN 0 THEN state WHEN 1 THEN {made('state')} ELSE {made(made('state'))} END AS s FROM (
+      SELECT a.key, j.pos, a.state, a.lines, j.role, j.text, j.initial, right(s.edits[j.pos], 1) AS edit, len(s.edits[j.pos]) - 1 AS n
+      FROM applied a JOIN judged j USING (key) JOIN solved s USING (key) WHERE j.pos = a.pos + 1))
+), texts AS (
+  SELECT key, array_to_string(list_concat(lines, CASE WHEN more >= 1 THEN [{name(made('state'))} || ':'] ELSE [] END,
+    CASE WHEN more = 2 THEN [{name(made(made('state')))} || ':'] ELSE [] END), chr(10)) AS repaired
+  FROM applied JOIN solved USING (key) WHERE pos = len(edits)
+), counts AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY key
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT key, any_value(conv_id) AS conv_id FROM named GROUP BY key) LEFT JOIN counts USING (key) LEFT JOIN solved USING (key) LEFT JOIN texts USING (key)
+"""
+
+
+OP13_SQL = _sql()

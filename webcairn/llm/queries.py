@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webcairn.llm.conversations import op13_conversation_repair
+from webcairn.llm.conversations import OP13_SQL, op13_conversation_repair
 from webcairn.llm.curriculum import OP5_SQL, op5_curriculum
 from webcairn.llm.decontaminate import op4_decontaminate
 from webcairn.llm.embeddings import op3_embedding_dedup
@@ -34,4 +34,4 @@ QUERIES = {
         op13_conversation_repair,
     )
 }
-ORACLE = {"op5_curriculum": OP5_SQL, "op9_warc": OP9_SQL, "op11_lexical_search": OP11_SQL}
+ORACLE = {"op5_curriculum": OP5_SQL, "op9_warc": OP9_SQL, "op11_lexical_search": OP11_SQL, "op13_conversation_repair": OP13_SQL}
