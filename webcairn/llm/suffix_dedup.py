@@ -168,14 +168,31 @@ def _maybe(bits):
     return scan
 
 
+def _packed(text):
+    raw = [x.as_buffer() if x.is_valid else pa.py_buffer(b"") for x in text]
+    packed = pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
+    return packed, pa.array([x.size for x in raw], pa.int64())
+
+
 def _pack(batches):
     for batch in batches:
-        text = batch.column("__text")
-        raw = [x.as_buffer() if x.is_valid else pa.py_buffer(b"") for x in text]
-        packed = pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
-        size = pa.array([x.size for x in raw], pa.int64())
         names = [c for c in batch.schema.names if c != "__text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), packed, size], [*names, "__packed", "__size"])
+        columns = [*(batch.column(c) for c in names), *_packed(batch.column("__text"))]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "__packed", "__size"])
+
+
+def _pack_once(batches):
+    """Texts of a key once per task; the join behind copes with the few that are left."""
+    seen: set = set()
+    for batch in batches:
+        use = []
+        for i, key in enumerate(batch.column("key").to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                use.append(i)
+        batch = batch.take(pa.array(use, pa.int64()))
+        columns = [batch.column("key"), *_packed(batch.column("__text"))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "__packed", "__size"])
 
 
 def _cut(batches):
@@ -252,12 +269,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     listed = places.groupBy("key").agg(
         F.collect_list(F.struct("lo", "hi", "first", "run", (F.col("number") == 1).alias("single"))).alias("runs")
     )
-    texts = source.select(text_key(F.col("text")).alias("key"), F.col("text").alias("__text")).mapInArrow(_once, "key binary, __text string")
-    windows = materialize(
-        texts.mapInArrow(_pack, "key binary, __packed binary, __size bigint")
+    # one Python function a stage, so that a task never feeds several workers at once
+    texts = materialize(
+        source.select(text_key(F.col("text")).alias("key"), F.col("text").alias("__text"))
+        .mapInArrow(_pack_once, "key binary, __packed binary, __size bigint")
         .join(listed, "key")
-        .mapInArrow(_windows(length), "run bigint, step int, digit bigint, single boolean")
     )
+    windows = materialize(texts.mapInArrow(_windows(length), "run bigint, step int, digit bigint, single boolean"))
     twice = materialize(  # a text that stands in several tasks gives its windows again, under the same run
         windows.groupBy("digit").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a <> b").select("digit")
     )
@@ -277,18 +295,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     )
 
 
-def _once(batches):
-    """Rows of a key once per task; the join behind copes with the few that are left."""
-    seen: set = set()
-    for batch in batches:
-        use = []
-        for i, key in enumerate(batch.column("key").to_pylist()):
-            if key not in seen:
-                seen.add(key)
-                use.append(i)
-        yield batch.take(pa.array(use, pa.int64()))
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Every row of ``docs`` without its text, with kept (binary, the bytes left), n_bytes, n_removed, n_spans.
 
@@ -302,7 +308,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     value = F.col(text).cast("string")
     rows = docs.select(*rest, text_key(value).alias("__key"), value.alias("__text"))
     packed = rows.mapInArrow(_pack, rows.select(*rest, "__key").schema.add("__packed", "binary").add("__size", "long"))
-    joined = packed.join(spans, "__key", "left")
+    joined = materialize(packed.join(spans, "__key", "left"))
     schema = joined.select(*rest).schema
     for name, kind in added.items():
         schema = schema.add(name, kind)
