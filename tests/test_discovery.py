@@ -62,13 +62,36 @@ def test_expansion_order_budget_and_fallback(spark):
     docs = {"https://e/i": (200, index), "https://e/1": (404, ""), "https://e/2": (200, leaf.format(2)), "https://e/3": (200, leaf.format(3))}
     read, out = expand(spark, ["https://e/gone", "https://e/i", "https://e/i"], docs)
     assert read == ["https://e/gone", "https://e/i", "https://e/1", "https://e/2", "https://e/3"]
-    assert [r["url"] for r in sitemap.collected_entries(out, 1).collect()] == ["https://e/p2"]
-    assert expand(spark, ["https://e/i"], docs, budget=2)[0] == ["https://e/i", "https://e/1"]
+    assert sorted(r["url"] for r in sitemap.collected_entries(out).collect()) == ["https://e/p2", "https://e/p3"]
+    met, out = expand(spark, ["https://e/i"], docs, budget=2)
+    assert met[:4] == ["https://e/i", "https://e/1", "https://e/2", "https://e/3"]
+    assert [r["doc_url"] for r in out.where("read").orderBy("fetch_no").collect()] == ["https://e/i", "https://e/1"]
+    assert sitemap.collected_entries(out).count() == 0
     docs["https://e/sitemap.xml"] = (200, leaf.format(9))
     assert expand(spark, ["https://e/1"], docs)[0] == ["https://e/1", "https://e/sitemap.xml", "https://e/sitemap_index.xml"]
     assert expand(spark, ["https://e/1"], docs, fallback=False)[0] == ["https://e/1"]
 
 
+def test_reading_stops_with_enough_entries(spark):
+    def leaf(*pages):
+        return 200, "<urlset>" + "".join(f"<url><loc>https://e/p{p}</loc></url>" for p in pages) + "</urlset>"
+
+    def index(*names):
+        return 200, "<sitemapindex>" + "".join(f"<sitemap><loc>https://e/{n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+
+    # repeated entries count once, also across rounds; a cycle of indexes ends
+    docs = {"https://e/a": leaf(1, 2, 1), "https://e/i": index("b", "i", "c", "j"), "https://e/b": leaf(2, 1),
+            "https://e/c": leaf(2, 3), "https://e/j": index("d"), "https://e/d": leaf(4)}
+    states = {}
+    for limit in (2, 3, None):
+        _, out = expand(spark, ["https://e/a", "https://e/i"], docs, raw_limit=limit)
+        rows = out.orderBy("fetch_no").collect()
+        states[limit] = "".join(r["doc_url"][-1] for r in rows if r["read"]), "".join(r["doc_url"][-1] for r in rows if not r["read"])
+        assert [r["fetch_no"] for r in rows] == list(range(1, len(rows) + 1))
+        assert all(r["kind"] is None and r["entries"] is None for r in rows if not r["read"])
+    assert states == {2: ("a", "i"), 3: ("aibc", "j"), None: ("aibcjd", "")}
+
+
 def test_alias(spark):
     origins = spark.createDataFrame([(x, "https://e.com") for x in "abc"], "site_id string, origin string")
     rows = [("a", "https://www.e.com/x?q=1#f"), ("a", "junk"), ("b", "https://www.e.com/x"), ("b", "https://e.com/y"), ("c", "https://e.com/z")]

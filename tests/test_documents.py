@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -122,6 +123,20 @@ def test_plan_guardrails(spark):
     assert plan.prompt_rows(inv, 5).count() == 5
 
 
+def test_prompt_parts_hold_every_page(spark):
+    rows = [(site, 1, "Docs", i, f"https://e.com/{site}/{i}", "t" * (i % 400), "é" * (i % 50), None)
+            for site, n in (("big", 9_000), ("one", 1)) for i in range(n)]
+    inv = spark.createDataFrame(rows, "site_id string, section_rank int, section string, pos int, url string, title string, description string, h1 string")
+    heads = spark.createDataFrame([(s, s, "https://e.com", " x  y ") for s in ("big", "one", "none")], "site_id string, site_name string, origin string, homepage_snippet string")
+    got = plan.prompt_payloads(inv, heads, part_bytes=20_000).orderBy("site_id", "part").collect()
+    parts = {s: [json.loads(r["payload"]) for r in got if r["site_id"] == s] for s in ("big", "one", "none")}
+    assert [p["url"] for part in parts["big"] for p in part["pages"]] == [r[4] for r in rows if r[0] == "big"]
+    assert [r["part"] for r in got if r["site_id"] == "big"] == list(range(1, len(parts["big"]) + 1))
+    assert max(len(r["payload"].encode()) for r in got) < 20_000 + 1_500
+    assert parts["one"][0]["homepage_snippet"] == "x y" and len(parts["one"]) == 1 and parts["none"] == []
+    assert max(len(p["title"] or "") for part in parts["big"] for p in part["pages"]) == 399
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("a  b", "One - Two — Three", "x" * 12)], "a string, b string, c string")
     r = df.select(

@@ -31,11 +31,21 @@ def test_discover(spark):
 
 def test_discover_reads_the_newest_run(spark):
     sites = spark.createDataFrame([("a", "https://a.com")], "site_id string, origin string")
-    rows = [("a", run, "https://a.com/robots.txt", "robots", 200, f"User-agent: *\nDisallow: /{run}", None) for run in ("r1", "r2")]
+    rows = [("a", run, "https://a.com/robots.txt", "robots", 200, f"User-agent: *\nDisallow: /{run}", None, None) for run in ("r1", "r2")]
     out = discover(spark.createDataFrame(rows, tables.SCHEMAS["site_docs"]), sites)
     assert [r["disallow"] for r in out["rules"].collect()] == [["/r2"]]
 
 
+def test_newest_by_time_then_run(spark):
+    rows = [
+        ("a", run, "https://a.com/robots.txt", "robots", 200, f"User-agent: *\nDisallow: /{run}-{t}", None, t)
+        for run, t in (("ff", 10), ("0a", 30), ("b1", 30), ("zz", None), (None, 20))
+    ]
+    sites = spark.createDataFrame([("a", "https://a.com")], "site_id string, origin string")
+    out = discover(spark.createDataFrame(rows, tables.SCHEMAS["site_docs"]), sites)
+    assert [r["disallow"] for r in out["rules"].collect()] == [["/b1-30"]]
+
+
 def test_documents_of_declared_pages(spark):
     sites = spark.createDataFrame([("s", "https://e.com")], "site_id string, origin string")
     pages = spark.createDataFrame([{"site_id": "s", "url": "https://e.com/docs/a", "title": "A", "status": "active"}], tables.SCHEMAS["pages"])

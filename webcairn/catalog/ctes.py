@@ -171,15 +171,9 @@ define(
     ("landed",),
     canon("landed", "url", drop="url html"),
 )
-define(
-    "capped",
-    ("landed",),
-    f"""SELECT * EXCLUDE (html), CASE WHEN coalesce(content_length, 0) <= {L.PAGE_BODY_CAP}
-  THEN left(html, {L.PAGE_BODY_CAP}) END AS html FROM landed""",
-)
 define(
     "meta",
-    ("capped",),
+    ("landed",),
     f"""
 SELECT * EXCLUDE (html, og_title, og_description, raw_title, metas, paragraphs, shown, own_description),
   coalesce(nullif(raw_title, ''), og_title) AS title,
@@ -198,7 +192,7 @@ FROM (
                     'content': {attr('t', 'content')}}}), lambda m: m.content <> '') AS metas,
       list_transform(regexp_extract_all(shown, {lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>")}, 1), lambda b:
         {collapse("regexp_replace(regexp_replace(b, '(?is)^.*<p(?:[ ][^>]*)?>', ''), '(?s)<[^>]*>', '', 'g')")}) AS paragraphs
-    FROM (SELECT *, regexp_replace(html, {lit(HIDDEN)}, '', 'g') AS shown FROM capped)
+    FROM (SELECT *, regexp_replace(html, {lit(HIDDEN)}, '', 'g') AS shown FROM landed)
   )
 )""",
 )
@@ -210,8 +204,7 @@ SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY page_id) AS rn FROM (
     SELECT page_id, site_id, origin, etag, last_modified, lastmod, title, description, h1, snippet,
       content_hash, url FROM ({canon(
-        "(SELECT * FROM meta WHERE status = 200 AND regexp_matches(content_type, '(?i)text/html|application/xhtml') AND coalesce(content_length, 0) <= "
-        + str(L.PAGE_BODY_CAP) + ")",
+        "(SELECT * FROM meta WHERE status = 200 AND regexp_matches(content_type, '(?i)text/html|application/xhtml'))",
         "url", drop="url")})
   )
 ) WHERE rn = 1""",

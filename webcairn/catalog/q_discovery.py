@@ -235,62 +235,73 @@ SELECT site_id, doc_url, CAST(row_number() OVER (PARTITION BY site_id, doc_url O
 ORACLE["sitemap_index"] = oracle("SELECT * FROM children", "children")
 
 
-def expanded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def expanded(spark: SparkSession, sf: str, **limits: int) -> tuple[DataFrame, DataFrame]:
     docs, declared, origins = sitemap_sources(spark, sf)
-    return sitemap.expand_sitemaps(declared, docs, origins), origins
+    return sitemap.expand_sitemaps(declared, docs, origins, **limits), origins
 
 
 def sitemap_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return expanded(spark, sf)[0].select("site_id", "fetch_no", "doc_url", "kind")
+    """Every document met, and whether the budget lets it be read."""
+    visited, _ = expanded(spark, sf, budget=L.MAX_SITEMAP_DOCS)
+    return visited.select("site_id", "fetch_no", "doc_url", "read", "kind")
 
 
 QUERIES["sitemap_budget"] = sitemap_budget
 
 
 def fetch_round(name: str, frontier_sql: str, known: str | None, needs: tuple[str, ...]) -> None:
-    """One round of breadth-first reading within the budget."""
+    """One round of breadth-first reading."""
     anti = f"WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.site_id = f.site_id AND k.doc_url = f.doc_url)" if known else ""
     used = f"(SELECT count(*) FROM {known} k WHERE k.site_id = f.site_id)" if known else "0"
     define(
         name,
         needs,
         f"""
-SELECT * FROM (
-  SELECT f.site_id, f.doc_url, {used} + row_number() OVER (PARTITION BY f.site_id ORDER BY o1, o2) AS fetch_no
-  FROM (SELECT * FROM ({frontier_sql}) QUALIFY row_number() OVER (PARTITION BY site_id, doc_url ORDER BY o1, o2) = 1) f {anti})
-WHERE fetch_no <= {L.MAX_SITEMAP_DOCS}""",
+SELECT f.site_id, f.doc_url, {used} + row_number() OVER (PARTITION BY f.site_id ORDER BY o1, o2) AS fetch_no
+FROM (SELECT * FROM ({frontier_sql}) QUALIFY row_number() OVER (PARTITION BY site_id, doc_url ORDER BY o1, o2) = 1) f {anti}""",
     )
 
 
-def child_frontier(level: str) -> str:
-    return (
-        f"SELECT l.site_id, c.child_url AS doc_url, l.fetch_no AS o1, c.pos AS o2 FROM {level} l "
-        "JOIN children c ON c.site_id = l.site_id AND c.doc_url = l.doc_url"
+def reading(tag: str, budget: str) -> None:
+    """The rounds of a discovery: declared, children, conventional paths, their children twice; ``budget`` bounds fetch_no."""
+
+    def child_frontier(level: str) -> str:
+        return (
+            f"SELECT l.site_id, c.child_url AS doc_url, l.fetch_no AS o1, c.pos AS o2 FROM {level} l "
+            f"JOIN children c ON c.site_id = l.site_id AND c.doc_url = l.doc_url WHERE l.fetch_no <= {budget}"
+        )
+
+    read0, read1, known1, back0, known2, back1, known3, back2 = (
+        tag + x for x in ("read0", "read1", "known1", "back0", "known2", "back1", "known3", "back2")
+    )
+    fetch_round(read0, "SELECT site_id, doc_url, 0 AS o1, pos AS o2 FROM declared", None, ("declared",))
+    fetch_round(read1, child_frontier(read0), read0, (read0, "children"))
+    define(known1, (read0, read1), f"SELECT * FROM {read0} UNION ALL SELECT * FROM {read1}")
+    fetch_round(
+        back0,
+        f"""SELECT DISTINCT site_id, origin || unnest(['/sitemap.xml', '/sitemap_index.xml']) AS doc_url, 0 AS o1, unnest([0, 1]) AS o2
+FROM bodies WHERE site_id NOT IN (SELECT k.site_id FROM {known1} k JOIN parsed_entries p USING (site_id, doc_url)
+  WHERE p.status = 200 AND k.fetch_no <= {budget})""",
+        known1,
+        (known1, "parsed_entries", "bodies"),
+    )
+    define(known2, (known1, back0), f"SELECT * FROM {known1} UNION ALL SELECT * FROM {back0}")
+    fetch_round(back1, child_frontier(back0), known2, (known2, "children"))
+    define(known3, (known2, back1), f"SELECT * FROM {known2} UNION ALL SELECT * FROM {back1}")
+    fetch_round(back2, child_frontier(back1), known3, (known3, "children"))
+    define(
+        tag + "reads",
+        (known3, back2, "sitemap_docs"),
+        f"""
+SELECT r.*, fetch_no <= {budget} AS read, CASE WHEN fetch_no <= {budget} AND d.status = 200 THEN CASE WHEN contains(d.body, '<sitemapindex') THEN 'index'
+  WHEN starts_with(trim(d.body), '<') THEN 'urlset' ELSE 'text' END END AS kind
+FROM (SELECT * FROM {known3} UNION ALL SELECT * FROM {back2}) r LEFT JOIN sitemap_docs d USING (site_id, doc_url)""",
     )
 
 
-fetch_round("read0", "SELECT site_id, doc_url, 0 AS o1, pos AS o2 FROM declared", None, ("declared",))
-fetch_round("read1", child_frontier("read0"), "read0", ("read0", "children"))
-define("known1", ("read0", "read1"), "SELECT * FROM read0 UNION ALL SELECT * FROM read1")
-fetch_round(
-    "back0",
-    """SELECT DISTINCT site_id, origin || unnest(['/sitemap.xml', '/sitemap_index.xml']) AS doc_url, 0 AS o1, unnest([0, 1]) AS o2
-FROM bodies WHERE site_id NOT IN (SELECT k.site_id FROM known1 k JOIN parsed_entries p USING (site_id, doc_url) WHERE p.status = 200)""",
-    "known1",
-    ("known1", "parsed_entries", "bodies"),
-)
-define("known2", ("known1", "back0"), "SELECT * FROM known1 UNION ALL SELECT * FROM back0")
-fetch_round("back1", child_frontier("back0"), "known2", ("known2", "children"))
-define("known3", ("known2", "back1"), "SELECT * FROM known2 UNION ALL SELECT * FROM back1")
-fetch_round("back2", child_frontier("back1"), "known3", ("known3", "children"))
-define(
-    "reads",
-    ("known3", "back2", "sitemap_docs"),
-    """
-SELECT r.*, CASE WHEN d.status = 200 THEN CASE WHEN contains(d.body, '<sitemapindex') THEN 'index' WHEN starts_with(trim(d.body), '<') THEN 'urlset' ELSE 'text' END END AS kind
-FROM (SELECT * FROM known3 UNION ALL SELECT * FROM back2) r LEFT JOIN sitemap_docs d USING (site_id, doc_url)""",
-)
-ORACLE["sitemap_budget"] = oracle("SELECT site_id, fetch_no, doc_url, kind FROM reads", "reads")
+reading("", "9007199254740991")
+reading("few_", str(L.MAX_SITEMAP_DOCS))
+ORACLE["sitemap_budget"] = oracle("SELECT site_id, fetch_no, doc_url, read, kind FROM few_reads", "few_reads")
 
 
 def sitemap_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,23 +335,42 @@ def sitemap_fallback(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["sitemap_fallback"] = sitemap_fallback
 
 
-def raw_stop(limit: int) -> str:
-    return f"""
-SELECT site_id, fetch_no, pos, url, lastmod FROM read_entries JOIN (
-  SELECT site_id, fetch_no, coalesce(sum(n) OVER (PARTITION BY site_id ORDER BY fetch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM (SELECT site_id, fetch_no, count(*) AS n FROM read_entries GROUP BY ALL)) USING (site_id, fetch_no)
-WHERE before < {limit}"""
-
-
 ORACLE["sitemap_fallback"] = oracle("SELECT site_id, fetch_no, pos, url, lastmod FROM read_entries", "read_entries")
 
+# Entries a site wants in the queries below: several documents of 50 pages.
+ENOUGH = 120
+define(
+    "stops",
+    ("reads", "read_entries"),
+    f"""
+SELECT site_id, fetch_no, doc_url, kind, coalesce(sum(n) OVER (PARTITION BY site_id ORDER BY fetch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {ENOUGH} AS read
+FROM reads LEFT JOIN (SELECT site_id, fetch_no, count(*) AS n FROM read_entries GROUP BY ALL) USING (site_id, fetch_no)""",
+)
+
 
 def sitemap_raw_stop(spark: SparkSession, sf: str) -> DataFrame:
-    return sitemap.collected_entries(expanded(spark, sf)[0], 20)
+    """Entries of the documents read until a site has enough."""
+    return sitemap.collected_entries(expanded(spark, sf, raw_limit=ENOUGH)[0])
 
 
 QUERIES["sitemap_raw_stop"] = sitemap_raw_stop
-ORACLE["sitemap_raw_stop"] = oracle(raw_stop(20), "read_entries")
+ORACLE["sitemap_raw_stop"] = oracle(
+    "SELECT site_id, fetch_no, pos, url, lastmod FROM read_entries JOIN stops USING (site_id, fetch_no) WHERE read",
+    "read_entries",
+    "stops",
+)
+
+
+def sitemap_stop_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document met, and whether it is read before its site has enough entries."""
+    visited, _ = expanded(spark, sf, raw_limit=ENOUGH)
+    return visited.select("site_id", "fetch_no", "doc_url", "read", "kind")
+
+
+QUERIES["sitemap_stop_docs"] = sitemap_stop_docs
+ORACLE["sitemap_stop_docs"] = oracle(
+    "SELECT site_id, fetch_no, doc_url, read, CASE WHEN read THEN kind END AS kind FROM stops", "stops"
+)
 
 
 def all_entries(spark: SparkSession, sf: str) -> DataFrame:

@@ -457,10 +457,9 @@ define(
     "prompts",
     ("inventory",),
     f"""
-SELECT * FROM (
-  SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY section_rank, section, pos) AS ord, section, url,
-    {truncate('title', L.PLAN_FIELD_CHARS)} AS title, {truncate('description', L.PLAN_FIELD_CHARS)} AS description,
-    {truncate('h1', L.PLAN_FIELD_CHARS)} AS h1 FROM inventory) WHERE ord <= {L.PLAN_PAGES}""",
+SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY section_rank, section, pos) AS ord, section, url,
+  nullif({collapse('title')}, '') AS title, nullif({collapse('description')}, '') AS description,
+  nullif({collapse('h1')}, '') AS h1 FROM inventory""",
 )
 ORACLE["prompt_rows"] = oracle("SELECT * FROM prompts", "prompts")
 
@@ -470,13 +469,20 @@ def prompt_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["prompt_payload"] = prompt_payload
+define(
+    "prompt_parts",
+    ("prompts",),
+    f"""
+SELECT *, CAST(floor(coalesce(sum(strlen(CAST(to_json(page) AS VARCHAR)) + 1) OVER (
+    PARTITION BY site_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {L.PLAN_PART_BYTES}) AS BIGINT) + 1 AS part
+FROM (SELECT site_id, ord, {{'section': section, 'url': url, 'title': title, 'description': description, 'h1': h1}} AS page FROM prompts)""",
+)
 ORACLE["prompt_payload"] = oracle(
     f"""
-SELECT site_id, to_json({{'site_name': any_value(site_name), 'origin': any_value(origin),
-  'homepage_snippet': any_value({truncate('homepage_snippet', L.PLAN_SNIPPET_CHARS)}),
-  'pages': list({{'section': section, 'url': url, 'title': title, 'description': description, 'h1': h1}} ORDER BY ord)}}) AS payload
-FROM prompts JOIN heads USING (site_id) GROUP BY site_id""",
-    "prompts",
+SELECT site_id, part, to_json({{'site_name': any_value(site_name), 'origin': any_value(origin),
+  'homepage_snippet': any_value(nullif({collapse('homepage_snippet')}, '')), 'pages': list(page ORDER BY ord)}}) AS payload
+FROM prompt_parts JOIN heads USING (site_id) GROUP BY site_id, part""",
+    "prompt_parts",
     "heads",
 )
 

@@ -33,12 +33,14 @@ SELECT site_id, url, page_id, title, description, h1, snippet, CAST(NULL AS varc
   CAST(page_id % 9 - 4 AS bigint) AS page_change_streak
 FROM {rows} WHERE page_id % 10 <> 3
 """
-# What the sitemaps list now: without other pages, some dates moved, links as written.
+# What the sitemaps list now: without other pages, some dates moved, links as written, some listed again later.
 CURRENT = """
 SELECT site_id, url || CASE WHEN page_id % 4 = 0 THEN '#now' ELSE '' END AS url,
   CASE WHEN page_id % 5 = 0 THEN '2024-03-01' WHEN page_id % 6 = 5 THEN NULL
        ELSE '2024-02-' || CAST(10 + page_id % 18 AS varchar(20)) END AS lastmod, page_id
 FROM {rows} WHERE page_id % 10 <> 7
+UNION ALL
+SELECT site_id, url, '2024-04-01', page_id + 1000000000 FROM {rows} WHERE page_id % 15 IN (5, 6) AND page_id % 10 <> 7
 """
 # Answers to conditional fetches.
 RESPONSES = """
@@ -85,7 +87,7 @@ def sites_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def diffed(s: dict[str, DataFrame]) -> DataFrame:
-    return monitor.diff_sitemap(s["stored"], monitor.current_entries(s["current"]))
+    return monitor.diff_sitemap(s["stored"], monitor.current_entries(s["current"], order=["page_id"]))
 
 
 def active_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +109,9 @@ def sitemap_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["sitemap_diff"] = sitemap_diff
-define("current", ("current_rows",), "SELECT * EXCLUDE (url), replace(url, '#now', '') AS url FROM current_rows")
+define("current", ("current_rows",), """
+SELECT * EXCLUDE (url), replace(url, '#now', '') AS url FROM current_rows
+QUALIFY row_number() OVER (PARTITION BY site_id, replace(url, '#now', '') ORDER BY page_id) = 1""")
 define(
     "site_diff",
     ("stored", "current"),
@@ -121,7 +125,7 @@ ORACLE["sitemap_diff"] = oracle("SELECT * FROM site_diff", "site_diff")
 
 def sitemap_diff_raw(spark: SparkSession, sf: str) -> DataFrame:
     s = snap(spark, sf)
-    return monitor.diff_sitemap(s["stored"], monitor.current_entries(s["current"], canonical=False))
+    return monitor.diff_sitemap(s["stored"], monitor.current_entries(s["current"], False, ["page_id"]))
 
 
 QUERIES["sitemap_diff_raw"] = sitemap_diff_raw
@@ -129,7 +133,7 @@ ORACLE["sitemap_diff_raw"] = oracle(
     """
 SELECT coalesce(s.site_id, c.site_id) AS site_id, coalesce(s.url, c.url) AS url, CASE WHEN s.url IS NULL THEN 'added' WHEN c.url IS NULL THEN 'removed'
   WHEN lastmod <> '' AND sitemap_lastmod <> '' AND lastmod <> sitemap_lastmod THEN 'lastmod_changed' ELSE 'kept' END AS change
-FROM stored s FULL JOIN current_rows c ON s.site_id = c.site_id AND s.url = c.url""",
+FROM stored s FULL JOIN (SELECT * FROM current_rows QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY page_id) = 1) c ON s.site_id = c.site_id AND s.url = c.url""",
     "stored",
     "current_rows",
 )
@@ -340,7 +344,7 @@ FROM (
 
 def lastmod_upsert(spark: SparkSession, sf: str) -> DataFrame:
     s = snap(spark, sf)
-    entries = monitor.current_entries(s["current"])
+    entries = monitor.current_entries(s["current"], order=["page_id"])
     merged = upsert.upsert_lastmods(s["stored"].drop("page_id"), s["responses"], entries, NOW)
     return merged.select("site_id", "url", "title", "sitemap_lastmod", "status", "last_seen_at", "page_check_interval_s", "page_change_streak")
 

@@ -136,7 +136,7 @@ SELECT page_id, name, name IN ('utm_source', 'ref', 'sessionid') AS tracking FRO
 
 
 def html_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = extract.ingest_pages(extract.cap_body(_landed(spark, sf), cap=L.PAGE_BODY_CAP))
+    rows = extract.ingest_pages(_landed(spark, sf))
     return rows.groupBy("site_id", "ingest").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -146,8 +146,8 @@ ORACLE["html_ingest"] = oracle(
 SELECT site_id, CASE WHEN status = 200 AND html IS NOT NULL AND (content_type ILIKE '%text/html%'
     OR content_type ILIKE '%application/xhtml%') THEN 'html' WHEN status = 304 THEN 'unchanged'
     ELSE 'error' END AS ingest, count(*) AS pages
-FROM capped GROUP BY ALL""",
-    "capped",
+FROM landed GROUP BY ALL""",
+    "landed",
 )
 
 
@@ -191,7 +191,7 @@ SELECT doc_id, length(body) AS kept, sha256(body) AS digest FROM (
 
 
 def page_meta(spark: SparkSession, sf: str) -> DataFrame:
-    pages = extract.extract_pages(extract.cap_body(_landed(spark, sf), cap=L.PAGE_BODY_CAP))
+    pages = extract.extract_pages(_landed(spark, sf))
     return pages.select("page_id", "title", "description", "h1", "snippet")
 
 
@@ -200,7 +200,7 @@ ORACLE["page_meta"] = oracle("SELECT page_id, title, description, h1, snippet FR
 
 
 def page_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.extract_pages(extract.cap_body(_landed(spark, sf), cap=L.PAGE_BODY_CAP)).select("page_id", "content_hash")
+    return extract.extract_pages(_landed(spark, sf)).select("page_id", "content_hash")
 
 
 QUERIES["page_fingerprint"] = page_fingerprint

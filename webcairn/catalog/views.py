@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webcairn import limits as L
 from webcairn.functions.urls import canonical_urls
-from webcairn.operators.extract import cap_body, extract_pages, ingest_pages
+from webcairn.operators.extract import extract_pages, ingest_pages
 from webcairn.operators.ranking import first_by
 
 # The page table as fetch results: three sites, each with about a third of all rows.
@@ -100,7 +99,7 @@ def web(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Extracted pages, one row per (site, URL): the least page id wins."""
-    usable = ingest_pages(cap_body(landed(spark, sf), cap=L.PAGE_BODY_CAP)).where(F.col("ingest") == "html")
+    usable = ingest_pages(landed(spark, sf)).where(F.col("ingest") == "html")
     pages = canonical_urls(extract_pages(usable).drop("ingest", "links"), "url")
     return first_by(pages.drop("status", "content_type", "content_length"), ["site_id", "url"], ["page_id"])
 

@@ -50,9 +50,7 @@ TITLE_SEPARATORS = (" | ", " — ", " – ", " - ")
 LINES_PER_PART = 2_048
 
 # refinement plans
-PLAN_PAGES = 1_000
-PLAN_FIELD_CHARS = 160
-PLAN_SNIPPET_CHARS = 600
+PLAN_PART_BYTES = 64 * 1024
 PLAN_SUMMARY_CHARS = 400
 PLAN_SECTION_CHARS = 80
 PLAN_DESCRIPTION_CHARS = 200

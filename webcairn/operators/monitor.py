@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from webcairn import limits as L
 from webcairn.functions import freshness
 from webcairn.functions.text import change_summary
 from webcairn.functions.urls import canonical_urls, path_depth
-from webcairn.operators.ranking import ranked
+from webcairn.operators.ranking import first_by, ranked
 
 KEYS = ["site_id", "url"]
 BUCKETS = ("added", "removed", "modified")
 
 
-def current_entries(entries: DataFrame, canonical: bool = True) -> DataFrame:
-    """Sitemap entries as URL and date, one row per URL.
+def current_entries(
+    entries: DataFrame, canonical: bool = True, order: Sequence[str] = ("fetch_no", "pos")
+) -> DataFrame:
+    """Sitemap entries as URL and date, one row per URL: the date listed first by ``order``.
 
-    Stored URLs are canonical, so entries are made canonical too; ``False`` compares
+    Entries without those columns have no order; the least date stands there.  Stored URLs are canonical, so entries are made canonical too; ``False`` compares
     them as written.
     """
     rows = canonical_urls(entries, "url").where(F.col("url").isNotNull()) if canonical else entries
-    return rows.groupBy(*KEYS).agg(F.max("lastmod").alias("lastmod"))
+    listed = [c for c in order if c in rows.columns]
+    return first_by(rows.select(*KEYS, *listed, "lastmod"), KEYS, [*listed, "lastmod"]).select(*KEYS, "lastmod")
 
 
 def diff_sitemap(stored: DataFrame, current: DataFrame) -> DataFrame:

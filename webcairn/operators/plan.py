@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from webcairn import limits as L
 from webcairn.functions import text
-from webcairn.operators.ranking import first_by, positions, spread_join, top_k
+from webcairn.operators.ranking import first_by, positions, ranked, running_total, spread_join
+from webcairn.session import materialize
 
 OPTIONAL_RANK = 1 << 40
 RECREATED_RANK = 1 << 30
+PAGE_FIELDS = ("section", "url", "title", "description", "h1")
 
 
 def accepted_plans(plan_heads: DataFrame) -> DataFrame:
@@ -116,41 +118,53 @@ def apply_plan(inventory: DataFrame, plan: DataFrame, plan_heads: DataFrame) ->
     return numbered.drop("block", "o1", "o2").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def prompt_rows(inventory: DataFrame, budget: int = L.PLAN_PAGES) -> DataFrame:
-    """Pages offered to an outside model: sections first, then Optional, within the budget."""
-    sent = top_k(
-        inventory,
-        ["site_id"],
-        [F.col("section_rank"), F.col("section"), F.col("pos")],
-        budget,
-        rank="ord",
-        salts=32,
-    )
+def prompt_rows(inventory: DataFrame, budget: int | None = None, field_chars: int | None = None) -> DataFrame:
+    """Pages offered to an outside model, numbered: sections first, then Optional.
+
+    All of them with whole fields, or the first ``budget`` per site with fields cut at ``field_chars``.
+    """
+    sent = ranked(inventory, ["site_id"], ["section_rank", "section", "pos"], budget, salts=32)
 
-    def cut(name: str):
-        return text.truncate(F.col(name), L.PLAN_FIELD_CHARS).alias(name)
+    def field(name: str):
+        return text.truncate(F.col(name), field_chars).alias(name)
 
     return sent.select(
-        "site_id", F.col("ord").cast("bigint").alias("ord"), "section", "url",
-        cut("title"), cut("description"), cut("h1"),
+        "site_id", F.col("rank").alias("ord"), "section", "url", field("title"), field("description"), field("h1")
     )
 
 
-def prompt_payloads(inventory: DataFrame, heads: DataFrame, budget: int = L.PLAN_PAGES) -> DataFrame:
-    """One JSON payload per site; at most ``budget`` pages go into one."""
-    page = F.struct("ord", "section", "url", "title", "description", "h1")
-    pages = (
-        prompt_rows(inventory, budget)
-        .groupBy("site_id")
-        .agg(F.array_sort(F.collect_list(page)).alias("pages"))
+def prompt_payloads(
+    inventory: DataFrame,
+    heads: DataFrame,
+    budget: int | None = None,
+    part_bytes: int = L.PLAN_PART_BYTES,
+    field_chars: int | None = None,
+    snippet_chars: int | None = None,
+) -> DataFrame:
+    """JSON payloads of every site, as many parts as its pages need, each page in one part.
+
+    A part takes the pages that start within its ``part_bytes`` of page JSON, so only the last
+    of them may reach past the limit.  Parts are numbered from 1 in page order; a page longer
+    than a part leaves the numbers it runs over unused.
+    """
+    page = F.struct(*PAGE_FIELDS)
+    keep_nulls = {"ignoreNullFields": "false"}
+    sized = prompt_rows(inventory, budget, field_chars).withColumn(
+        "size", F.octet_length(F.to_json(page, keep_nulls)) + 1
+    )
+    placed = running_total(materialize(sized), ["site_id"], "ord", "size")
+    parts = (
+        placed.withColumn("part", F.floor(F.col("before") / part_bytes) + 1)
+        .groupBy("site_id", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("ord", *PAGE_FIELDS))).alias("pages"))
     )
     payload = F.to_json(
         F.struct(
             "site_name",
             "origin",
-            text.truncate(F.col("homepage_snippet"), L.PLAN_SNIPPET_CHARS).alias("homepage_snippet"),
+            text.truncate(F.col("homepage_snippet"), snippet_chars).alias("homepage_snippet"),
             F.transform("pages", lambda p: p.dropFields("ord")).alias("pages"),
         ),
-        {"ignoreNullFields": "false"},
+        keep_nulls,
     )
-    return heads.join(pages, "site_id").select("site_id", payload.alias("payload"))
+    return spread_join(parts, heads, ["site_id"]).select("site_id", "part", payload.alias("payload"))

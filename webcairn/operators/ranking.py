@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from webcairn.session import materialize
 
 SALTS = 32
+BLOCK = 4_096
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -86,6 +87,27 @@ def positions(
     )
 
 
+def running_total(
+    df: DataFrame, keys: Sequence[str], number: str, value: str, out: str = "before"
+) -> DataFrame:
+    """Add the sum of ``value`` over the key's rows with a smaller ``number``.
+
+    ``number`` counts a key's rows from 1 on, without gaps.  Sums of whole blocks are
+    added up first, so a window holds one block or one row per block, never a whole key.
+    """
+    cut = df.withColumn("__block", F.floor((F.col(number) - 1) / F.lit(BLOCK)))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "__block").agg(F.sum(value).alias("__n"))
+    starts = sums.select(
+        *keys,
+        "__block",
+        F.coalesce(F.sum("__n").over(earlier.partitionBy(*keys).orderBy("__block")), F.lit(0)).alias("__start"),
+    )
+    inside = F.coalesce(F.sum(value).over(earlier.partitionBy(*keys, "__block").orderBy(number)), F.lit(0))
+    summed = cut.withColumn("__inside", inside).join(starts, [*keys, "__block"])
+    return summed.withColumn(out, (F.col("__start") + F.col("__inside")).cast("bigint")).select(*df.columns, out)
+
+
 def ranked(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int | None = None, salts: int = 1
 ) -> DataFrame:

@@ -8,9 +8,12 @@ from webcairn import limits as L
 from webcairn.functions import markup
 from webcairn.functions.text import WS, strip
 from webcairn.functions.urls import canonical_urls, path_depth
-from webcairn.operators.ranking import first_by, ranked, spread_join, top_k
+from webcairn.operators.ranking import first_by, ranked, running_total, spread_join
 from webcairn.session import materialize
 
+#: What reading a document gives.
+DOCUMENT = ("kind", "is_news", "is_feed", "entries", "children")
+
 
 def _entries(body: Column, block: str, url, lastmod) -> Column:
     found = F.transform(
@@ -101,63 +104,101 @@ def prioritize(entries: DataFrame, cap: int | None = None) -> DataFrame:
     return ranked(sized, ["site_id"], ["__depth", "__length", "url"], cap, salts=32).drop("__depth", "__length")
 
 
-def _expand(seed: DataFrame, visited: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
-    """Breadth-first over index children in queue order; at most ``budget`` fetches per site.
+def _queued(fresh: DataFrame) -> DataFrame:
+    """Add ``place``: 1, 2, ... per site by (o1, o2).  A window holds the children of one document, or one row for each."""
+    per_parent = fresh.groupBy("site_id", "o1").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("site_id").orderBy("o1").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_parent.select("site_id", "o1", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("site_id", "o1").orderBy("o2", "doc_url"))
+    placed = fresh.withColumn("inside", inside).join(starts, ["site_id", "o1"])
+    return placed.select("site_id", "doc_url", (F.col("start") + F.col("inside")).cast("bigint").alias("place"))
+
+
+def _stopped(answered: DataFrame, seen: DataFrame, raw_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Documents of a round with ``read``: whether their site still wanted entries, and the entries they add.
+
+    ``answered`` is numbered per site across rounds; ``seen`` holds the entries of earlier rounds.
+    """
+    rows = sitemap_entries(answered.where(F.col("within") & F.col("entries").isNotNull()), ["site_id", "fetch_no"])
+    fresh = first_by(rows.select("site_id", "url", "fetch_no"), ["site_id", "url"], ["fetch_no"])
+    fresh = materialize(fresh.join(seen, ["site_id", "url"], "left_anti"))
+    added = fresh.groupBy("site_id", "fetch_no").agg(F.count(F.lit(1)).alias("n"))
+    had = seen.groupBy("site_id").agg(F.count(F.lit(1)).alias("had"))
+    counted = answered.select("site_id", "fetch_no", "place").join(added, ["site_id", "fetch_no"], "left")
+    before = running_total(counted.fillna(0, ["n"]), ["site_id"], "place", "n")
+    wanted = before.join(had, "site_id", "left").select(
+        "site_id", "fetch_no", (F.col("before") + F.coalesce("had", F.lit(0)) < raw_limit).alias("wanted")
+    )
+    judged = answered.join(wanted, ["site_id", "fetch_no"]).withColumn("read", F.col("within") & F.col("wanted"))
+    judged = materialize(judged.drop("wanted"))
+    kept = judged.where("read").select("site_id", "fetch_no")
+    return judged, fresh.join(kept, ["site_id", "fetch_no"], "left_semi").select("site_id", "url")
+
+
+def _expand(
+    seed: DataFrame, visited: DataFrame, seen: DataFrame, docs: DataFrame, budget: int | None, raw_limit: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first over index children in queue order, until no site has a document left to read.
 
     Each round is one join per level of nesting; its few rows are written out, so
-    the plan does not grow with the rounds.
+    the plan does not grow with the rounds.  A document is queued once, so cycles end.
     """
     frontier = seed
-    for _ in range(budget):
+    while True:
         used = visited.groupBy("site_id").agg(F.count(F.lit(1)).alias("used"))
         fresh = first_by(
             frontier.join(visited.select("site_id", "doc_url"), ["site_id", "doc_url"], "left_anti"),
             ["site_id", "doc_url"],
             ["o1", "o2"],
         )
-        best = top_k(fresh, ["site_id"], [F.col("o1"), F.col("o2")], budget)
-        fetches = (
-            best.join(used, "site_id", "left")
-            .withColumn("fetch_no", (F.col("rank") + F.coalesce("used", F.lit(0))).cast("bigint"))
-            .where(F.col("fetch_no") <= budget)
-            .select("site_id", "doc_url", "fetch_no")
+        numbered = _queued(fresh).join(used, "site_id", "left").select(
+            "site_id", "doc_url", "place", (F.col("place") + F.coalesce("used", F.lit(0))).cast("bigint").alias("fetch_no")
         )
-        answered = materialize(fetches.join(docs, ["site_id", "doc_url"], "left"))
+        within = F.lit(True) if budget is None else F.col("fetch_no") <= budget
+        answered = materialize(numbered.withColumn("within", within).join(docs, ["site_id", "doc_url"], "left"))
         if answered.isEmpty():
-            break
+            return visited, seen
+        if raw_limit is None:
+            answered = answered.withColumn("read", F.col("within"))
+        else:
+            answered, entries = _stopped(answered, seen, raw_limit)
+            seen = materialize(seen.unionByName(entries))
+        held = [F.when(F.col("read"), F.col(c)).alias(c) for c in DOCUMENT]
+        answered = answered.select("site_id", "doc_url", "fetch_no", "read", *held)
         visited = visited.unionByName(answered)
         frontier = answered.select(
             "site_id",
             F.col("fetch_no").alias("o1"),
             F.posexplode("children").alias("o2", "doc_url"),
         ).select("site_id", "doc_url", "o1", F.col("o2").cast("bigint").alias("o2"))
-    return visited
 
 
 def expand_sitemaps(
     declared: DataFrame,
     docs: DataFrame,
     origins: DataFrame,
-    budget: int = L.MAX_SITEMAP_DOCS,
+    budget: int | None = None,
     fallback: bool = True,
+    raw_limit: int | None = None,
 ) -> DataFrame:
-    """Documents a discovery reads per site, numbered in reading order.
+    """Documents a discovery meets per site, numbered in queue order; ``read`` tells which it reads.
 
     ``declared``: site_id, pos, doc_url.  ``docs``: landed documents with status and
-    body.  A miss counts against the budget.  Sites whose declared sitemaps give no
-    entry go on with the conventional paths, within the same budget.
+    body.  Sites whose declared sitemaps give no entry go on with the conventional paths.
+    All documents are read by default.  With a ``budget`` a site reads that many, misses
+    counted; with a ``raw_limit`` it stops after the document that brings its distinct
+    entries to that number.  Documents left unread stay as rows, without what they hold.
     """
     readable = parse_sitemaps(docs.where((F.col("status") == 200) & F.col("body").isNotNull()))
-    readable = materialize(
-        readable.select("site_id", "doc_url", "kind", "is_news", "is_feed", "entries", "children")
-    )
+    readable = materialize(readable.select("site_id", "doc_url", *DOCUMENT))
     seed = declared.select(
         "site_id", "doc_url", F.lit(0).cast("bigint").alias("o1"), F.col("pos").cast("bigint").alias("o2")
     )
-    none = seed.select("site_id", "doc_url", F.col("o1").alias("fetch_no")).join(
+    none = seed.select("site_id", "doc_url", F.col("o1").alias("fetch_no"), F.lit(True).alias("read")).join(
         readable, ["site_id", "doc_url"], "left"
     ).limit(0)
-    visited = _expand(seed, none, readable, budget)
+    nothing = seed.select("site_id", F.col("doc_url").alias("url")).limit(0)
+    visited, seen = _expand(seed, none, nothing, readable, budget, raw_limit)
     if not fallback:
         return visited
     fed = visited.where(F.size("entries") > 0).select("site_id").distinct()
@@ -167,23 +208,13 @@ def expand_sitemaps(
         .select("site_id", F.posexplode(paths).alias("o2", "doc_url"))
         .select("site_id", "doc_url", F.lit(0).cast("bigint").alias("o1"), F.col("o2").cast("bigint").alias("o2"))
     )
-    return _expand(conventional, visited, readable, budget)
+    return _expand(conventional, visited, seen, readable, budget, raw_limit)[0]
 
 
-def collected_entries(visited: DataFrame, raw_limit: int | None = None) -> DataFrame:
-    """Distinct entries in reading order: all, or up to the document that reaches ``raw_limit``."""
+def collected_entries(visited: DataFrame) -> DataFrame:
+    """Distinct entries of the documents read, in reading order."""
     rows = sitemap_entries(visited.where(F.col("entries").isNotNull()), ["site_id", "fetch_no"])
-    firsts = first_by(rows, ["site_id", "url"], ["fetch_no", "pos"])
-    if raw_limit is None:
-        return firsts
-    per_doc = firsts.groupBy("site_id", "fetch_no").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("site_id").orderBy("fetch_no").rowsBetween(Window.unboundedPreceding, -1)
-    read = (
-        per_doc.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-        .where(F.col("before") < raw_limit)
-        .select("site_id", "fetch_no")
-    )
-    return firsts.join(read, ["site_id", "fetch_no"])
+    return first_by(rows, ["site_id", "url"], ["fetch_no", "pos"])
 
 
 def discovery_summary(visited: DataFrame) -> DataFrame:

@@ -10,14 +10,19 @@ from webcairn.session import materialize
 
 
 def newest_docs(site_docs: DataFrame) -> DataFrame:
-    """Documents of the greatest run id of each (site, document); a run lands a document once."""
-    if "run_id" not in site_docs.columns:
+    """Each (site, document) as landed last: by ``fetched_at``, then the greatest run id; a run lands a document once.
+
+    Rows without a time or run id are older than all others.  Bodies are not compared, only these numbers.
+    """
+    by = [c for c in ("fetched_at", "run_id") if c in site_docs.columns]
+    if not by:
         return site_docs
     keys = ["site_id", "doc_url"]
-    newest = site_docs.groupBy(*keys).agg(F.max("run_id").alias("run_id"))
-    stamped = site_docs.where(F.col("run_id").isNotNull()).join(newest, [*keys, "run_id"], "left_semi")
-    bare = newest.where(F.col("run_id").isNull())
-    return stamped.unionByName(site_docs.where(F.col("run_id").isNull()).join(bare, keys, "left_semi"))
+    stamp = F.struct(*by)
+    newest = site_docs.groupBy(*keys).agg(F.max(stamp).alias("__newest"))
+    stamped = site_docs.withColumn("__newest", stamp)
+    same = [stamped[c] == newest[c] for c in keys] + [stamped["__newest"].eqNullSafe(newest["__newest"])]
+    return stamped.join(newest, same, "left_semi").drop("__newest")
 
 
 def discover(
@@ -27,20 +32,23 @@ def discover(
     raw_limit: int | None = None,
     max_urls: int | None = None,
     max_pages: int | None = None,
+    max_docs: int | None = None,
 ) -> dict[str, DataFrame]:
     """Rules, discovery summary, method and admitted seeds per site.
 
-    ``site_docs``: site_id, doc_url, kind, status, body and, optionally, run_id.
+    ``site_docs``: site_id, doc_url, kind, status, body and, optionally, run_id and fetched_at.
     ``sites``: site_id, origin.  Sites with too few sitemap entries start from their
-    homepage.  Entries read, URLs kept and pages admitted per site are unlimited by default.
+    homepage.  Documents and entries read, URLs kept and pages admitted per site are unlimited by default.
     """
     site_docs = newest_docs(site_docs)
     texts = site_docs.where((F.col("kind") == "robots") & (F.col("status") == 200) & F.col("body").isNotNull())
     rules = materialize(robots.parse_robots(texts, agent))
     declared = rules.select("site_id", F.posexplode("sitemaps").alias("pos", "doc_url"))
     maps = site_docs.where(F.col("kind") == "sitemap").select("site_id", "doc_url", "status", "body")
-    visited = sitemap.expand_sitemaps(declared, maps, sites.select("site_id", "origin"))
-    raw = sitemap.collected_entries(visited, raw_limit)
+    visited = sitemap.expand_sitemaps(
+        declared, maps, sites.select("site_id", "origin"), max_docs, raw_limit=raw_limit
+    )
+    raw = sitemap.collected_entries(visited)
     entries = sitemap.alias_entries(sitemap.prioritize(raw, max_urls).drop("fetch_no", "pos"), sites)
     entries = materialize(entries)
     method = sitemap.discovery_method(entries, sites)

@@ -37,7 +37,7 @@ PAGE_SNAPSHOTS = (
 )
 SITE_DOCS = (
     "site_id string, run_id string, doc_url string, kind string, status int, body string, "
-    "declared_pos bigint"
+    "declared_pos bigint, fetched_at bigint"
 )
 CHECK_LOG = (
     "site_id string, url string, checked_at bigint, status int, etag string, "
