@@ -141,8 +141,8 @@ FROM stored s FULL JOIN (SELECT * FROM current_rows QUALIFY row_number() OVER (P
 
 def url_sets(spark: SparkSession, sf: str) -> DataFrame:
     s = snap(spark, sf)
-    old, new = (d.select("site_id", F.regexp_replace("url", "#now$", "").alias("url")) for d in (s["stored"], s["current"]))
-    sides = {"added": new.exceptAll(old), "removed": old.exceptAll(new), "kept": old.intersect(new)}
+    old, new = (d.select("site_id", F.regexp_replace("url", "#now$", "").alias("url")).distinct() for d in (s["stored"], s["current"]))
+    sides = {"added": new.subtract(old), "removed": old.subtract(new), "kept": old.intersect(new)}
     parts = [d.withColumn("side", F.lit(name)) for name, d in sides.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
