@@ -1,6 +1,6 @@
 from pyspark.sql.types import StructType
 
-from webcairn import discover, generate_documents, monitor_tick, pages_from_snapshots
+from webcairn import discover, generate_documents, monitor_tick, pages_from_snapshots, publish_generation, start_generation
 from webcairn.operators.extract import poison_rows
 from webcairn.operators.reports import run_progress
 from webcairn.sources import sinks, tables
@@ -77,6 +77,9 @@ def test_monitor_tick(spark):
     out = monitor_tick(sites, pages, entries, responses, 100)
     assert {r["url"][14:]: r["bucket"] for r in out["changes"].collect()} == {"a": "modified", "b": "removed", "new": "added"}
     assert [tuple(r) for r in out["cadence"].select("site_id", "check_interval_s", "change_streak", "next_check_at").collect()] == [("s", 43200, 1, 43300)]
+    (run,) = out["runs"].collect()
+    assert (run["site_id"], run["trigger"], run["status"], run["pages_changed"], run["started_at"]) == ("s", "monitor", "queued", 3, 100)
+    assert run["change_summary"] == "1 page added, 1 page removed, 1 page modified" and len(run["run_id"]) == 12
     got = {r["url"][14:]: (r["status"], r["last_checked_at"], r["page_check_interval_s"]) for r in out["pages"].collect()}
     assert got == {"a": ("active", 100, 302400), "b": ("removed", None, 604800)}
     # without any entry there is no sitemap to differ from: nothing is removed, due pages are sampled
@@ -162,3 +165,47 @@ def test_pages_move_between_answers(spark):
     assert [(r[2], r[3], r[5]) for r in want[0]] == [
         (1, "modified", True), (2, "unchanged", False), (3, "modified", True), (5, "modified", False), (6, "removed", False), (7, "unchanged", True)]
     assert want[1] == [("s", "a", "e2", None, "h3", "active"), ("s", "b", "y", None, "n", "active")]
+
+
+def test_published_generation(spark):
+    schema = "site_id string, url string, title string, status string, last_seen_at bigint"
+    rows = [("a", "https://a.com/", "Home A", "active", 10), ("a", "https://a.com/docs/x", "X", "active", 10), ("a", "https://a.com/docs/y", "Y", "active", 99),
+            ("a", "https://a.com/docs/z", "Z", "removed", 99), ("b", "https://other.com/p", "P", "active", 50)]
+    declared = spark.createDataFrame([], tables.SCHEMAS["pages"])
+    pages = declared.unionByName(spark.createDataFrame(rows, schema), allowMissingColumns=True)
+    sites = spark.createDataFrame([("a", "https://a.com"), ("b", "https://b.com"), ("c", "https://c.com")], "site_id string, origin string")
+    runs = [("r1", "a", None, None), ("r2", "a", 50, "1 page added"), ("r2", "a", 50, "1 page added"), ("r0", "a", None, None), ("rb", "b", None, None), ("rc", "c", 5, None), ("rx", "x", None, None)]
+    runs = spark.createDataFrame(runs, "run_id string, site_id string, started_at bigint, change_summary string")
+    versions = spark.createDataFrame([("a", "r0", 4)], "site_id string, run_id string, version bigint")
+    started = start_generation(pages, sites, runs, versions)
+    assert sorted((r["site_id"], r["url"][-1]) for r in started["inventory"].collect()) == [("r1", "x"), ("r1", "y"), ("r2", "y"), ("rb", "p")]
+    out = publish_generation(started, versions, 7)
+    got = sorted(tuple(r) for r in out["versions"].collect())
+    assert got == [
+        ("a", "r1", 5, "a/v5.txt", "initial generation", "heuristic", 7),
+        ("a", "r2", 6, "a/v6.txt", "1 page added", "heuristic", 7),
+        ("c", "rc", 1, "c/v1.txt", "initial generation", "heuristic", 7),
+    ]
+    parts = {r["run_id"]: r for r in out["parts"].collect()}
+    assert set(parts) == {"r1", "r2", "rc"} and parts["r2"]["version"] == 6
+    assert parts["r1"]["content"].startswith("# Home A\n") and "/docs/z" not in parts["r1"]["content"]
+    assert parts["rc"]["content"].startswith("# c.com\n\n> Key pages and documentation for c.com.")
+    ends = {r["run_id"]: (r["status"], r["error"], r["version"]) for r in out["runs"].collect()}
+    assert ends == {
+        "r1": ("done", None, 5), "r2": ("done", None, 6), "rc": ("done", None, 1),
+        "rb": ("error", "heuristic output failed validation: link_foreign", None), "rx": ("error", "site not found", None)}
+    # the same runs once more, now published: nothing happens
+    again = start_generation(pages, sites, runs, versions.unionByName(out["versions"].select("site_id", "run_id", "version")))
+    assert sorted(r["run_id"] for r in again["runs"].collect()) == ["rb", "rx"]
+    assert publish_generation(again, versions, 8)["versions"].count() == 0
+    # a refinement is taken where it answers the run and is valid
+    plan = spark.createDataFrame([("r1", 0, "Start", 0, "https://a.com/docs/y", "why", False), ("r2", 0, "Optional", 0, "https://a.com/docs/y", None, False),
+                                  ("r2", 1, "More", 0, "https://a.com/docs/none", None, False)],
+                                 "site_id string, section_pos int, section_name string, page_pos int, url string, description string, optional boolean")
+    heads = spark.createDataFrame([("r1", "Refined."), ("rc", " ")], "site_id string, summary string")
+    out = publish_generation(started, versions, 7, plan, heads)
+    assert {r["run_id"]: r["generated_by"] for r in out["versions"].collect()} == {"r1": "llm-refined", "r2": "heuristic", "rc": "heuristic"}
+    assert "> Refined.\n" in {r["run_id"]: r["content"] for r in out["parts"].collect()}["r1"]
+    # no runs at all
+    none = start_generation(pages, sites, runs.limit(0), versions)
+    assert [publish_generation(none, versions, 7)[k].count() for k in ("versions", "parts", "runs")] == [0, 0, 0]

@@ -66,5 +66,6 @@ from webcairn.operators.versions import (
 from webcairn.plans.discover import discover
 from webcairn.plans.generate import generate_documents, pages_from_snapshots
 from webcairn.plans.monitor import monitor_tick
+from webcairn.plans.publish import publish_generation, start_generation
 
 __all__ = [name for name in dir() if not name.startswith("_") and name not in {"operators", "plans", "functions", "limits", "session"}]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from webcairn import limits as L
 from webcairn.catalog import views
 
@@ -144,6 +146,26 @@ def define(name: str, needs: tuple[str, ...], sql: str) -> None:
     _CTES[name] = (needs, sql.strip())
 
 
+def again(prefix: str, names: tuple[str, ...], **swaps: str) -> None:
+    """Views ``names`` once more under a prefix, over each other and over other tables in place of theirs."""
+    new = {name: prefix + name for name in names} | swaps
+    for name in names:
+        needs, sql = _CTES[name]
+        for old, other in new.items():
+            sql = re.sub(rf"\b{old}\b", other, sql)
+        define(prefix + name, tuple(new.get(n, n) for n in needs), sql)
+
+
+def amend(name: str, *changes: tuple[str, str]) -> None:
+    """Change a view's text where it says the first of each pair."""
+    needs, sql = _CTES[name]
+    for old, other in changes:
+        if old not in sql:
+            raise ValueError(f"{name} does not say {old}")
+        sql = sql.replace(old, other)
+    define(name, needs, sql)
+
+
 def oracle(select: str, *needs: str) -> str:
     """The statement with every view it needs, in dependency order."""
     done: list[str] = []

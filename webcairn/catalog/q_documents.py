@@ -294,8 +294,7 @@ define(
     "SELECT doc_id, origin, unnest(ls) AS line, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line_no "
     "FROM (SELECT doc_id, origin, string_split(content, chr(10)) AS ls FROM candidates)",
 )
-ORACLE["document_errors"] = oracle(
-    rf"""
+DOCUMENT_ERRORS = rf"""
 SELECT doc_id, line_no, broken.rule AS rule, broken.detail AS detail FROM (
   SELECT doc_id, line_no, unnest([
     CASE WHEN line LIKE '# %' AND h1_before > 0 THEN {{rule: 'title_repeated', detail: NULL::VARCHAR}} END,
@@ -317,9 +316,8 @@ SELECT doc_id, line_no, broken.rule AS rule, broken.detail AS detail FROM (
 UNION ALL
 SELECT doc_id, 0, 'title_missing', NULL FROM candidate_lines GROUP BY doc_id HAVING count(*) FILTER (line LIKE '# %') = 0
 UNION ALL
-SELECT doc_id, 0, 'summary_missing', NULL FROM candidate_lines GROUP BY doc_id HAVING count(*) FILTER (line LIKE '> %') = 0""",
-    "candidate_lines",
-)
+SELECT doc_id, 0, 'summary_missing', NULL FROM candidate_lines GROUP BY doc_id HAVING count(*) FILTER (line LIKE '> %') = 0"""
+ORACLE["document_errors"] = oracle(DOCUMENT_ERRORS, "candidate_lines")
 
 
 def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from webcairn import limits as L
 from webcairn.functions import freshness
 from webcairn.operators import monitor, upsert
 from webcairn.operators.ranking import spread_join
@@ -18,10 +19,11 @@ def monitor_tick(
     now: int,
     limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Changes, summaries, page table and site cadence after checking the due sites.
+    """Changes, summaries, page table, site cadence and queued runs after checking the due sites.
 
     ``responses`` are landed conditional fetches; only those of this tick's
-    candidates count.
+    candidates count.  A site with changes gets one run, whose id depends on site and ``now``
+    alone, so a repeated tick queues the same run.
     """
     due = materialize(monitor.due_sites(sites, now, limit))
     ids = due.select("site_id")
@@ -32,8 +34,8 @@ def monitor_tick(
     diff = materialize(monitor.diff_sitemap(active.join(listed, "site_id", "left_semi"), current))
     chosen = monitor.monitor_candidates(active, diff, now).select("site_id", "url")
     checks = materialize(monitor.resolve_checks(active, responses.join(chosen, ["site_id", "url"])))
-    changes = monitor.build_changes(diff, checks)
-    summary = monitor.summarize_changes(changes, due, checks)
+    changes = materialize(monitor.build_changes(diff, checks))
+    summary = materialize(monitor.summarize_changes(changes, due, checks))
     fresh = monitor.check_freshness(active, checks, now)
     columns = ["last_checked_at", "last_changed_at", "page_check_interval_s", "page_change_streak"]
     news = fresh.select("site_id", "url", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
@@ -48,8 +50,19 @@ def monitor_tick(
             "change_streak": freshness.next_streak(F.col("change_streak"), changed),
         }
     )
+    run_id = F.substring(F.sha2(F.concat_ws(":", "site_id", F.lit(now).cast("string")), 256), 1, 12)
+    runs = summary.where("regenerate").select(
+        run_id.alias("run_id"),
+        "site_id",
+        F.lit("monitor").alias("trigger"),
+        F.lit(L.RUN_STATUSES[0]).alias("status"),
+        "pages_changed",
+        "change_summary",
+        F.lit(now).cast("bigint").alias("started_at"),
+    )
     return {
         "changes": changes,
+        "runs": runs,
         "summary": summary,
         "pages": upsert.mark_removed(merged, changes.where("bucket = 'removed'")),
         "cadence": cadence.withColumn("next_check_at", F.lit(now) + F.col("check_interval_s")).drop("regenerate"),
