@@ -3,8 +3,8 @@ import random
 
 from webcairn.operators import cadence as batch
 from webcairn.operators.reports import redact_logs, run_progress
-from webcairn.streaming import cadence, pages, progress
-from webcairn.streaming.runner import append_to, read_sink, run_available, work_dir
+from webcairn.streaming import admission, cadence, pages, progress
+from webcairn.streaming.runner import append_to, end_mark, read_sink, run_available, work_dir
 
 
 def feed(spark, parts, name):
@@ -92,3 +92,37 @@ def test_redaction(spark):
     got = [r[0] for r in redact_logs(spark.createDataFrame([(x,) for x in [deep, *odd]], "record string")).collect()]
     assert got[0] == deep.replace('{"x":["}",{"y":2}]}', '"[redacted]"')
     assert got[1:] == ['{"secret":"[redacted]"', '{"secret":"[redacted]"}', '{"token":"[redacted]"', ""]
+
+
+def test_end_mark_closes_what_is_open(spark):
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [("a", day), ("a", day), ("b", day + dt.timedelta(minutes=5)), (None, day)]
+    df = spark.createDataFrame(rows, "client string, ts timestamp")
+
+    def run(parts):
+        out = work_dir(spark, "t")
+        run_available(admission.admission_stream(feed(spark, parts, "end"), 60, 1), append_to(f"{out}/r"), f"{out}/s")
+        return sorted((r["client"], r["requests"], r["admitted"]) for r in read_sink(spark, f"{out}/r").collect())
+
+    assert run([df]) == [("a", 2, 1)]  # b's window is still open
+    assert run([df, end_mark(spark, df.schema)]) == [("a", 2, 1), ("b", 1, 1)]
+    events = spark.createDataFrame([("r", "view", day), ("q", "view", day), ("q", "finish", day)], "run_id string, event string, ts timestamp")
+    out = work_dir(spark, "t")
+    run_available(progress.stale_run_stream(feed(spark, [events, end_mark(spark, events.schema)], "stale")), append_to(f"{out}/r"), f"{out}/s")
+    assert [(r["run_id"], r["events"]) for r in read_sink(spark, f"{out}/r").collect()] == [("r", 1)]
+
+
+def test_progress_state_ends(spark):
+    import datetime as dt
+
+    data = [("r", i, f"/{i % 7}", ("seed", "link", "complete")[i * 5 % 3], dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i in range(40)]
+    df = spark.createDataFrame(data, "run_id string, event_id bigint, url string, event string, ts timestamp")
+    out = work_dir(spark, "t")
+    stream = progress.progress_stream(feed(spark, [df.where(f"event_id DIV 10 = {i}") for i in range(4)], "ends"), "2 days")
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/s").foreachBatch(append_to(f"{out}/r")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held[-1] <= 4  # days the watermark has passed are gone
+    assert progress.progress_from_sink(read_sink(spark, f"{out}/r").drop("batch")).first() == run_progress(df).first()

@@ -11,6 +11,7 @@ from webcairn.functions import text, urls
 from webcairn.functions.sections import section_of
 from webcairn.operators import document, inventory as inv, plan as plans
 from webcairn.plans.generate import generate_documents
+from webcairn.operators.ranking import positions
 from webcairn.session import materialize
 from webcairn.sources.sinks import document_table, write_documents
 from webcairn.streaming.runner import work_dir
@@ -214,6 +215,7 @@ def inventory_nested(spark: SparkSession, sf: str) -> DataFrame:
     nested = inv.nested_inventory(built(spark, sf)[0])
     return nested.select(
         "site_id",
+        "part_no",
         F.array_join(F.transform("sections", lambda s: s["name"]), ",").alias("names"),
         F.array_join(
             F.flatten(F.transform("sections", lambda s: F.transform(s["pages"], lambda p: p["url"]))), " "
@@ -223,9 +225,11 @@ def inventory_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["inventory_nested"] = inventory_nested
 ORACLE["inventory_nested"] = oracle(
-    """
-SELECT site_id, string_agg(section, ',' ORDER BY section_rank) FILTER (pos = 1) AS names,
-  string_agg(url, ' ' ORDER BY section_rank, pos) AS urls
+    f"""
+SELECT site_id, part_no, array_to_string(list_distinct(list(section)), ',') AS names, string_agg(url, ' ' ORDER BY pos) AS urls
+FROM (SELECT *, 1 + (pos - 1) // {L.LINES_PER_PART} AS part_no FROM inventory WHERE section = 'Optional') GROUP BY ALL
+UNION ALL
+SELECT site_id, 0, string_agg(section, ',' ORDER BY section_rank) FILTER (pos = 1), string_agg(url, ' ' ORDER BY section_rank, pos)
 FROM inventory WHERE section <> 'Optional' GROUP BY site_id""",
     "inventory",
 )
@@ -486,13 +490,15 @@ FROM prompt_parts JOIN heads USING (site_id) GROUP BY site_id, part""",
 
 
 def crawled_path_depth(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of a site by depth and URL, numbered within each depth of at most the crawl cap."""
+    """Pages of a site by depth and URL, each with its place in that order."""
     rows = views.page_rows(spark, sf).select("site_id", "url", urls.path_depth(F.col("url")).alias("depth"))
-    return rows.orderBy("depth", "url")
+    return positions(materialize(rows), ["site_id"], ["depth", "url"], "place").orderBy("depth", "url")
 
 
 QUERIES["pages_by_depth"] = crawled_path_depth
-ORACLE["pages_by_depth"] = oracle("SELECT site_id, url, depth FROM classified", "classified")
+ORACLE["pages_by_depth"] = oracle(
+    "SELECT site_id, url, depth, row_number() OVER (PARTITION BY site_id ORDER BY depth, url) AS place FROM classified", "classified"
+)
 
 
 def documents_valid(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from webcairn.operators.monitor import due_sites
 from webcairn.operators.ranking import first_by
 from webcairn.sources.versioned import VersionedTable
 from webcairn.streaming import admission, cadence, pages, progress
-from webcairn.streaming.runner import append_to, read_sink, run_available, work_dir
+from webcairn.streaming.runner import append_to, end_mark, read_sink, run_available, work_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -28,16 +28,19 @@ def replay(
     transform: Callable[[DataFrame], DataFrame],
     mode: str = "append",
     each: Callable[[str], Callable[[DataFrame, int], None]] = append_to,
+    end: bool = False,
 ) -> DataFrame:
     """Let a table arrive in consecutive thirds; every arrival restarts the stream.
 
-    Each run resumes from the checkpoint of the one before it.  Returns the sink.
+    Each run resumes from the checkpoint of the one before it.  With ``end`` a last
+    arrival says that the source has ended.  Returns the sink.
     """
     out = work_dir(spark, "stream")
     cuts = rows.agg(F.percentile_approx(by, [i / PARTS for i in range(1, PARTS)]).alias("c")).first()["c"]
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(by) > c))
-    for i in range(PARTS):
-        rows.where(part == i).write.mode("append").parquet(f"{out}/source")
+    arrivals = [rows.where(part == i) for i in range(PARTS)] + ([end_mark(spark, rows.schema)] if end else [])
+    for arrival in arrivals:
+        arrival.write.mode("append").parquet(f"{out}/source")
         stream = spark.readStream.schema(rows.schema).parquet(f"{out}/source")
         run_available(transform(stream), each(f"{out}/rows"), f"{out}/state", mode)
     return read_sink(spark, f"{out}/rows")
@@ -54,7 +57,7 @@ ORACLE["stream_cadence"] = q_monitor.FOLD_ORACLE
 
 
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    sink = replay(spark, views.crawl_events(spark, sf), "event_id", progress.progress_stream, "update")
+    sink = replay(spark, timed_events(spark, sf), "event_id", progress.progress_stream, "update")
     return progress.progress_from_sink(sink.drop("batch"))
 
 
@@ -81,9 +84,9 @@ def timed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_stale(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions the watermark has closed; the last of a run may still be open."""
+    """Every session without a finish, the last of a run too: the source ends."""
     sink = replay(
-        spark, timed_events(spark, sf), "event_id", lambda s: progress.stale_run_stream(s, 6 * L.HOUR)
+        spark, timed_events(spark, sf), "event_id", lambda s: progress.stale_run_stream(s, 6 * L.HOUR), end=True
     )
     return sink.drop("batch")
 
@@ -95,20 +98,20 @@ SELECT run_id, min(ts) AS started_at, max(ts) + {6 * L.HOUR} AS released_at, cou
   SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > {6 * L.HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS session
   FROM (SELECT *, lag(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS prev FROM crawl_events))
 GROUP BY run_id, session
-HAVING bool_and(event <> 'finish') AND max(ts) + {6 * L.HOUR} <= (SELECT max(ts) - 3600 FROM crawl_events)""",
+HAVING bool_and(event <> 'finish')""",
     "crawl_events",
 )
 
 
 def stream_admission(spark: SparkSession, sf: str) -> DataFrame:
     rows = q_reports.requests(spark, sf).withColumn("ts", F.timestamp_seconds("ts_s"))
-    sink = replay(spark, rows, "request_id", lambda s: admission.admission_stream(s, 86_400, 3))
+    sink = replay(spark, rows, "request_id", lambda s: admission.admission_stream(s, 86_400, 3), end=True)
     return sink.drop("batch")
 
 
 QUERIES["stream_admission"] = stream_admission
 ORACLE["stream_admission"] = oracle(
-    "SELECT * FROM windows WHERE window_start + 86400 <= (SELECT max(ts_s) - 60 FROM requests)", "windows", "requests"
+    "SELECT * FROM windows", "windows"
 )
 
 

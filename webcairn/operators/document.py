@@ -164,6 +164,7 @@ def validate_lines(
         F.min(F.when(is_h1, no)).alias("h1_no"),
         F.min(F.when(is_h2 & (name == L.OPTIONAL_SECTION), no)).alias("optional_no"),
         F.max(is_quote).alias("quoted"),
+        F.max(no).alias("last_no"),
     )
     is_link = line.startswith("- ")
     is_deep = line.rlike(r"^#{3,}\s")
@@ -172,7 +173,10 @@ def validate_lines(
     )
     marks = lines.where(is_h1 | is_h2 | is_quote | is_deep | is_link).withColumn("target", target)
     marks = canonical_urls(marks, "target", out="link", parts=True)
-    marks = spread_join(marks, first, list(keys))
+    # a document's facts go to each block of its lines: one copy for most, and none to the lines of others
+    block = F.floor(F.col("line_no") / L.LINES_PER_PART)
+    copies = first.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_no") / L.LINES_PER_PART))))
+    marks = marks.withColumn("__block", block).join(copies, [*keys, "__block"]).drop("__block", "last_no")
     late = is_h2 & (no > F.col("optional_no"))
     same = F.col("link_origin") == F.col("origin")
     if prefix_origin:

@@ -100,12 +100,16 @@ def build_inventory(pages: DataFrame, cap: int = L.MAX_LINKS_PER_SECTION) -> Dat
 
 
 def nested_inventory(inventory: DataFrame) -> DataFrame:
-    """Sections as nested arrays, for the output edge; Optional stays flat, it has no bound."""
+    """Sections as nested arrays, for the output edge, in parts.
+
+    Part 0 holds the listed sections, which are capped.  Optional has no bound: it goes on in parts
+    of ``LINES_PER_PART`` pages from 1 on, each with Optional as its only section.
+    """
     page = F.struct("pos", "url", "title", "description", "h1", "section_hint")
-    sections = (
-        inventory.where(F.col("section") != L.OPTIONAL_SECTION)
-        .groupBy("site_id", "section_rank", "section")
-        .agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    later = F.floor((F.col("pos") - 1) / L.LINES_PER_PART).cast("bigint") + 1
+    part = F.when(F.col("section") == L.OPTIONAL_SECTION, later).otherwise(0)
+    sections = inventory.groupBy("site_id", part.alias("part_no"), "section_rank", "section").agg(
+        F.array_sort(F.collect_list(page)).alias("pages")
     )
     section = F.struct("section_rank", F.col("section").alias("name"), "pages")
-    return sections.groupBy("site_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    return sections.groupBy("site_id", "part_no").agg(F.array_sort(F.collect_list(section)).alias("sections"))

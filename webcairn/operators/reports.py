@@ -14,10 +14,10 @@ from webcairn.operators.ranking import top_k
 from webcairn.operators.versions import latest_versions
 
 
-def page_states(events: DataFrame) -> DataFrame:
-    """Per (run, URL): the event that admitted it and the last that completed it, by event id or else by time."""
+def page_states(events: DataFrame, *more: Column) -> DataFrame:
+    """Per (run, URL) and whatever else is named: the event that admitted it and the last that completed it, by event id or else by time."""
     seq = F.col("event_id" if "event_id" in events.columns else "ts")
-    return events.groupBy("run_id", "url").agg(
+    return events.groupBy("run_id", "url", *more).agg(
         F.min(F.when(F.col("event").isin("seed", "link"), seq)).alias("admitted"),
         F.max(F.when(F.col("event") == "complete", seq)).alias("completed"),
     )

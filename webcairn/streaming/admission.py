@@ -13,13 +13,16 @@ def admission_stream(
     limit: int = L.REQUEST_LIMIT,
     lateness: str = "1 minute",
 ) -> DataFrame:
-    """Requests and admitted requests of each closed window (``ts`` is the event time)."""
+    """Requests and admitted requests of each closed window (``ts`` is the event time).
+
+    Rows without a client are requests of nobody and only move time on; ``end_mark`` is one.
+    """
     counts = (
         requests.withWatermark("ts", lateness)
         .groupBy("client", F.window("ts", f"{window_s} seconds"))
-        .agg(F.count(F.lit(1)).alias("requests"))
+        .agg(F.count("client").alias("requests"))
     )
-    return counts.select(
+    return counts.where("requests > 0").select(
         "client",
         F.unix_timestamp("window.start").alias("window_start"),
         "requests",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from webcairn.session import checkpoint_dir
 
@@ -34,6 +35,16 @@ def run_available(
         raise query.exception()
 
 
+def end_mark(spark: SparkSession, schema: StructType, time: str = "ts") -> DataFrame:
+    """The row a source ends with: a time after all others and nothing else.
+
+    It closes every open window of a stream; whatever arrives later is late.
+    """
+    return spark.range(1).select(
+        *[(F.lit("9000-01-01") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    )
+
+
 def append_to(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that adds each batch to a table under its batch id, so a repeated batch replaces itself."""
 
