@@ -128,20 +128,23 @@ def _repeated_runs(length, gram, bits):
     return scan
 
 
-def _windows(length):
-    """Last digits of the listed runs of each text, a bounded number at a time."""
+def _windows(length, bits=None):
+    """Last digits of the listed runs of each text, a bounded number at a time.
+
+    With ``bits`` only those of single runs that may occur twice, with their places.
+    """
 
     def scan(batches):
-        names = ["run", "step", "digit", "single"]
         for batch in batches:
             texts, sizes, runs = batch.column("__packed"), batch.column("__size"), batch.column("runs")
             for i in range(len(batch)):
+                items = runs[i].values
+                use = slice(None) if bits is None else items.field("single").to_numpy(zero_copy_only=False)
+                lo, hi, first, run = (items.field(c).to_numpy()[use] for c in ("lo", "hi", "first", "run"))
+                if not len(lo):
+                    continue
                 data = np.frombuffer(pa.decompress(texts[i].as_buffer(), sizes[i].as_py(), "zstd"), np.uint8)
                 prefix = tk.Prefix(data)
-                items = runs[i].values
-                lo, hi = items.field("lo").to_numpy(), items.field("hi").to_numpy()
-                first, run = items.field("first").to_numpy(), items.field("run").to_numpy()
-                single = items.field("single").to_numpy(zero_copy_only=False)
                 ends = np.cumsum(hi - lo + 1)
                 at = 0
                 while at < len(lo):  # runs of about HELD windows; one longer run comes alone
@@ -151,23 +154,20 @@ def _windows(length):
                     n = hi[part] - lo[part] + 1
                     of = np.repeat(np.arange(at, to), n)
                     p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of]
-                    digit = tk.mix(prefix.ranges(p, p + length) + tk.mix(first[of].view(np.uint64)))
-                    columns = (run[of], (p - lo[of]).astype(np.int32), _signed(digit), single[of])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                    digit = _signed(tk.mix(prefix.ranges(p, p + length) + tk.mix(first[of].view(np.uint64))))
+                    if bits is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(run[of]), pa.array(digit)], ["run", "digit"])
+                    else:
+                        maybe = np.flatnonzero(in_filter(bits.value, digit))
+                        step = (p - lo[of]).astype(np.int32)
+                        columns = [pa.array(x[maybe]) for x in (run[of], step, digit)]
+                        yield pa.RecordBatch.from_arrays(columns, ["run", "step", "digit"])
                     at = to
             pa.default_memory_pool().release_unused()
 
     return scan
 
 
-def _maybe(bits):
-    def scan(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(bits.value, batch.column("digit").to_numpy())))
-
-    return scan
-
-
 def _packed(text):
     raw = [x.as_buffer() if x.is_valid else pa.py_buffer(b"") for x in text]
     packed = pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
@@ -275,14 +275,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         .mapInArrow(_pack_once, "key binary, __packed binary, __size bigint")
         .join(listed, "key")
     )
-    windows = materialize(texts.mapInArrow(_windows(length), "run bigint, step int, digit bigint, single boolean"))
+    # windows are many times the text, so they are made once more and not written
+    windows = texts.mapInArrow(_windows(length), "run bigint, digit bigint")
     twice = materialize(  # a text that stands in several tasks gives its windows again, under the same run
         windows.groupBy("digit").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a <> b").select("digit")
     )
     digits = spark.sparkContext.broadcast(filter_bits(twice, "digit"))
     ends = (
-        windows.where("single")
-        .mapInArrow(_maybe(digits), windows.schema)
+        texts.mapInArrow(_windows(length, digits), "run bigint, step int, digit bigint")
         .join(twice, "digit")
         .groupBy("run")
         .agg(F.min("step").alias("a"), F.max("step").alias("b"))
