@@ -61,6 +61,24 @@ def test_any_split_gives_the_batch_result(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_keys_share_states(spark):
+    """Python is called per bucket, not per key; a key's state is its own and is told only when it has checks."""
+    rnd = random.Random(5)
+    schema = "site_id string, checked_at bigint, event_id bigint, changed boolean"
+    data = [(rnd.choice([str(k) for k in range(60)]), i * 3600, i, rnd.random() < 0.5) for i in range(600)]
+    want = sorted(map(str, batch.fold_cadence(spark.createDataFrame(data, schema), "site_id", ["checked_at", "event_id"]).collect()))
+    cuts = [data[:500], [r for r in data[500:] if r[0] < "3"], [r for r in data[500:] if r[0] >= "3"]]
+    parts = [spark.createDataFrame(x, schema) for x in cuts]
+    out = work_dir(spark, "t")
+    run_available(cadence.cadence_stream(feed(spark, parts, "shared"), buckets=4), append_to(f"{out}/r"), f"{out}/s", "update")
+    sink = read_sink(spark, f"{out}/r")
+    got = cadence.latest_cadence(sink).select("site_id", "checks", "interval_s", "streak", "last_changed_at")
+    assert sorted(map(str, got.collect())) == want
+    told = sorted((r["batch"], r["site_id"]) for r in sink.collect())
+    assert told == sorted((k, s) for k, x in enumerate(cuts) for s in {r[0] for r in x})
+    assert spark.read.format("statestore").load(f"{out}/s").count() <= 4
+
+
 def test_progress_ignores_redelivery(spark):
     data = [("r", 1, "/a", "seed"), ("r", 2, "/b", "link"), ("r", 3, "/a", "complete"), ("r", 3, "/a", "complete"), ("r", 0, "/b", "complete")]
     df = spark.createDataFrame(data, "run_id string, event_id bigint, url string, event string")
