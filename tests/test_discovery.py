@@ -112,6 +112,16 @@ def test_admission(spark):
     assert frontier.capped_flags(cand, got, found, 10).first()["capped"] is True
 
 
+def test_links_are_made_canonical_once(spark):
+    """Filters and the join's condition take the URL as it stands, instead of working it out again."""
+    sites = spark.createDataFrame([("s", "https://e.com")], "site_id string, origin string")
+    cand = spark.createDataFrame([("s", "/a", "https://e.com/", 1)], "site_id string, href string, base string, o int")
+    ok = frontier.eligible_links(cand, sites)
+    plan = ok._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+    assert [tuple(r) for r in ok.select("site_id", "url", "o").collect()] == [("s", "https://e.com/a", 1)]
+
+
 def test_walk(spark):
     sites = spark.createDataFrame([("s", "https://e.com")], "site_id string, origin string")
     seeds = spark.createDataFrame([("s", 0, "/")], "site_id string, pos bigint, href string")

@@ -234,13 +234,17 @@ def canonical_urls(
     out: str = "url",
     parts: bool = False,
 ) -> DataFrame:
-    """Add ``out``, the canonical form of ``href``; ``parts`` also adds origin and path."""
+    """Add ``out``, the canonical form of ``href``; ``parts`` also adds origin and path.
+
+    The form comes out of a generator, which filters and join conditions are not pushed
+    through: each of them would work it out anew.
+    """
     made = _named_canonical(id(df.sparkSession._jvm), href, base)
     added = {out: "url"}
     if parts:
         added |= {f"{out}_origin": "origin", f"{out}_path": "path"}
     kept = [c for c in df.columns if c not in added]
-    return df.withColumn("__url", made).select(
+    return df.select("*", F.explode(F.array(made)).alias("__url")).select(
         *kept, *[F.col("__url")[field].alias(name) for name, field in added.items()]
     )
 
