@@ -20,6 +20,31 @@ def test_robots(spark):
     assert rules(spark, "Disallow: /early\r\nUser-agent: *\r\nDisallow: /x\r\nCrawl-delay: 0.1")[:2] == (["/x"], 500.0)
 
 
+def generated(node):
+    """Rows that the generators of a finished plan made."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return generated(node.executedPlan())
+    if "QueryStage" in name:
+        return generated(node.plan())
+    rows = node.metrics().apply("numOutputRows").value() if name == "Generate" else 0
+    return rows + sum(generated(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_rules_are_copied_for_frequent_sites_only(spark):
+    pages = spark.range(5_020).selectExpr(
+        "IF(id < 5000, 's0', IF(id < 5010, concat('s', id - 4999), IF(id < 5015, 'other', NULL))) AS site_id",
+        "IF(id % 2 = 0, '/a/', '/b/') || id AS path",
+    )
+    rules = spark.createDataFrame([(f"s{k}", ["/a"] if k % 2 == 0 else []) for k in range(100)], "site_id string, disallow array<string>")
+    left = robots.exclude_disallowed(pages, rules)
+    rows = [(r["site_id"], int(r["path"][3:])) for r in left.collect()]
+    want = [("s0", k) for k in range(1, 5_000, 2)] + [(f"s{k - 4_999}", k) for k in range(5_000, 5_010) if k % 2 or (k - 4_999) % 2]
+    want += [("other", k) for k in range(5_010, 5_015)] + [(None, k) for k in range(5_015, 5_020)]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    assert generated(left._jdf.queryExecution().executedPlan()) == 32 + 10
+
+
 def parsed(spark, body):
     df = spark.createDataFrame([("s", body)], "site_id string, body string")
     r = sitemap.parse_sitemaps(df).first()

@@ -127,3 +127,21 @@ def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("__salt", salt).join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def copied_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """As ``spread_join``, for a small side with wide rows: copies only of keys that ``big`` holds often.
+
+    Keys are counted first, so ``big`` is read twice, the first time for its keys alone.  Rows of
+    ``small`` whose key is not in ``big`` go no further; ``how`` is inner or left.
+    """
+    found = big.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > BLOCK, SALTS).otherwise(1).alias("__salts"))
+    hot = found.where(F.col("__salts") > 1)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")
+    spread = big.join(hot, list(keys), "left").withColumn(
+        "__salt", F.when(F.col("__salts").isNotNull(), salt).otherwise(0)
+    ).select(*big.columns, "__salt")
+    copies = small.join(found, list(keys)).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))
+    ).drop("__salts")
+    return spread.join(copies, [*keys, "__salt"], how).drop("__salt")

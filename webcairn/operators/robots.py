@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from webcairn import limits as L
 from webcairn.functions.text import strip
 from webcairn.functions.urls import is_disallowed
-from webcairn.operators.ranking import spread_join
+from webcairn.operators.ranking import copied_join
 
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
@@ -91,5 +91,5 @@ def parse_robots(docs: DataFrame, agent: str = L.ROBOTS_AGENT, key: str = "site_
 
 def exclude_disallowed(pages: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """Pages under no disallow prefix: an equi-join on the site, then a check in the row."""
-    joined = spread_join(pages, rules.select("site_id", "disallow"), ["site_id"], "left")
+    joined = copied_join(pages, rules.select("site_id", "disallow"), ["site_id"], "left")
     return joined.where(~is_disallowed(F.col(path), F.col("disallow"))).drop("disallow")
