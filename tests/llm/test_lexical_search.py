@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from webcairn.llm import lexical_search as L
+from webcairn.llm import common, lexical_search as L
 from webcairn.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +81,38 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert L.search(L.Index(none), some, "doc_id").count() == 0
     assert L.search(L.Index(some), none, "doc_id").count() == 0
+
+
+def test_a_row_group_holds_one_large_block(spark, monkeypatch):
+    """A reader holds a row group at a time, so its size may not follow that of a file."""
+    monkeypatch.setattr(L, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(L, "ROW_GROUP", 1 << 10)
+    docs = [(i, " ".join(f"t{(i * 31 + j * j) % 4001}" for j in range(60))) for i in range(400)]
+    index = L.Index(spark.createDataFrame(docs, "doc_id int, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.blocks.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(groups) == sum(groups) == 20
+
+
+def test_cells_of_the_index_are_packed(spark):
+    """A block takes less than its points do as numbers of 8, 4 and 4 bytes."""
+    docs = [(i, " ".join(f"t{j}" for j in range(i % 50, i % 50 + 200))) for i in range(300)]
+    index = L.Index(spark.createDataFrame(docs, "doc_id int, text string").coalesce(1))
+    size = "length(points) + length(impact) + length(peak)"
+    assert index.blocks.selectExpr(f"sum({size})").first()[0] < 300 * 200 * 16 // 4
+
+
+def test_batches_are_kept_small(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64())})
+
+    rows = spark.range(0, 100, 1, 1).selectExpr("repeat('x', 1000) AS text")
+    counted = lambda: [r[0] for r in rows.mapInArrow(sizes, "rows bigint").collect()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert counted() == [100]
+    with common.small_batches(spark, 10_000):
+        assert len(counted()) >= 9
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark, 10_000):
+        1 / 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before and counted() == [100]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,12 +17,29 @@ cloudpickle.register_pickle_by_value(webcairn.llm)
 
 #: Most bits of a filter sent to the tasks (4 MiB); beyond it a filter only lets more rows through.
 FILTER_BITS = 1 << 25
+#: Bytes of an Arrow batch that a task hands to Python where batches are kept small.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int | None = None):
+    """Actions inside hand Arrow batches of about ``size`` bytes to Python, a longer row alone.
+
+    By default a batch may take 64 MiB, which a task holds a few times over in both processes.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size or BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text; null counts as empty, so equal texts share a key."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -51,4 +70,4 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
-__all__ = ["FILTER_BITS", "filter_bits", "in_filter", "materialize", "table", "text_key", "textkit"]
+__all__ = ["BATCH_BYTES", "FILTER_BITS", "filter_bits", "in_filter", "materialize", "small_batches", "table", "text_key", "textkit"]

@@ -5,7 +5,8 @@ first) by its documents (columns, those with the same commonest term side by sid
 are the integer impacts of a term in a document, sorted along the Z-curve.  A quadtree over
 them stores for every cell with two points or more the greatest impact inside; a cell with
 one point is that point, so empty ground and single paths cost nothing.  The index holds every
-document and every term and is one Parquet table; a block is a row of it.
+document and every term and is one Parquet table; a block is a row of it, packed before it
+leaves the worker and opened alone, so a task holds about one block at a time.
 
 An item searches a block by ranges of documents.  In a range each of its terms is at one
 cell of its row's path; the sum of term weight times cell maximum bounds every score
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from webcairn.llm.common import materialize, table, textkit as tk
+from webcairn.llm.common import materialize, small_batches, table, textkit as tk
 from webcairn.session import checkpoint_dir
 
 #: A block ends at this many documents or points; a longer document is a block alone.
@@ -40,8 +41,11 @@ ITEM_TERMS = 1 << 18
 #: Ranges opened at a time.
 WIDE = 256
 TOP = 10
-ROW_GROUP = 16 << 20
+#: Bytes after which a row group of the index ends; a longer block is a row group alone.
+ROW_GROUP = 1 << 20
 LEVEL = np.int64(56)
+#: Stands for a null id.
+LAST = np.iinfo(np.int64).max
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -83,7 +87,19 @@ def _cells(points: np.ndarray, n_docs: int):
         yield code[start] | (np.int64(level) << LEVEL), start, np.diff(np.append(start, len(code))) > 1
 
 
-INDEX = "ids array<bigint>, terms binary, rows binary, df binary, points binary, impact binary, peak binary"
+INDEX = "ids binary, nulls binary, terms binary, rows binary, df binary, points binary, impact binary, peak binary"
+
+
+def _pack(x: np.ndarray, kind: str) -> bytes:
+    """An array as bytes: its size, then what zstd makes of it."""
+    raw = x.astype(kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _unpack(cell: pa.BinaryScalar, kind: str) -> np.ndarray:
+    raw = cell.as_buffer()
+    size = int.from_bytes(raw[:8].to_pybytes(), "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(raw[8:], size), kind)
 
 
 def build_block(ids: list, size: np.ndarray, col: np.ndarray, term: np.ndarray, tf: np.ndarray, n_docs: int, n_words: int) -> list:
@@ -98,6 +114,7 @@ def build_block(ids: list, size: np.ndarray, col: np.ndarray, term: np.ndarray,
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     col = place[col]
+    del by
     # terms: those in most documents first, so rare ones share cells with rare ones
     terms, back, df = np.unique(term, return_inverse=True, return_counts=True)
     row = np.empty(len(terms), np.int64)
@@ -105,18 +122,21 @@ def build_block(ids: list, size: np.ndarray, col: np.ndarray, term: np.ndarray,
     damp = 10 + (90 * size[order] * n_docs) // max(n_words, 1)
     impact = (1_000_000_000 * tf) // (1000 * tf + 8 * damp[col])
     points = _spread(row[back]) << 1 | _spread(col)
+    del back, col, tf
     by = np.argsort(points)
     points, impact = points[by], impact[by].astype(np.uint32)
+    del by
     peak = [np.maximum.reduceat(impact, start)[many] for _, start, many in _cells(points, len(ids))]
-    raw = lambda x, t: x.astype(t).tobytes()
+    null = np.array([ids[i] is None for i in order.tolist()])
     return [
-        [ids[i] for i in order.tolist()],
-        raw(terms, "<u8"),
-        raw(row, "<u4"),
-        raw(df, "<u4"),
-        raw(np.diff(points, prepend=0), "<i8"),
-        raw(impact, "<u4"),
-        raw(np.concatenate(peak), "<u4"),
+        _pack(np.array([LAST if ids[i] is None else ids[i] for i in order.tolist()], np.int64), "<i8"),
+        _pack(null, "?"),
+        _pack(terms, "<u8"),
+        _pack(row, "<u4"),
+        _pack(df, "<u4"),
+        _pack(np.diff(points, prepend=0), "<i8"),
+        _pack(impact, "<u4"),
+        _pack(np.concatenate(peak), "<u4"),
     ]
 
 
@@ -126,12 +146,11 @@ def _build(text, n_docs, n_words):
 
         def flush():
             nonlocal ids, size, parts, points
-            col, term, tf = (np.concatenate(x) for x in zip(*parts))
-            row = build_block(ids, np.array(size, np.int64), col, term, tf, n_docs, n_words)
+            held, sizes, pieces = ids, np.array(size, np.int64), list(zip(*parts))
             ids, size, parts, points = [], [], [], 0
-            kinds = [pa.list_(pa.int64()), *[pa.binary()] * 6]
-            names = [f.split()[0] for f in INDEX.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+            col, term, tf = (np.concatenate(pieces.pop(0)) for _ in range(3))
+            row = build_block(held, sizes, col, term, tf, n_docs, n_words)
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], [f.split()[0] for f in INDEX.split(", ")])
 
         for batch in batches:
             name = batch.column("__id").to_pylist()
@@ -167,12 +186,14 @@ class Index:
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
         rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"))
         totals = rows.select("__text").mapInArrow(_sizes("__text"), "docs bigint, words bigint")
-        totals = totals.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-        self.n_docs, self.n_words = totals
-        # rows are megabytes: small row groups keep few of them in memory at a time
+        totals = totals.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)))
         spark, path = docs.sparkSession, f"{checkpoint_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
-        blocks = rows.mapInArrow(_build("__text", *totals), INDEX).write
-        blocks.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
+        with small_batches(spark):
+            self.n_docs, self.n_words = totals.first()
+            blocks = rows.mapInArrow(_build("__text", self.n_docs, self.n_words), INDEX).write
+            # rows are megabytes: sizes are looked at after every row (by default after 100), so few are in memory at a time
+            often = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+            blocks.options(**often, **{"parquet.block.size": ROW_GROUP, "parquet.enable.dictionary": False, "compression": "none"}).parquet(path)
         self.blocks = spark.read.schema(INDEX).parquet(path)
 
     def frequencies(self, terms: np.ndarray) -> np.ndarray:
@@ -184,7 +205,7 @@ class Index:
             for batch in batches:
                 total = np.zeros(len(wanted), np.int64) if total is None else total
                 for held, df in zip(batch.column("terms"), batch.column("df")):
-                    held, df = np.frombuffer(held.as_buffer(), "<u8"), np.frombuffer(df.as_buffer(), "<u4")
+                    held, df = _unpack(held, "<u8"), _unpack(df, "<u4")
                     at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
                     total += np.where(held[at] == wanted, df[at], 0)
             if total is not None:
@@ -192,7 +213,8 @@ class Index:
                 yield pa.RecordBatch.from_pydict({"number": some, "df": total[some]})
 
         counted = self.blocks.select("terms", "df").mapInArrow(scan, "number bigint, df bigint")
-        got = counted.groupBy("number").agg(F.sum("df").alias("df")).toArrow()
+        with small_batches(self.blocks.sparkSession):
+            got = counted.groupBy("number").agg(F.sum("df").alias("df")).toArrow()
         out = np.zeros(len(terms), np.int64)
         out[got["number"].to_numpy()] = got["df"].to_numpy()
         return out
@@ -206,10 +228,8 @@ class Block:
     """One index row, opened for searching."""
 
     def __init__(self, batch, i):
-        read = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
-        ids = batch.column("ids")[i].values
-        self.null = ids.is_null().to_numpy(zero_copy_only=False)
-        self.ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
+        read = lambda name, kind: _unpack(batch.column(name)[i], kind)
+        self.ids, self.null = read("ids", "<i8"), read("nulls", "?")
         self.terms, self.rows = read("terms", "<u8"), read("rows", "<u4").astype(np.int64)
         self.points, self.impact = np.cumsum(read("points", "<i8")), read("impact", "<u4")
         cells = np.concatenate([code[many] for code, _, many in _cells(self.points, len(self.ids))])
@@ -324,6 +344,7 @@ def _search(items, k):
                 block = Block(batch, i)
                 for (_, terms, weight), so_far in zip(items.value, best):
                     block.search(terms, weight, so_far)
+                del block
         found = [(n, b) for (n, _, _), b in zip(items.value, best or []) if len(b.score)]
         if found:
             ids = np.concatenate([b.ids for _, b in found])
@@ -364,7 +385,8 @@ def search(index: Index, items: DataFrame, item_id: str = "item_id", text: str =
         every = np.unique(np.concatenate([t for _, t in rows]))
         weight = index.weights(every)
         sent = spark.sparkContext.broadcast([(n, t, weight[np.searchsorted(every, t)]) for n, t in rows])
-        found = found.unionByName(materialize(index.blocks.mapInArrow(_search(sent, k), schema)))
+        with small_batches(spark):
+            found = found.unionByName(materialize(index.blocks.mapInArrow(_search(sent, k), schema)))
     w = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.join(numbered.select("number", "item_id"), "number").select(F.col("item_id").alias(item_id), "rank", "doc_id", "score")
